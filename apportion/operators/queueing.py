@@ -14,11 +14,13 @@ block. A block turns the time ``x`` at which its worker becomes free into
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apportion.functions.guards import whole
+from apportion.session import written
 
 BLOCK_ROWS = 1 << 16
 # Block totals may exceed 64 bits of microseconds long before row values do.
@@ -81,7 +83,7 @@ def block_carry(
     for clock in clocks:
         offset = F.max(F.col(f"{clock}_finish").cast(_WIDE) - F.col("through")).over(earlier)
         if free_at is not None:
-            offset = F.greatest(offset, F.col("free_at"))
+            offset = F.greatest(offset, F.col("free_at").cast(_WIDE))
         blocks = blocks.withColumn(f"{clock}_carry", (offset + work_before).cast(_WIDE))
     return blocks
 
@@ -110,11 +112,12 @@ def schedule_from(
 
 
 def lane_totals(
-    blocked: DataFrame,
+    samples: DataFrame,
     route: Callable[[DataFrame], DataFrame],
     lanes: Sequence[str],
     arrivals: dict[str, Column],
     stops: dict[str, int],
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Per lane and clock: samples enqueued, and those started before the stop.
 
@@ -124,38 +127,50 @@ def lane_totals(
     most one of those per lane and clock, however long the stream.
     """
     clocks = list(arrivals)
-    local = local_schedule(route(blocked), lanes, arrivals)
-    blocks = _block_clocks(block_carry(local, lanes, clocks), lanes, stops)
+
+    def scheduled(part: DataFrame) -> DataFrame:
+        return local_schedule(route(blocks_of(part, block_rows)), lanes, arrivals)
+
+    # One row per lane and block: small, and needed twice below.
+    carry = written(block_carry(scheduled(samples), lanes, clocks), "block-carry")
+    blocks = _block_clocks(carry, lanes, stops)
     first = F.greatest("first_start", "carry")
     last = F.greatest("last_start", F.col("carry") + F.col("lead"))
-    whole_block = last < F.col("stop")
+    in_time = last < F.col("stop")
     counted = blocks.select(
         *lanes,
         "clock",
         F.col("rows").alias("enqueued"),
-        F.when(whole_block, F.col("rows")).otherwise(F.lit(0)).alias("processed"),
+        F.when(in_time, F.col("rows")).otherwise(F.lit(0)).alias("processed"),
     )
 
-    cut = blocks.filter(~whole_block & (first < F.col("stop")))
-    cut_blocks = F.broadcast(cut.select("block").distinct())
-    cut_rows = local_schedule(route(blocked.join(cut_blocks, "block")), lanes, arrivals)
-    start = F.map_from_arrays(
-        F.array(*[F.lit(c) for c in clocks]), F.array(*[F.col(f"{c}_start") for c in clocks])
-    )
-    cut_counts = (
-        cut_rows.join(F.broadcast(cut.select(*lanes, "block", "clock", "stop", "carry")), [*lanes, "block"])
-        .withColumn("before_us", F.col("done_us") - F.col("service_us"))
-        .filter(
-            F.greatest(F.element_at(start, F.col("clock")), F.col("carry") + F.col("before_us"))
-            < F.col("stop")
+    cut = blocks.filter(~in_time & (first < F.col("stop")))
+    # At most one row per lane and clock; the ranges reach the scan as filters.
+    cut_blocks = sorted({row["block"] for row in cut.select("block").distinct().collect()})
+    if cut_blocks:
+        in_cut = reduce(
+            Column.__or__,
+            [
+                F.col("seq").between(block * block_rows, (block + 1) * block_rows - 1)
+                for block in cut_blocks
+            ],
         )
-        .groupBy(*lanes, "clock")
-        .agg(F.lit(0).cast("bigint").alias("enqueued"), F.count(F.lit(1)).alias("processed"))
-    )
-    return (
-        counted.unionByName(cut_counts)
-        .groupBy(*lanes, "clock")
-        .agg(F.sum("enqueued").alias("enqueued"), F.sum("processed").alias("processed"))
+        start = F.map_from_arrays(
+            F.array(*[F.lit(c) for c in clocks]),
+            F.array(*[F.col(f"{c}_start") for c in clocks]),
+        )
+        work_before = F.col("done_us") - F.col("service_us")
+        actual = F.greatest(F.element_at(start, F.col("clock")), F.col("carry") + work_before)
+        cut_counts = (
+            scheduled(samples.filter(in_cut))
+            .join(cut.select(*lanes, "block", "clock", "stop", "carry"), [*lanes, "block"])
+            .filter(actual < F.col("stop"))
+            .groupBy(*lanes, "clock")
+            .agg(F.lit(0).cast("bigint").alias("enqueued"), F.count(F.lit(1)).alias("processed"))
+        )
+        counted = counted.unionByName(cut_counts)
+    return counted.groupBy(*lanes, "clock").agg(
+        F.sum("enqueued").alias("enqueued"), F.sum("processed").alias("processed")
     )
 
 

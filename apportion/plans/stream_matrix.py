@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from apportion.functions.content import content_hash
 from apportion.functions.guards import batch_latency_ms, percent, ratio, throughput, whole
 from apportion.operators.assign import STRATEGIES, check_strategy, check_workers
-from apportion.operators.queueing import BLOCK_ROWS, blocks_of, lane_totals
+from apportion.operators.queueing import BLOCK_ROWS, lane_totals
 
 # The stream's nominal rate and the studied configurations.
 BASE_RATE = 500
@@ -100,11 +100,12 @@ def worker_outcomes(
         "seq", "arrival_us", "service_us", content_hash(F.col("content")).alias("content_hash")
     )
     totals = lane_totals(
-        blocks_of(narrow, block_rows),
+        narrow,
         route,
         _LANES,
         {c: scaled_arrival(F.col("arrival_us"), first, r, base_rate) for c, r in clocks.items()},
         {c: first + profile.elapsed_us * base_rate // r for c, r in clocks.items()},
+        block_rows,
     )
     # A small table that depends on the configuration alone.
     cells = samples.sparkSession.createDataFrame(

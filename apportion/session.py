@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "apportion", cores: int | None = None) -> SparkSession:
@@ -35,3 +35,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="apportion-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(table: DataFrame, purpose: str) -> DataFrame:
+    """Compute ``table`` once into the shared folder and continue from there.
+
+    For small intermediate tables that several later steps read: they then
+    depend neither on the plan that made them nor on any executor staying up.
+    """
+    path = scratch_dir(table.sparkSession, purpose)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
