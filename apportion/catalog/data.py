@@ -38,8 +38,10 @@ def numbered_events(spark: SparkSession, base: str) -> tuple[DataFrame, int]:
 
 
 def event_tasks(spark: SparkSession, base: str, worker_counts=WORKER_COUNTS) -> DataFrame:
+    """Tasks of all approaches. Several tables are made of them, and they are a
+    small part of the samples, so the samples are read once."""
     numbered, count = numbered_events(spark, base)
-    return batch_tasks(numbered, count, worker_counts)
+    return written(batch_tasks(numbered, count, worker_counts), "tasks")
 
 
 def combined(spark: SparkSession, base: str) -> DataFrame:

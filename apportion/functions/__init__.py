@@ -1,3 +1,4 @@
+from apportion.functions.constants import constant
 from apportion.functions.content import content_shard, event_content, vector_content
 from apportion.functions.guards import (
     REPORT_BATCH,
@@ -15,6 +16,7 @@ __all__ = [
     "REPORT_BATCH",
     "batch_latency_ms",
     "chw_from_hwc",
+    "constant",
     "content_shard",
     "dot",
     "event_content",

@@ -8,12 +8,17 @@ that none outgrows a task, whatever the number of rows.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from apportion.functions.constants import constant
+
 ROWS_PER_RANGE = 1 << 21
-MIN_ROWS_PER_RANGE = 1 << 14
+MIN_ROWS_PER_RANGE = 1 << 12
 MAX_RANGES = 1 << 15
 SAMPLED_KEYS_PER_RANGE = 64
 _RANGE = "__range"
@@ -44,21 +49,19 @@ def number_rows(
         raise ValueError("an ordinal needs at least one ordering key")
     count = table.count()
     ranges = _range_count(table, count, rows_per_range)
-    sort_key = F.struct(*[_sortable(table, key).alias(key) for key in keys])
-    splits = _split_points(table, sort_key, count, ranges)
+    leading, splits = _split_points(table, keys, count, ranges)
     if not splits:
         window = Window.partitionBy(F.lit(0)).orderBy(*keys)
         return table.withColumn(name, _position(window)), count
 
-    split_array = F.array(*[_literal(table, keys, split) for split in splits])
-    ranged = table.withColumn(_RANGE, _locate(sort_key, split_array, len(splits)))
+    ranged = table.withColumn(_RANGE, _locate(table, leading, splits))
     # One row per range comes back, at most MAX_RANGES of them.
     sizes = {row[0]: row[1] for row in ranged.groupBy(_RANGE).count().collect()}
     starts, total = [], 0
     for index in range(len(splits) + 1):
         starts.append(total)
         total += sizes.get(index, 0)
-    start = F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col(_RANGE))
+    start = F.get(constant(starts, "array<bigint>"), F.col(_RANGE))
     window = Window.partitionBy(_RANGE).orderBy(*keys)
     return ranged.withColumn(name, _position(window) + start).drop(_RANGE), total
 
@@ -84,37 +87,63 @@ def _sortable(table: DataFrame, key: str) -> Column:
         return F.col(key).cast("string")
     if isinstance(kind, T.DateType):
         return F.unix_date(key)
+    if isinstance(kind, T.BinaryType):
+        return F.hex(key)
     return F.col(key)
 
 
-def _split_points(table: DataFrame, sort_key: Column, count: int, ranges: int) -> list:
-    """Evenly spaced keys of a sample; the sample only places the cuts."""
+def _split_points(
+    table: DataFrame, keys: Sequence[str], count: int, ranges: int
+) -> tuple[Sequence[str], list[tuple]]:
+    """Evenly spaced keys of a sample, cut to the leading keys that tell them apart.
+
+    The sample only places the cuts. Rows that agree on the leading keys stay
+    in one range, so those keys are as few as leave no value with more than a
+    fair share of the sample.
+    """
     if ranges < 2:
-        return []
+        return keys, []
     wanted = ranges * SAMPLED_KEYS_PER_RANGE
-    keys = table.select(sort_key.alias("key"))
+    key_columns = table.select(*[_sortable(table, key).alias(key) for key in keys])
     if wanted < count:
-        keys = keys.sample(fraction=wanted / count, seed=7)
-    sampled = [row["key"] for row in keys.orderBy("key").collect()]
-    cuts = [sampled[len(sampled) * i // ranges] for i in range(1, ranges)] if sampled else []
-    return [cut for i, cut in enumerate(cuts) if i == 0 or cut != cuts[i - 1]]
+        key_columns = key_columns.sample(fraction=wanted / count, seed=7)
+    sampled = [tuple(row) for row in key_columns.orderBy(*keys).collect()]
+    fair_share = max(1, len(sampled) // ranges // 4)
+    width = next(
+        (
+            w
+            for w in range(1, len(keys))
+            if max(Counter(row[:w] for row in sampled).values(), default=0) <= fair_share
+        ),
+        len(keys),
+    )
+    cuts = [sampled[len(sampled) * i // ranges][:width] for i in range(1, ranges) if sampled]
+    return keys[:width], [cut for i, cut in enumerate(cuts) if i == 0 or cut != cuts[i - 1]]
 
 
-def _literal(table: DataFrame, keys: tuple[str, ...], split) -> Column:
+def _locate(table: DataFrame, keys: Sequence[str], splits: list[tuple]) -> Column:
+    """How many split points are at or below the key, by halving steps."""
     kinds = table.select(*[_sortable(table, key).alias(key) for key in keys]).schema
-    return F.struct(*[F.lit(split[key]).cast(kinds[key].dataType).alias(key) for key in keys])
-
-
-def _locate(key: Column, splits: Column, count: int) -> Column:
-    """How many split points are at or below ``key``, by halving steps."""
-    steps, step = [], 1
-    while step <= count:
-        steps.append(step)
-        step *= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in reversed(steps)]),
-        F.lit(0),
-        lambda low, width: F.when(
-            F.get(splits, low + width - 1) <= key, low + width
-        ).otherwise(low),
-    )
+
+    if len(keys) == 1:
+        kind = kinds[0].dataType.simpleString()
+        points = constant([split[0] for split in splits], f"array<{kind}>")
+    else:
+        fields = ",".join(f"k{i}:{field.dataType.simpleString()}" for i, field in enumerate(kinds))
+        rows = [{f"k{i}": v for i, v in enumerate(split)} for split in splits]
+        points = constant(rows, f"array<struct<{fields}>>")
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(len(splits).bit_length()))])
+
+    def search(key: Column) -> Column:
+        return F.aggregate(
+            steps,
+            F.lit(0),
+            lambda low, width: F.when(
+                F.get(points, low + width - 1) <= key, low + width
+            ).otherwise(low),
+        )
+
+    # Inside the array the key is built once per row, not once per step.
+    parts = [_sortable(table, key).alias(f"k{i}") for i, key in enumerate(keys)]
+    key = parts[0] if len(parts) == 1 else F.struct(*parts)
+    return F.transform(F.array(key), search)[0]

@@ -23,10 +23,17 @@ from apportion.functions.guards import whole
 from apportion.session import written
 
 BLOCK_ROWS = 1 << 16
+MIN_BLOCK_ROWS = 1 << 10
 # Block totals may exceed 64 bits of microseconds long before row values do.
 _WIDE = "decimal(38,0)"
 
 
+def block_rows_for(samples: DataFrame, count: int) -> int:
+    """Blocks short enough to occupy every task, and never over the usual length."""
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_BLOCK_ROWS, min(BLOCK_ROWS, count // (4 * tasks)))
+
+
 def blocks_of(samples: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Cut a stream by ``seq`` and send every block to one task.
 
@@ -46,7 +53,7 @@ def local_schedule(
     ``c`` the column ``c_start`` is the start of the row in that schedule.
     """
     inside = (
-        Window.partitionBy(*lanes, "block")
+        Window.partitionBy("block", *lanes)
         .orderBy("seq")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -74,7 +81,7 @@ def block_carry(
         "lead": F.max(F.col("done_us") - F.col("service_us")),
     }
     columns = {**summary, **last, **first, **finish, **extra}
-    blocks = local.groupBy(*lanes, "block").agg(*[c.alias(name) for name, c in columns.items()])
+    blocks = local.groupBy("block", *lanes).agg(*[c.alias(name) for name, c in columns.items()])
     upto = Window.partitionBy(*lanes).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*lanes).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     through = F.sum(F.col("work").cast(_WIDE)).over(upto).cast(_WIDE)
@@ -99,15 +106,24 @@ def schedule_from(
     routed: DataFrame, lanes: Sequence[str], block_rows: int, free_at: Column | None
 ) -> DataFrame:
     """As :func:`fifo_schedule`, from workers that are busy until ``free_at``."""
-    blocked = blocks_of(routed, block_rows)
-    local = local_schedule(blocked, lanes, {"own": F.col("arrival_us")})
-    carry = block_carry(local, lanes, ["own"], free_at).select(*lanes, "block", "own_carry")
-    joined = local.join(carry, [*lanes, "block"])
-    after_carry = F.col("own_carry").cast("bigint") + F.col("done_us") - F.col("service_us")
+    local = local_schedule(blocks_of(routed, block_rows), lanes, {"own": F.col("arrival_us")})
+    # One small row per lane and block, computed once; then one row per block,
+    # so that the samples are joined where they already are.
+    carry = written(
+        block_carry(local, lanes, ["own"], free_at).select(*lanes, "block", "own_carry"), "carry"
+    )
+    by_lane = carry.groupBy("block").agg(
+        F.map_from_entries(
+            F.collect_list(F.struct(F.struct(*lanes), F.col("own_carry").cast("bigint")))
+        ).alias("carries")
+    )
+    joined = local.join(by_lane, "block")
+    mine = F.element_at("carries", F.struct(*lanes))
+    after_carry = mine + F.col("done_us") - F.col("service_us")
     return (
         joined.withColumn("start_us", F.greatest("own_start", after_carry))
         .withColumn("finish_us", F.col("start_us") + F.col("service_us"))
-        .drop("block", "done_us", "own_start", "own_carry")
+        .drop("block", "done_us", "own_start", "carries")
     )
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from apportion.functions.constants import constant
 from apportion.functions.vectors import predict
 
 # A model is shipped with every task, so its size is checked first.
@@ -54,12 +55,8 @@ def score_native(samples: DataFrame, model: DataFrame) -> DataFrame:
     of few weights. Works on streams too.
     """
     class_ids, weights = load_weights(model, MAX_LITERAL_WEIGHTS)
-    classes = F.array(
-        *[
-            F.struct(F.lit(c).alias("class_id"), F.lit(row.tolist()).alias("weights"))
-            for c, row in zip(class_ids, weights)
-        ]
-    )
+    rows = [{"class_id": c, "weights": w.tolist()} for c, w in zip(class_ids, weights)]
+    classes = constant(rows, "array<struct<class_id:int,weights:array<double>>>")
     best = predict(F.col("features"), classes)
     return samples.withColumn("__best", best).select(
         *samples.columns,

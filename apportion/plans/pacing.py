@@ -65,25 +65,25 @@ def sojourn_profile(scheduled: DataFrame, lanes: list[str], bin_us: int, quantil
             F.max("sojourn_us").alias("longest_us"),
         )
     )
-    totals = bins.groupBy(*lanes).agg(
-        F.sum("samples").alias("total"),
+    # Both windows and the grouping share one shuffle of the bins by lane.
+    lane = Window.partitionBy(*lanes)
+    upto = lane.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    placed = bins.withColumns(
+        {"total": F.sum("samples").over(lane), "seen": F.sum("samples").over(upto)}
+    )
+    reached = F.col("seen") >= F.ceil(F.col("total") * quantile)
+    totals = placed.groupBy(*lanes).agg(
+        F.sum("samples").alias("samples"),
         F.sum("service_us").alias("service_us"),
         F.sum("sojourn_us").alias("sojourn_us"),
         F.max("longest_us").alias("longest_us"),
+        F.min(F.when(reached, F.col("bin"))).alias("quantile_bin"),
     )
-    upto = Window.partitionBy(*lanes).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    reached = (
-        bins.select(*lanes, "bin", F.sum("samples").over(upto).alias("seen"))
-        .join(totals.select(*lanes, "total"), lanes)
-        .filter(F.col("seen") >= F.ceil(F.col("total") * quantile))
-        .groupBy(*lanes)
-        .agg(F.min("bin").alias("quantile_bin"))
-    )
-    return totals.join(reached, lanes).select(
+    return totals.select(
         *lanes,
-        F.col("total").alias("samples"),
-        ratio(F.col("service_us"), F.col("total")).alias("mean_service_us"),
-        ratio(F.col("sojourn_us"), F.col("total")).alias("mean_sojourn_us"),
+        "samples",
+        ratio(F.col("service_us"), F.col("samples")).alias("mean_service_us"),
+        ratio(F.col("sojourn_us"), F.col("samples")).alias("mean_sojourn_us"),
         "longest_us",
         "quantile_bin",
     )

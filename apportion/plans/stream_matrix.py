@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from apportion.functions.content import content_hash
 from apportion.functions.guards import batch_latency_ms, percent, ratio, throughput, whole
 from apportion.operators.assign import STRATEGIES, check_strategy, check_workers
-from apportion.operators.queueing import BLOCK_ROWS, lane_totals
+from apportion.operators.queueing import block_rows_for, lane_totals
 
 # The stream's nominal rate and the studied configurations.
 BASE_RATE = 500
@@ -70,7 +70,7 @@ def worker_outcomes(
     rates: Sequence[int] = (BASE_RATE,),
     base_rate: int = BASE_RATE,
     profile: StreamProfile | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Enqueued, processed and residual samples of every worker of every cell."""
     strategies = [check_strategy(s) for s in strategies]
@@ -105,7 +105,7 @@ def worker_outcomes(
         _LANES,
         {c: scaled_arrival(F.col("arrival_us"), first, r, base_rate) for c, r in clocks.items()},
         {c: first + profile.elapsed_us * base_rate // r for c, r in clocks.items()},
-        block_rows,
+        block_rows or block_rows_for(samples, profile.generated),
     )
     # A small table that depends on the configuration alone.
     cells = samples.sparkSession.createDataFrame(

@@ -61,3 +61,17 @@ def test_no_window_runs_over_the_whole_table(spark):
     numbered = with_ordinal(spark.range(1000), "id", rows_per_range=100)
     plan = numbered._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,3)", "double", "binary", "boolean"])
+def test_keys_of_every_kind(spark, kind):
+    texts = ["0", "-1.5", "2.25", "10", "3", "true", "é", "zz", 'a"b', "9007199254740993"]
+    usable = [t for t in texts if kind in ("string", "binary") or t.replace("-", "").replace(".", "").isdigit()]
+    if kind == "boolean":
+        usable = ["true", "false"] * 3
+    table = spark.createDataFrame([(t, i) for i, t in enumerate(usable)], "t string, i int")
+    table = table.withColumn("k", F.col("t").cast(kind))
+    numbered = with_ordinal(table, "k", "i", rows_per_range=1).orderBy("ordinal").collect()
+    ordered = table.orderBy("k", "i").collect()
+    assert [r["i"] for r in numbered] == [r["i"] for r in ordered]
+    assert [r["ordinal"] for r in numbered] == list(range(len(usable)))
