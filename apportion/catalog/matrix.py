@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from apportion import schemas
 from apportion.catalog.data import (
     TIME_SCALE,
     combined,
@@ -25,6 +26,8 @@ from apportion.operators.assign import APPROACHES, STRATEGIES
 from apportion.operators.tasks import run_metrics
 from apportion.plans import matrix
 from apportion.plans.stream_matrix import BASE_RATE, STREAM_RATES, WORKER_COUNTS
+from apportion.session import scratch_dir
+from apportion.sources import read_csv, read_json, write_csv, write_json
 
 _RATED = summary_sql(STREAM_RATES, 12)
 _METRICS = ("efficiency", "throughput", "rate_accuracy", "cpu_percent")
@@ -289,3 +292,39 @@ def environment_tags(spark, base):
     config = {"num_runs": 1, "max_samples": profile.generated}
     tagged = matrix.tagged(summary, config, "2024-01-01 00:00:00")
     return tagged.select("strategy", "workers", "total_processed", "timestamp", "config")
+
+
+@query(
+    "s7_analysis_document",
+    f"""
+    WITH c AS ({experiment_cells_sql()}),
+    t AS (SELECT count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (error IS NOT NULL) AS bad FROM c)
+    SELECT strategy, round(avg(efficiency), 6) AS avg_efficiency, count(*) AS experiment_count,
+           any_value(ok) AS total_successful_experiments, any_value(bad) AS total_failed_experiments
+    FROM c, t WHERE error IS NULL GROUP BY 1
+    """,
+)
+def analysis_document(spark, base):
+    """The analysis written as one JSON document and read back."""
+    path = scratch_dir(spark, "analysis")
+    write_json(matrix.analysis_document(experiment_cells(spark, base)), path)
+    document = read_json(spark, path, schemas.ANALYSIS)
+    rows = document.select(
+        F.inline("strategy_analysis"), "total_successful_experiments", "total_failed_experiments"
+    )
+    return rounded(rows.drop("avg_throughput", "avg_rate_accuracy"))
+
+
+@query(
+    "s8_csv_speedup",
+    f"""
+    WITH r AS (SELECT * FROM ({combined_sql()}) WHERE scope = 'aggregate')
+    SELECT r.approach, r.workers, round(r.throughput / b.throughput, 4) AS speedup
+    FROM r JOIN r b ON r.approach = b.approach AND b.workers = 1
+    """,
+)
+def csv_speedup(spark, base):
+    path = scratch_dir(spark, "speedup-csv")
+    write_csv(matrix.speedup(combined(spark, base), WORKER_COUNTS[0]), path)
+    stored = read_csv(spark, path, schemas.SPEEDUP)
+    return stored.select("approach", "workers", F.round("speedup", 4).alias("speedup"))

@@ -6,18 +6,21 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from apportion.catalog.registry import query, rounded
-from apportion.operators.ordinal import with_ordinal
+from apportion.operators.assign import contiguous_part
+from apportion.operators.ordinal import number_rows, with_ordinal
 from apportion.operators.scoring import (
     forward_counts,
     linear_model,
     load_weights,
+    measured_tasks,
     observed,
     prototype_model,
     score_batches,
     score_native,
     split_faulty,
 )
-from apportion.session import scratch_dir
+from apportion.operators.tasks import run_metrics
+from apportion.session import scratch_dir, written
 from apportion.sources import mini_batches, vector_samples
 from apportion.streaming.runner import run_to_table
 from apportion.streaming.sources import table_stream
@@ -138,3 +141,41 @@ def observed_scoring(spark, base):
         [(facts["rows"], facts["predicted"], facts["lowest"], facts["highest"])],
         "rows bigint, predicted bigint, lowest int, highest int",
     )
+
+
+@query(
+    "a16_measured_scoring",
+    """
+    SELECT CAST(workers AS INTEGER) AS workers, count(*) AS total_inferences,
+           CAST(workers AS BIGINT) AS completed_tasks, true AS measured
+    FROM embeddings, (VALUES (1), (2), (4)) k(workers) GROUP BY workers
+    """,
+)
+def measured_scoring(spark, base):
+    """Shards scored for real: each task reports its own time, CPU and memory."""
+    samples = vector_samples(spark, base)
+    _, weights = load_weights(prototype_model(samples, DIMENSIONS))
+    numbered, count = number_rows(samples, "sample_id")
+    sizes = [1, 2, 4]
+    shard = [contiguous_part(F.col("ordinal"), F.lit(count), k) for k in sizes]
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit("sharded").alias("approach"),
+                F.lit(k).alias("workers"),
+                worker.alias("worker"),
+                worker.cast("bigint").alias("task_id"),
+            )
+            for k, worker in zip(sizes, shard)
+        ]
+    )
+    assigned = numbered.select("features", F.inline(cells))
+    # What was measured is kept: measuring again would give other numbers.
+    tasks = written(measured_tasks(assigned, linear_model(weights)), "measured")
+    runs = run_metrics(tasks, 1.0)
+    return runs.select(
+        "workers",
+        "total_inferences",
+        "completed_tasks",
+        ((F.col("throughput") > 0) & (F.col("avg_memory_mb") > 0)).alias("measured"),
+    )

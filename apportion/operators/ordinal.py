@@ -21,6 +21,7 @@ ROWS_PER_RANGE = 1 << 21
 MIN_ROWS_PER_RANGE = 1 << 12
 MAX_RANGES = 1 << 15
 SAMPLED_KEYS_PER_RANGE = 64
+MAX_SAMPLED_KEYS = 1 << 18
 _RANGE = "__range"
 
 
@@ -103,7 +104,7 @@ def _split_points(
     """
     if ranges < 2:
         return keys, []
-    wanted = ranges * SAMPLED_KEYS_PER_RANGE
+    wanted = min(ranges * SAMPLED_KEYS_PER_RANGE, MAX_SAMPLED_KEYS)
     key_columns = table.select(*[_sortable(table, key).alias(key) for key in keys])
     if wanted < count:
         key_columns = key_columns.sample(fraction=wanted / count, seed=7)

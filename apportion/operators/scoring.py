@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import resource
+import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -119,6 +123,59 @@ def forward_counts(batched: DataFrame, load_model: Callable[[], Model]) -> DataF
     return parts.groupBy("batch_id").agg(F.sum("scored").alias("scored"))
 
 
+def measured_tasks(assigned: DataFrame, load_model: Callable[[], Model]) -> DataFrame:
+    """Score tasks and measure each: rows, wall time, CPU share and memory.
+
+    ``assigned`` has ``approach``, ``workers``, ``worker``, ``task_id`` and
+    ``features``. A task may be spread over several Spark tasks and arrives in
+    Arrow batches; its pieces are timed one by one and added up. The result
+    goes into the same metrics as tasks with known costs.
+    """
+    keys = ["approach", "workers", "worker", "task_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load_model()
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            pieces = []
+            for key in table.group_by(keys).aggregate([]).to_pylist():
+                same = [pc.equal(table[k], key[k]) for k in keys]
+                features = _matrix(table.filter(reduce(pc.and_, same))["features"].combine_chunks())
+                wall, cpu = time.perf_counter(), time.process_time()
+                scored = len(model(features))
+                wall, cpu = time.perf_counter() - wall, time.process_time() - cpu
+                memory = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+                share = 100.0 * cpu / wall if wall > 0 else 0.0
+                pieces.append({**key, "rows": scored, "busy_us": wall * 1e6, "cpu": share, "memory": memory})
+            yield pa.RecordBatch.from_pylist(pieces, schema=piece_schema)
+
+    piece_schema = pa.schema(
+        [
+            ("approach", pa.string()),
+            ("workers", pa.int32()),
+            ("worker", pa.int32()),
+            ("task_id", pa.int64()),
+            ("rows", pa.int64()),
+            ("busy_us", pa.float64()),
+            ("cpu", pa.float64()),
+            ("memory", pa.float64()),
+        ]
+    )
+    pieces = assigned.select(*keys, "features").mapInArrow(
+        run,
+        "approach string, workers int, worker int, task_id bigint, rows bigint, "
+        "busy_us double, cpu double, memory double",
+    )
+    return pieces.groupBy(*keys).agg(
+        F.sum("rows").alias("rows"),
+        F.sum("busy_us").alias("busy_us"),
+        F.avg("cpu").alias("cpu_usage"),
+        F.max("memory").alias("memory_usage"),
+    )
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as one matrix, without per-row Python."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)

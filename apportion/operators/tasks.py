@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apportion.functions.guards import batch_latency_ms, or_zero, ratio, throughput, whole
@@ -22,12 +22,54 @@ READING_EVERY = 10
 CHUNKS_PER_NOTE = 10
 SHARDS_PER_NOTE = 5
 BATCHES_PER_NOTE = 50
-# Fixed value: the single worker of a sharded run scores this many rows at once.
-SINGLE_WORKER_PIECE = 1000
 
 _KEYS = ["approach", "workers", "worker", "task_id"]
 
 
+def _target(approach, workers, worker, task, sampled) -> Column:
+    return F.struct(
+        F.lit(approach).alias("approach"),
+        F.lit(workers).cast("int").alias("workers"),
+        worker.cast("int").alias("worker"),
+        task.cast("bigint").alias("task_id"),
+        sampled.alias("sampled"),
+    )
+
+
+def _slices(count: int, workers: int, batch_size: int, num_shards: int | None) -> list[Column]:
+    """Where the uniform and the sharded approach put a row."""
+    check_workers(workers)
+    ordinal = F.col("ordinal")
+    rank = rank_of(ordinal, workers, batch_size, count)
+    shards = num_shards or workers
+    shard = contiguous_part(ordinal, F.lit(count), shards)
+    sampled = whole(ordinal, batch_size) % READING_EVERY == 0
+    return [
+        _target("uniform", workers, rank, rank, sampled),
+        _target("sharded", workers, shard % workers, shard, F.lit(True)),
+    ]
+
+
+def assigned_rows(
+    numbered: DataFrame,
+    count: int,
+    worker_counts: Sequence[int],
+    batch_size: int = 128,
+    chunk_size: int = 128,
+    num_shards: int | None = None,
+) -> DataFrame:
+    """Every row once per approach and worker count, with its worker and task.
+
+    For measuring real runs, where each configuration has to score the rows.
+    """
+    targets = []
+    for workers in worker_counts:
+        chunk = whole(F.col("ordinal"), chunk_size)
+        targets += _slices(count, workers, batch_size, num_shards)
+        targets.append(_target("dynamic", workers, chunk % workers, chunk, F.lit(True)))
+    return numbered.select("*", F.inline(F.array(*targets)))
+
+
 def batch_tasks(
     numbered: DataFrame,
     count: int,
@@ -46,28 +88,11 @@ def batch_tasks(
     their totals are repeated for each count. Sums are combined before the
     shuffle, which therefore carries tasks rather than samples.
     """
+    # A chunk has no worker yet: it is dealt out below, for each worker count.
+    chunk = whole(F.col("ordinal"), chunk_size)
+    targets = [_target("dynamic", None, F.lit(None), chunk, F.lit(True))]
     for workers in worker_counts:
-        check_workers(workers)
-    ordinal = F.col("ordinal")
-    batch_id = whole(ordinal, batch_size)
-
-    def target(approach, workers, worker, task, sampled):
-        return F.struct(
-            F.lit(approach).alias("approach"),
-            F.lit(workers).cast("int").alias("workers"),
-            worker.cast("int").alias("worker"),
-            task.cast("bigint").alias("task_id"),
-            sampled.alias("sampled"),
-        )
-
-    every_row, nobody = F.lit(True), F.lit(None)
-    targets = [target("dynamic", None, nobody, whole(ordinal, chunk_size), every_row)]
-    for workers in worker_counts:
-        rank = rank_of(ordinal, workers, batch_size, count)
-        targets.append(target("uniform", workers, rank, rank, batch_id % READING_EVERY == 0))
-        shards = num_shards or workers
-        shard = contiguous_part(ordinal, F.lit(count), shards)
-        targets.append(target("sharded", workers, shard % workers, shard, every_row))
+        targets += _slices(count, workers, batch_size, num_shards)
 
     reading = F.col("sampled")
     tasks = (

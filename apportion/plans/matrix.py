@@ -201,6 +201,27 @@ def outcome_counts(experiments: DataFrame) -> DataFrame:
     )
 
 
+def analysis_document(experiments: DataFrame) -> DataFrame:
+    """The whole analysis as one nested row: per strategy, per worker count, counts.
+
+    It has one entry per strategy and one per worker count.
+    """
+
+    def listed(rollup: DataFrame, name: str) -> DataFrame:
+        return rollup.agg(F.sort_array(F.collect_list(F.struct("*"))).alias(name))
+
+    strategies = listed(by_strategy(experiments), "strategy_analysis")
+    workers = listed(by_workers(experiments), "worker_analysis")
+    one = F.lit(1).alias("one")
+    return (
+        outcome_counts(experiments)
+        .select("*", one)
+        .join(strategies.select("*", one), "one")
+        .join(workers.select("*", one), "one")
+        .drop("one")
+    )
+
+
 def tagged(results: DataFrame, config: dict, timestamp: str) -> DataFrame:
     """Attach the run's configuration and start time to every result row."""
     entries = [F.lit(v).alias(k) for k, v in sorted(config.items())]

@@ -64,3 +64,11 @@ EXPERIMENT = (
 RUN_STATISTICS = (
     "approach STRING, metric STRING, mean DOUBLE, std DOUBLE, min DOUBLE, max DOUBLE, median DOUBLE"
 )
+
+ANALYSIS = (
+    "total_successful_experiments BIGINT, total_failed_experiments BIGINT, "
+    "strategy_analysis ARRAY<STRUCT<strategy: STRING, avg_efficiency: DOUBLE, "
+    "avg_throughput: DOUBLE, avg_rate_accuracy: DOUBLE, experiment_count: BIGINT>>, "
+    "worker_analysis ARRAY<STRUCT<workers: INT, avg_efficiency: DOUBLE, "
+    "avg_throughput: DOUBLE, experiment_count: BIGINT>>"
+)
