@@ -14,7 +14,7 @@ from apportion.catalog.data import (
     rated_matrix,
     small_matrix,
 )
-from apportion.catalog.registry import SAMPLES_SQL, query, rounded
+from apportion.catalog.registry import SAMPLES_SQL, TASK_DECIMALS, query, rounded
 from apportion.catalog.sql import (
     combined_sql,
     details_sql,
@@ -89,9 +89,9 @@ def sweep(spark, base):
     )
 
 
-@query("m2_flat_rows", combined_sql())
+@query("m2_flat_rows", combined_sql(TASK_DECIMALS))
 def flat_rows(spark, base):
-    return rounded(combined(spark, base))
+    return rounded(combined(spark, base), TASK_DECIMALS)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from apportion import schemas
 from apportion.catalog.data import combined, experiment_documents, numbered_orders, small_matrix
-from apportion.catalog.registry import ORDERS_SQL, SAMPLES_SQL, query, rounded
+from apportion.catalog.registry import ORDERS_SQL, SAMPLES_SQL, TASK_DECIMALS, query, rounded
 from apportion.catalog.sql import combined_sql, details_sql, summary_sql
 from apportion.functions import chw_from_hwc, normalise, or_zero, ratio
 from apportion.operators.ordinal import number_rows, with_ordinal
@@ -115,11 +115,11 @@ def csv_sink(spark, base):
     return read_csv(spark, path, schemas.WORKER_DETAILS)
 
 
-@query("s8_csv_combined", combined_sql())
+@query("s8_csv_combined", combined_sql(TASK_DECIMALS))
 def csv_combined(spark, base):
     path = scratch_dir(spark, "combined-csv")
     write_csv(combined(spark, base), path)
-    return rounded(read_csv(spark, path, schemas.COMBINED_RESULTS))
+    return rounded(read_csv(spark, path, schemas.COMBINED_RESULTS), TASK_DECIMALS)
 
 
 @query("s9_csv_source", summary_sql())

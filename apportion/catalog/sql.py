@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from apportion.catalog.data import LOWEST_EFFICIENCY, TIME_SCALE
-from apportion.catalog.registry import SAMPLES_SQL, shard_sql
+from apportion.catalog.registry import DECIMALS, SAMPLES_SQL, shard_sql
 from apportion.plans.stream_matrix import BASE_RATE, STREAM_RATES
 
 _SECOND = f"{1e6 * TIME_SCALE}"
@@ -66,7 +66,7 @@ def cells_sql(rates=(BASE_RATE,)) -> str:
     """
 
 
-def summary_sql(rates=(BASE_RATE,), decimals: int = 6) -> str:
+def summary_sql(rates=(BASE_RATE,), decimals: int = DECIMALS) -> str:
     return f"""
     SELECT strategy, workers, stream_rate, processed AS total_processed,
            round(efficiency, {decimals}) AS efficiency,
@@ -183,19 +183,23 @@ def runs_sql() -> str:
     """
 
 
-def combined_sql() -> str:
+def combined_sql(decimals: int = DECIMALS) -> str:
+    names = {
+        "throughput": "throughput",
+        "latency_ms": "latency_ms",
+        "avg_cpu_percent": "cpu_percent",
+        "avg_memory_mb": "memory_mb",
+    }
+    columns = ", ".join(f"round({c}, {decimals}) AS {name}" for c, name in names.items())
     return f"""
-    SELECT 'aggregate' AS scope, approach, workers, 'all' AS node,
-           round(throughput, 6) AS throughput, round(latency_ms, 6) AS latency_ms,
-           round(avg_cpu_percent, 6) AS cpu_percent, round(avg_memory_mb, 6) AS memory_mb
-    FROM ({runs_sql()})
+    SELECT 'aggregate' AS scope, approach, workers, 'all' AS node, {columns} FROM ({runs_sql()})
     UNION ALL
-    SELECT 'node', approach, workers, CAST(worker AS VARCHAR), round(throughput, 6),
-           round(latency_ms, 6), round(avg_cpu_percent, 6), round(avg_memory_mb, 6)
-    FROM ({nodes_sql()})
+    SELECT 'node', approach, workers, CAST(worker AS VARCHAR), {columns} FROM ({nodes_sql()})
     """
 
 
-def rounded_sql(source: str, keep: str, doubles: tuple[str, ...]) -> str:
-    columns = ", ".join(f"round({c}, 6) AS {c}" for c in doubles)
+def rounded_sql(
+    source: str, keep: str, doubles: tuple[str, ...], decimals: int = DECIMALS
+) -> str:
+    columns = ", ".join(f"round({c}, {decimals}) AS {c}" for c in doubles)
     return f"SELECT {keep}, {columns} FROM ({source})"

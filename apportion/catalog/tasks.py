@@ -11,7 +11,7 @@ from apportion.catalog.data import (
     numbered_events,
     repeated_runs,
 )
-from apportion.catalog.registry import SAMPLES_SQL, query, rounded
+from apportion.catalog.registry import SAMPLES_SQL, TASK_DECIMALS, query, rounded
 from apportion.catalog.sql import (
     experiment_cells_sql,
     nodes_sql,
@@ -79,13 +79,14 @@ def run_totals(spark, base):
 
 @query(
     "a2_node_rows",
-    rounded_sql(nodes_sql(), "approach, workers, worker AS node, task_id, total_inferences", _RUN_DOUBLES),
+    rounded_sql(nodes_sql(), "approach, workers, worker AS node, task_id, total_inferences", _RUN_DOUBLES, TASK_DECIMALS),
 )
 def node_rows(spark, base):
     nodes = node_metrics(event_tasks(spark, base), TIME_SCALE)
     node = F.coalesce("rank", "actor_id", "worker_id").alias("node")
     return rounded(
-        nodes.select("approach", "workers", node, "task_id", "total_inferences", *_RUN_DOUBLES)
+        nodes.select("approach", "workers", node, "task_id", "total_inferences", *_RUN_DOUBLES),
+        TASK_DECIMALS,
     )
 
 
@@ -145,15 +146,16 @@ def task_aggregate(spark, base):
     "a6_cumulative_inferences",
     f"""
     SELECT approach, workers, worker AS worker_id, task_id, rows AS batch_size,
-           round(busy_us / {_SECONDS}, 6) AS inference_time,
+           round(busy_us / {_SECONDS}, {TASK_DECIMALS}) AS inference_time,
            CAST(sum(rows) OVER (PARTITION BY approach, workers, worker ORDER BY task_id) AS BIGINT)
                AS total_inferences,
-           round(cpu_usage, 6) AS cpu_usage, round(memory_usage, 6) AS memory_usage
+           round(cpu_usage, {TASK_DECIMALS}) AS cpu_usage,
+           round(memory_usage, {TASK_DECIMALS}) AS memory_usage
     FROM ({tasks_sql()})
     """,
 )
 def cumulative_inferences(spark, base):
-    return rounded(task_results(event_tasks(spark, base), TIME_SCALE))
+    return rounded(task_results(event_tasks(spark, base), TIME_SCALE), TASK_DECIMALS)
 
 
 @query(
