@@ -24,14 +24,17 @@ from apportion.session import written
 
 BLOCK_ROWS = 1 << 16
 MIN_BLOCK_ROWS = 1 << 10
+MAX_BLOCKS = 1 << 20
 # Block totals may exceed 64 bits of microseconds long before row values do.
 _WIDE = "decimal(38,0)"
 
 
 def block_rows_for(samples: DataFrame, count: int) -> int:
-    """Blocks short enough to occupy every task, and never over the usual length."""
+    """Blocks short enough to occupy every task. They only grow past the usual
+    length when a lane would have too many of them for the second level."""
     tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_BLOCK_ROWS, min(BLOCK_ROWS, count // (4 * tasks)))
+    usual = max(MIN_BLOCK_ROWS, min(BLOCK_ROWS, count // (4 * tasks)))
+    return max(usual, -(-count // MAX_BLOCKS))
 
 
 def blocks_of(samples: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import resource
+import sys
 import time
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -10,12 +11,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from apportion.functions.constants import constant
 from apportion.functions.vectors import predict
 
+# The functions below run in Python workers. They travel whole, so that the
+# package need not be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A model is shipped with every task, so its size is checked first.
 MAX_LITERAL_WEIGHTS = 1 << 16
 MAX_SHIPPED_WEIGHTS = 1 << 24

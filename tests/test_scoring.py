@@ -65,3 +65,26 @@ def test_scoring_scan_reads_only_what_it_needs(spark):
     scored = scoring.score_batches(samples, lambda: np.asarray)
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "label" not in plan.split("ReadSchema")[1]
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    """Scoring from another folder, where the package cannot be imported."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "import __spark_entry__ as entry\n"
+        "from apportion.session import build_session\n"
+        "spark = build_session(cores=2)\n"
+        "for name in ('i3_argmax_score_batches', 'i2_batch_forward', 'a16_measured_scoring'):\n"
+        "    assert entry.queries()[name](spark, '/root/testdata/sf0.001').count() > 0\n"
+    )
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, str(script)], cwd=tmp_path, env=environment, capture_output=True, timeout=300
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
