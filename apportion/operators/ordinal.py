@@ -1,9 +1,10 @@
 """Dense 0-based positions in a total order, without a global sort.
 
-Rows are cut into key ranges at split points fixed up front. One narrow pass
-counts the rows of each range; a window numbers the rows inside a range, and
-the running total of the counts before it is added. The ranges are sized so
-that none outgrows a task, whatever the number of rows.
+A single integer key without gaps is taken as it is. For other keys, the rows
+are cut into key ranges at split points fixed up front. One narrow pass counts
+the rows of each range; a window numbers the rows inside a range, and the
+running total of the counts before it is added. The ranges are sized so that
+none outgrows a task, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -48,7 +49,10 @@ def number_rows(
     """As :func:`with_ordinal`, together with the number of rows."""
     if not keys:
         raise ValueError("an ordinal needs at least one ordering key")
-    count = table.count()
+    count, first = _dense_run(table, keys[0]) if len(keys) == 1 else (table.count(), None)
+    if first is not None:
+        position = F.col(keys[0]).cast("bigint")
+        return table.withColumn(name, position - first if first else position), count
     ranges = _range_count(table, count, rows_per_range)
     leading, splits = _split_points(table, keys, count, ranges)
     if not splits:
@@ -67,6 +71,27 @@ def number_rows(
     return ranged.withColumn(name, _position(window) + start).drop(_RANGE), total
 
 
+def _dense_run(table: DataFrame, key: str) -> tuple[int, int | None]:
+    """Row count, and the smallest key if the keys are a gapless run of integers.
+
+    Such a key already is a position up to a shift: no sort and no shuffle, and
+    if it starts at zero, filters on the position reach the scan. Extremes and
+    count leave only repeats to rule out; two 64-bit sums over hashes of the
+    keys do that, by comparison with those of the run itself.
+    """
+    if not isinstance(table.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return table.count(), None
+    value = F.col(key).cast("bigint")
+    prints = [F.bit_xor(F.xxhash64(value)), F.bit_xor(F.xxhash64(value, F.lit(1)))]
+    count, present, low, high, *seen = table.agg(
+        F.count(F.lit(1)), F.count(value), F.min(value), F.max(value), *prints
+    ).first()
+    if count == 0 or present != count or high - low + 1 != count:
+        return count, None
+    run = table.sparkSession.range(low, high + 1).withColumnRenamed("id", key)
+    return count, low if list(run.agg(*prints).first()) == seen else None
+
+
 def _position(window) -> Column:
     return (F.row_number().over(window) - 1).cast("bigint")
 

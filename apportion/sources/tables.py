@@ -91,8 +91,9 @@ def cyclic_replay(
 ) -> DataFrame:
     """Give stream element ``seq`` the sample at ``seq mod sample_count``.
 
-    ``samples`` carries a dense ``ordinal``. The join is left to Spark, which
-    broadcasts the samples only while they are under its size threshold.
+    Batch, or a stream joined to a static table. ``samples`` carries a dense
+    ``ordinal``. The join is left to Spark, which broadcasts the samples only
+    while they are under its size threshold.
     """
     if sample_count < 1:
         raise ValueError("cannot replay an empty sample table")

@@ -43,11 +43,3 @@ def table_stream(
 def bounded(stream: DataFrame, max_samples: int) -> DataFrame:
     """Stop emitting once ``max_samples`` samples have been generated."""
     return stream.filter(F.col("seq") < max_samples)
-
-
-def replayed(stream: DataFrame, samples: DataFrame, sample_count: int) -> DataFrame:
-    """Stream-static join of a numbered sample table, cycling through it."""
-    if sample_count < 1:
-        raise ValueError("cannot replay an empty sample table")
-    position = F.pmod(F.col("seq"), F.lit(sample_count)).alias("ordinal")
-    return stream.select("*", position).join(samples, "ordinal")

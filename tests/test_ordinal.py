@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apportion.operators.ordinal import number_rows, with_ordinal
+from apportion.sources import read_table
 
 
 def ordinals(table, key):
@@ -11,10 +12,32 @@ def ordinals(table, key):
 
 
 def test_many_ranges_match_a_sort(spark):
-    table = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    table = spark.range(1000).select((((F.col("id") * 7919) % 1000) * 3).alias("k"))
     numbered, count = number_rows(table, "k", rows_per_range=37)
     assert count == 1000
-    assert ordinals(numbered, "k") == {k: k for k in range(1000)}
+    assert ordinals(numbered, "k") == {k * 3: k for k in range(1000)}
+
+
+def test_gapless_integers_are_positions_already(spark):
+    table = spark.range(1000).select((((F.col("id") * 7919) % 1000) - 40).alias("k"))
+    numbered, count = number_rows(table, "k")
+    assert count == 1000
+    assert ordinals(numbered, "k") == {k - 40: k for k in range(1000)}
+    assert "Exchange" not in numbered._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("keys", [[0, 0, 2], [5, 7, 7, 8], [None, 1, 2], [1, 2, 2, 3, 5]])
+def test_repeats_and_gaps_are_not_taken_for_positions(spark, keys):
+    table = spark.createDataFrame([(k,) for k in keys], "k int")
+    numbered = with_ordinal(table, "k").orderBy("ordinal").collect()
+    assert [r["ordinal"] for r in numbered] == list(range(len(keys)))
+    assert [r["k"] for r in numbered] == sorted(keys, key=lambda k: (k is not None, k))
+
+
+def test_filters_on_a_gapless_position_reach_the_scan(spark, sf_dir):
+    orders = with_ordinal(read_table(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey")
+    plan = orders.filter("ordinal < 10")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(o_orderkey,10)" in plan
 
 
 def test_hot_leading_key_is_cut_by_the_second_key(spark):
@@ -58,7 +81,8 @@ def test_needs_a_key(spark):
 
 
 def test_no_window_runs_over_the_whole_table(spark):
-    numbered = with_ordinal(spark.range(1000), "id", rows_per_range=100)
+    gaps = spark.range(0, 2000, 2)
+    numbered = with_ordinal(gaps, "id", rows_per_range=100)
     plan = numbered._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
 

@@ -8,10 +8,16 @@ from apportion.operators.assign import assign
 from apportion.operators.queueing import fifo_schedule
 from apportion.operators.scoring import linear_model, load_weights, prototype_model, score_batches, score_native
 from apportion.session import scratch_dir
-from apportion.sources import event_samples, read_table, to_event_samples, vector_samples
+from apportion.sources import (
+    cyclic_replay,
+    event_samples,
+    read_table,
+    to_event_samples,
+    vector_samples,
+)
 from apportion.streaming.operators import backlog, once_per_sample, routed_counts
 from apportion.streaming.runner import run_aggregate, run_each_batch, run_to_table
-from apportion.streaming.sources import bounded, rate_stream, replayed, table_stream
+from apportion.streaming.sources import bounded, rate_stream, table_stream
 
 SF = "/root/testdata/sf0.01"
 
@@ -63,7 +69,7 @@ def test_rate_must_be_positive(spark):
 
 def test_replayed_stream_cycles_through_samples(spark, pieces):
     samples = vector_samples(spark, SF).select(F.col("sample_id").alias("ordinal"), "label")
-    joined = replayed(bounded(stream(spark, pieces).select("seq"), 1200), samples, 500)
+    joined = cyclic_replay(bounded(stream(spark, pieces).select("seq"), 1200), samples, 500)
     table = run_to_table(joined, "replayed")
     assert table.count() == 1200
     assert table.filter(F.col("ordinal") != F.col("seq") % 500).count() == 0
