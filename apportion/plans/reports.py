@@ -11,8 +11,11 @@ from apportion.functions.guards import or_zero
 from apportion.operators.assign import APPROACHES
 from apportion.operators.statistics import METRICS
 
-# The column layout of the report.
+# The headings and column layout of the report.
 SUMMARY_TITLE = "PERFORMANCE SUMMARY"
+DETAILS_TITLE = " PARTITIONING DETAILS"
+ERROR_PREFIX = "Error: "
+ERROR_CELL = "ERROR"
 SUMMARY_COLUMNS = ("Approach", "Throughput", "Latency", "CPU %", "Memory MB")
 SUMMARY_WIDTHS = (15, 15, 15, 10, 12)
 SUMMARY_DECIMALS = (2, 2, 1, 1)
@@ -53,10 +56,10 @@ def report_lines(statistics: DataFrame, approaches: Sequence[str] = APPROACHES)
 
     values = [or_zero(F.col(f"{m}_mean")) for m in SUMMARY_METRICS]
     summary = F.when(
-        failed, F.format_string(_text_format(), "approach", *[F.lit("ERROR")] * len(values))
+        failed, F.format_string(_text_format(), "approach", *[F.lit(ERROR_CELL)] * len(values))
     ).otherwise(F.format_string(_value_format(), "approach", *values))
 
-    title = F.concat(F.upper("approach"), F.lit(" PARTITIONING DETAILS"))
+    title = F.concat(F.upper("approach"), F.lit(DETAILS_TITLE))
     details = [F.array(title, F.lit("-" * DETAIL_RULE_WIDTH))]
     for metric in METRICS:
         lines = [F.lit(f"{metric}:")] + [
@@ -65,7 +68,7 @@ def report_lines(statistics: DataFrame, approaches: Sequence[str] = APPROACHES)
         ]
         measured = ~failed & F.col(f"{metric}_mean").isNotNull()
         details.append(F.when(measured, F.array(*lines)).otherwise(F.array().cast("array<string>")))
-    message = F.array(F.concat(F.lit("Error: "), F.col("error")))
+    message = F.array(F.concat(F.lit(ERROR_PREFIX), F.col("error")))
     details.append(F.when(failed, message).otherwise(F.array().cast("array<string>")))
 
     per_approach = wide.select(
