@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -81,7 +82,7 @@ def fingerprint(text: Column, samples: int = SAMPLES, words: int = WORDS_PER_TER
     """The fingerprint of each text in a column, null as empty."""
 
     @pandas_udf("string")
-    def computed(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def computed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sampler = Sampler(samples, words)
         for batch in batches:
             yield batch.map(lambda x: hexed(sampler.codes((x or "").encode())))
@@ -168,17 +169,16 @@ def _with_following_block(rows: DataFrame) -> DataFrame:
     The blocks are cut at quantiles of the ids, at most ``MAX_BLOCKS``; a guest is
     told by its id and text, so rows equal to the first come along, no others.
     """
-    total, = rows.agg(F.sum(F.octet_length("text"))).first()
+    (total,) = rows.agg(F.sum(F.octet_length("text"))).first()
     blocks = max(1, min(MAX_BLOCKS, (total or 0) // BLOCK_BYTES))
-    cuts, = rows.agg(
+    (cuts,) = rows.agg(
         F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)] or [0.5], 10 * blocks)
     ).first()
     cuts = sorted(set(cuts or [])) if blocks > 1 else []
     with_block = _bucketed(rows, cuts).withColumn("order", F.xxhash64("text"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "order"))
-    firsts = sorted(
-        (r.block, r.first) for r in with_block.groupBy("block").agg(first.alias("first")).collect()
-    )
+    found = with_block.groupBy("block").agg(first.alias("first")).collect()
+    firsts = sorted(((r.block, r["first"]) for r in found), key=lambda x: x[0])
     before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
     table = rows.sparkSession.createDataFrame(
         [(b, f.doc_id, f.order, before[b]) for b, f in firsts],
@@ -204,6 +204,6 @@ def _bucketed(rows: DataFrame, cuts: list[int]) -> DataFrame:
     return (
         bucketizer.setHandleInvalid("keep")
         .transform(rows.withColumn("as_double", F.col("doc_id").cast("double")))
-        .withColumn("block", F.col("as_block").cast("int"))
+        .withColumn("block", F.coalesce(F.col("as_block").cast("int"), F.lit(len(splits) - 1)))
         .drop("as_double", "as_block")
     )
