@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from apportion.llm.chunks import PartEncoder
 
-KEPT_STATES = 150_000
+KEPT_STATES = 80_000
 DECODED_AT_ONCE = 4096
 
 
@@ -217,23 +217,22 @@ class StreamingDecoder:
         return self.machine.decode(b"", final=True)
 
 
-class Codec:
-    """An encoder and the words of its ids."""
-
-    def __init__(self, path: str, pattern: str):
-        ranks = load_ranks(path)
-        self.encoder = rank_encoder(ranks, pattern)
-        self.words = {i: w for w, i in ranks.items()}
+_encoders: dict[tuple[str, str], PartEncoder] = {}
+_words: dict[str, dict[int, bytes]] = {}
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+def encoder_of(path: str, pattern: str) -> PartEncoder:
+    """One encoder per process and vocabulary."""
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = rank_encoder(load_ranks(path), pattern)
+    return _encoders[path, pattern]
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One codec per process and vocabulary."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+def words_of(path: str) -> dict[int, bytes]:
+    """The bytes of each id, which is all that decoding needs."""
+    if path not in _words:
+        _words[path] = {i: w for w, i in load_ranks(path).items()}
+    return _words[path]
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str, name: str = "ids") -> DataFrame:
@@ -243,7 +242,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str, name: str = "ids") -> Dat
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        known = codec(path, pattern).encoder
+        known = encoder_of(path, pattern)
         for batch in batches:
             texts = ((None, x.as_py() or "") for x in batch.column(1))
             ids = [np.frombuffer(x, "<i4") for _, x in known.encoded(texts)]
@@ -254,7 +253,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str, name: str = "ids") -> Dat
     return rows.mapInArrow(encoded, f"doc_id bigint, `{name}` array<int>")
 
 
-def decoded(table: DataFrame, path: str, pattern: str, digest: Callable | None = None) -> DataFrame:
+def decoded(table: DataFrame, path: str, digest: Callable | None = None) -> DataFrame:
     """Texts of ids: doc_id and text, or the digests of ids and texts.
 
     The ids are decoded in runs, as they would come from a model; a character cut
@@ -269,7 +268,7 @@ def decoded(table: DataFrame, path: str, pattern: str, digest: Callable | None =
     arrow = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = codec(path, pattern).words
+        words = words_of(path)
         for batch in batches:
             out = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-KEPT_PARTS = 500_000
+KEPT_PARTS = 300_000
 LONGEST_KEPT = 64
 CHARS_AT_ONCE = 1 << 19
 

@@ -100,7 +100,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.with_ids(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
-    return bpe.decoded(ids, RANKS, public_tokenizers.PATTERN, bpe.digests)
+    return bpe.decoded(ids, RANKS, bpe.digests)
 
 
 QUERIES = {

@@ -44,7 +44,7 @@ def test_ids_are_those_of_the_library_and_decode(docs, texts, tiktoken_encoding)
     ids = bpe.with_ids(docs, queries.RANKS, public_tokenizers.PATTERN)
     found = sorted(map(tuple, (r.ids for r in ids.collect())))
     assert found == sorted(tuple(tiktoken_encoding.encode_ordinary(t or "")) for t in texts)
-    back = bpe.decoded(ids, queries.RANKS, public_tokenizers.PATTERN)
+    back = bpe.decoded(ids, queries.RANKS)
     assert sorted(r.text for r in back.collect()) == sorted(t or "" for t in texts)
 
 
