@@ -10,8 +10,6 @@ from apportion.session import build_session
 from apportion.sources import event_samples, vector_samples
 from apportion.sources.tables import EVENT_SECONDS_PER_STREAM_SECOND
 
-DIMENSIONS = 64
-
 
 def numbers(text: str) -> list[int]:
     return [int(part) for part in text.split(",") if part.strip()]
@@ -51,7 +49,7 @@ def main() -> None:
         ).orderBy("num_workers", "strategy", "stream_rate").show(100)
     else:
         samples = vector_samples(spark, args.input)
-        _, weights = load_weights(prototype_model(samples, DIMENSIONS))
+        _, weights = load_weights(prototype_model(samples))
         for workers in args.workers:
             jobs.measured_suite(
                 samples,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from apportion.catalog.data import numbered_orders
@@ -185,7 +186,7 @@ def dispatch(spark, base):
 
 @query(
     "c12_layout",
-    f"SELECT worker, count(*) AS samples, true AS slot_in_one_task "
+    f"SELECT worker, count(*) AS samples, true AS own_tasks, true AS spread_evenly "
     f"FROM (SELECT {shard_sql('content', '4')} AS worker FROM ({SAMPLES_SQL})) GROUP BY 1",
 )
 def layout(spark, base):
@@ -193,9 +194,13 @@ def layout(spark, base):
     samples = assign(event_samples(spark, base).select("seq", "content"), "sharded", 4)
     laid_out = lay_out_by_worker(samples.select("seq", "worker"), 4, "seq", 8)
     placed = laid_out.withColumn("task", F.spark_partition_id())
-    per_task = placed.groupBy("worker", "slot").agg(
-        F.count("*").alias("samples"), F.count_distinct("task").alias("tasks")
-    )
-    return per_task.groupBy("worker").agg(
-        F.sum("samples").alias("samples"), (F.max("tasks") == 1).alias("slot_in_one_task")
+    per_task = placed.groupBy("task", "worker").agg(F.count("*").alias("samples"))
+    mixed = Window.partitionBy("task")
+    checked = per_task.withColumn("workers", F.count("*").over(mixed))
+    fair = F.sum("samples") / F.count("*")
+    return checked.groupBy("worker").agg(
+        F.sum("samples").alias("samples"),
+        (F.max("workers") == 1).alias("own_tasks"),
+        # Twice the worker's mean, or what a few rows may deviate by.
+        (F.max("samples") <= F.greatest(fair * 2, fair + 50)).alias("spread_evenly"),
     )

@@ -46,9 +46,9 @@ def rounded(table: DataFrame, decimals: int = DECIMALS) -> DataFrame:
     )
 
 
-# SQL for the samples of the event stream.
+# SQL for the samples of the event stream; a sample's number is its position.
 SAMPLES_SQL = """
-    SELECT event_id AS seq,
+    SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq,
            epoch_us(ts) AS arrival_us,
            CAST(round(value * 10 * 1e6) AS BIGINT) AS service_us,
            concat_ws('|', event_type, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), props)

@@ -9,6 +9,7 @@ from apportion.catalog.registry import query, rounded
 from apportion.operators.assign import contiguous_part
 from apportion.operators.ordinal import number_rows, with_ordinal
 from apportion.operators.scoring import (
+    feature_width,
     forward_counts,
     linear_model,
     load_weights,
@@ -25,11 +26,10 @@ from apportion.sources import mini_batches, vector_samples
 from apportion.streaming.runner import run_to_table
 from apportion.streaming.sources import table_stream
 
-DIMENSIONS = 64
-
 _MODEL_SQL = """
-    SELECT label AS class_id, i AS dimension, avg(CAST(embedding[i] AS DOUBLE)) AS weight
-    FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2
+    SELECT class_id, dimension, avg(x) AS weight FROM (
+        SELECT label AS class_id, unnest(range(1, len(embedding) + 1)) AS dimension,
+               CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2
 """
 _SCORES_SQL = f"""
     WITH m AS ({_MODEL_SQL}),
@@ -42,12 +42,20 @@ _SCORES_SQL = f"""
 """
 
 
+def _scorable(spark, base):
+    """Samples that can be scored, their model, and its width."""
+    samples = vector_samples(spark, base)
+    width = feature_width(samples)
+    good, _ = split_faulty(samples, width)
+    return good, prototype_model(good, width), width
+
+
 @query(
     "i1_prototype_model",
     f"SELECT class_id, CAST(dimension - 1 AS INTEGER) AS dimension, round(weight, 6) AS weight FROM ({_MODEL_SQL})",
 )
 def model_weights(spark, base):
-    model = prototype_model(vector_samples(spark, base), DIMENSIONS)
+    model = prototype_model(vector_samples(spark, base))
     return rounded(model.select("class_id", F.posexplode("weights").alias("dimension", "weight")))
 
 
@@ -57,34 +65,36 @@ def model_weights(spark, base):
     "(SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ordinal FROM embeddings) GROUP BY 1",
 )
 def batch_forward(spark, base):
-    samples = vector_samples(spark, base)
-    _, weights = load_weights(prototype_model(samples, DIMENSIONS))
+    samples, model, _ = _scorable(spark, base)
+    _, weights = load_weights(model)
     batched = mini_batches(with_ordinal(samples, "sample_id"), 128)
     return forward_counts(batched, linear_model(weights))
 
 
 @query("i3_argmax_score", _SCORES_SQL)
 def argmax_native(spark, base):
-    samples = vector_samples(spark, base)
-    scored = score_native(samples, prototype_model(samples, DIMENSIONS))
+    samples, model, _ = _scorable(spark, base)
+    scored = score_native(samples, model)
     return rounded(scored.select("sample_id", "prediction", "logit"))
 
 
 @query("i3_argmax_score_batches", _SCORES_SQL)
 def argmax_batches(spark, base):
-    samples = vector_samples(spark, base)
-    class_ids, weights = load_weights(prototype_model(samples, DIMENSIONS))
+    samples, model, _ = _scorable(spark, base)
+    class_ids, weights = load_weights(model)
     return rounded(score_batches(samples, linear_model(weights), class_ids))
 
 
 @query("i4_stream_score", _SCORES_SQL)
 def stream_score(spark, base):
     """The batch scorer on a stream of vectors, with a model made beforehand."""
-    class_ids, weights = load_weights(prototype_model(vector_samples(spark, base), DIMENSIONS))
+    _, model, width = _scorable(spark, base)
+    class_ids, weights = load_weights(model)
     stream = table_stream(spark, base, "embeddings").select(
         F.col("vec_id").alias("sample_id"), F.col("embedding").alias("features")
     )
-    scored = score_batches(stream, linear_model(weights), class_ids)
+    good, _ = split_faulty(stream, width)
+    scored = score_batches(good, linear_model(weights), class_ids)
     return rounded(run_to_table(scored, "stream-scores"))
 
 
@@ -103,13 +113,14 @@ def quarantine(spark, base):
     not_finite = F.transform("features", lambda x: F.lit(float("nan")).cast("float"))
     damaged = (
         F.when(first > 0.2, F.lit(None).cast("array<float>"))
-        .when(second > 0.2, F.slice("features", 1, DIMENSIONS - 1))
+        .when(second > 0.2, F.slice("features", 1, F.size("features") - 1))
         .when(third > 0.2, not_finite)
         .otherwise(F.col("features"))
     )
     samples = vector_samples(spark, base)
-    _, weights = load_weights(prototype_model(samples, DIMENSIONS))
-    good, bad = split_faulty(samples.withColumn("features", damaged), DIMENSIONS)
+    width = feature_width(samples)
+    _, weights = load_weights(prototype_model(samples, width))
+    good, bad = split_faulty(samples.withColumn("features", damaged), width)
     scored = score_batches(good, linear_model(weights)).select(F.lit("scored").alias("outcome"))
     outcomes = scored.unionByName(bad.select(F.col("fault").alias("outcome")))
     return outcomes.groupBy("outcome").agg(F.count("*").alias("samples"))
@@ -133,7 +144,7 @@ def user_model(spark, base):
 def observed_scoring(spark, base):
     """Counts taken while the scores are written, without a second pass."""
     samples = vector_samples(spark, base)
-    class_ids, weights = load_weights(prototype_model(samples, DIMENSIONS))
+    class_ids, weights = load_weights(prototype_model(samples))
     scores, seen = observed(score_batches(samples, linear_model(weights), class_ids), "scoring")
     scores.write.parquet(scratch_dir(spark, "observed-scores"))
     facts = seen.get
@@ -154,7 +165,7 @@ def observed_scoring(spark, base):
 def measured_scoring(spark, base):
     """Shards scored for real: each task reports its own time, CPU and memory."""
     samples = vector_samples(spark, base)
-    _, weights = load_weights(prototype_model(samples, DIMENSIONS))
+    _, weights = load_weights(prototype_model(samples))
     numbered, count = number_rows(samples, "sample_id")
     sizes = [1, 2, 4]
     shard = [contiguous_part(F.col("ordinal"), F.lit(count), k) for k in sizes]

@@ -9,6 +9,7 @@ from apportion.catalog.data import combined, experiment_documents, numbered_orde
 from apportion.catalog.registry import ORDERS_SQL, SAMPLES_SQL, TASK_DECIMALS, query, rounded
 from apportion.catalog.sql import combined_sql, details_sql, summary_sql
 from apportion.functions import chw_from_hwc, normalise, or_zero, ratio
+from apportion.functions.guards import whole
 from apportion.operators.ordinal import number_rows, with_ordinal
 from apportion.operators.scoring import stack_batches
 from apportion.plans.documents import failed_documents, flatten_documents, flatten_workers
@@ -32,7 +33,7 @@ from apportion.sources import (
     write_csv,
     write_json,
 )
-from apportion.streaming.runner import run_to_table
+from apportion.streaming.runner import run_numbered
 from apportion.streaming.sources import bounded, table_stream
 
 
@@ -68,9 +69,9 @@ def batches(spark, base):
 )
 def paced_stream(spark, base):
     """The table replayed at a fixed rate: a sample is due at ``seq / rate``."""
-    stream = to_event_samples(table_stream(spark, base, "events"))
-    due = stream.select("seq", F.floor(F.col("seq") / BASE_RATE).alias("due_second"))
-    paced = run_to_table(due, "paced")
+    stream = to_event_samples(table_stream(spark, base, "events")).select("seq")
+    due = whole(F.col("seq"), BASE_RATE).alias("due_second")
+    paced = run_numbered(stream, "paced", lambda rows: rows.select("seq", due))
     return paced.groupBy("due_second").agg(F.count("*").alias("samples"))
 
 
@@ -98,7 +99,8 @@ def replay(spark, base):
 )
 def bounded_stream(spark, base):
     stream = to_event_samples(table_stream(spark, base, "events")).select("seq")
-    return completion(run_to_table(bounded(stream, 10_000), "bounded"), 10_000)
+    emitted = run_numbered(stream, "bounded", lambda rows: bounded(rows, 10_000))
+    return completion(emitted, 10_000)
 
 
 @query("s7_json_round_trip", summary_sql())

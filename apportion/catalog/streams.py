@@ -21,7 +21,7 @@ from apportion.plans.stream_matrix import (
 from apportion.session import scratch_dir
 from apportion.sources import event_samples, to_event_samples
 from apportion.streaming.operators import backlog, once_per_sample, routed_counts
-from apportion.streaming.runner import run_aggregate, run_to_table
+from apportion.streaming.runner import run_aggregate, run_numbered, run_to_table
 from apportion.streaming.sources import table_stream
 
 # Interval of a stream at the base rate, in event time.
@@ -47,7 +47,7 @@ def _stream(spark, base):
 )
 def schedule_lag(spark, base):
     samples = event_samples(spark, base)
-    return schedule(samples, profile_stream(samples).first_us, INTERVAL_US)
+    return schedule(samples, profile_stream(samples).first_us, BASE_RATE, TIME_SCALE)
 
 
 @query(
@@ -101,7 +101,7 @@ def fifo_finish(spark, base):
 @query("w4_fifo_finish_stream", _finish_sql("uniform", 2))
 def fifo_stream(spark, base):
     samples = _stream(spark, base).select("seq", "arrival_us", "service_us")
-    scheduled = backlog(assign(samples, "uniform", 2), ["worker"], block_rows=4096)
+    scheduled = backlog(samples, ["worker"], 4096, route=lambda rows: assign(rows, "uniform", 2))
     return scheduled.select("seq", "worker", "start_us", "finish_us")
 
 
@@ -171,8 +171,9 @@ def deduplicated(spark, base):
 )
 def restarted(spark, base):
     """A stream run twice on one checkpoint routes every sample exactly once."""
-    routed = assign(_stream(spark, base).select("seq"), "uniform", 4)
-    path, checkpoint = scratch_dir(spark, "restarted"), scratch_dir(spark, "restarted-checkpoint")
-    run_to_table(routed, "restarted", checkpoint, path)
-    table = run_to_table(routed, "restarted", checkpoint, path)
+    folder = scratch_dir(spark, "restarted")
+    for _ in range(2):
+        table = run_numbered(
+            _stream(spark, base).select("seq"), "restarted", lambda rows: assign(rows, "uniform", 4), folder
+        )
     return table.groupBy("worker").agg(F.count("*").alias("samples"))

@@ -10,18 +10,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Stands for a missing part, so that differing contents keep differing texts.
+MISSING = "\\N"
+
+
 def event_content(event_type: Column, value: Column, props: Column) -> Column:
-    cents = F.round(value * 100).cast("bigint").cast("string")
-    return F.concat_ws("|", event_type, cents, props)
+    cents = F.round(value * 100).try_cast("bigint").cast("string")
+    return F.concat_ws("|", *[F.coalesce(c, F.lit(MISSING)) for c in (event_type, cents, props)])
 
 
 def vector_content(vector: Column) -> Column:
-    return F.array_join(
-        F.transform(
-            vector, lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")
-        ),
-        ",",
-    )
+    """Elements to six decimals; equal to that precision is equal content.
+
+    What is no number of that size (NaN, infinity) keeps its own text.
+    """
+
+    def text(x: Column) -> Column:
+        scaled = F.round(x.cast("double") * 1e6)
+        return F.coalesce(scaled.try_cast("bigint").cast("string"), scaled.cast("string"), F.lit(MISSING))
+
+    return F.array_join(F.transform(vector, text), ",")
 
 
 def content_hash(content: Column) -> Column:

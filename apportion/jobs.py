@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apportion import schemas
-from apportion.operators.assign import APPROACHES, STRATEGIES
+from apportion.operators.assign import APPROACHES, STRATEGIES, check_strategy, check_workers
 from apportion.operators.ordinal import number_rows
-from apportion.operators.scoring import Model, measured_tasks
+from apportion.operators.scoring import Model, feature_width, measured_tasks, split_faulty
 from apportion.operators.statistics import gated_statistics
 from apportion.operators.tasks import assigned_rows, batch_tasks, node_metrics, run_metrics
 from apportion.plans import matrix
@@ -31,6 +31,7 @@ from apportion.sources import (
     append_experiments,
     first_n,
     read_experiments,
+    stored_experiments,
     write_csv,
     write_json,
     write_text,
@@ -68,8 +69,18 @@ def streaming_matrix(
 ) -> DataFrame:
     """Compare the stream strategies: experiments, summary, details, analysis.
 
-    A failure is recorded for its cells and does not lose cells stored before.
+    A failure is recorded for the cells that have no result yet. Wrong settings are
+    refused before any job, and a result file that can't be written is an error of its own:
+    neither touches stored cells.
     """
+    for workers in worker_counts:
+        check_workers(workers)
+    for strategy in strategies:
+        check_strategy(strategy)
+    if not all(rate > 0 for rate in rates):
+        raise ValueError(f"rates must be positive, got {list(rates)}")
+    if time_scale <= 0:
+        raise ValueError(f"the time scale must be positive, got {time_scale}")
     spark = samples.sparkSession
     if max_samples is not None:
         samples = samples.filter(F.col("seq") < max_samples)
@@ -81,20 +92,32 @@ def streaming_matrix(
         )
         summary, details = streaming_summary(outcomes, profile, time_scale), worker_details(outcomes)
         append_experiments(experiment_documents(summary, details, profile), store)
-        write_csv(details, f"{out}/worker_details", skip_empty=True)
     except Exception as error:
+        details = None
         cells = matrix.sweep(
             spark, strategy=list(strategies), workers=list(worker_counts), stream_rate=list(rates)
         )
-        failed = failed_documents(cells, f"{type(error).__name__}: {error}")
+        known = stored_experiments(spark, store).where("error IS NULL").select(
+            "strategy", F.col("num_workers").alias("workers"), "stream_rate"
+        )
+        missing = cells.join(written(known, "stored"), ["strategy", "workers", "stream_rate"], "left_anti")
+        failed = failed_documents(missing, error_text(error))
         empty = spark.createDataFrame([], schemas.EXPERIMENT)
         append_experiments(empty.unionByName(failed, allowMissingColumns=True), store)
+    if details is not None:
+        write_csv(details, f"{out}/worker_details", skip_empty=True)
     experiments = read_experiments(spark, store)
     write_csv(flatten_documents(experiments), f"{out}/summary")
     write_json(matrix.analysis_document(_flat(experiments)), f"{out}/analysis")
     return experiments
 
 
+def error_text(error: Exception) -> str:
+    """The kind of an error and the last line it has to say."""
+    lines = [line.strip() for line in str(error).splitlines() if line.strip()]
+    return f"{type(error).__name__}: {lines[-1] if lines else ''}"
+
+
 def _flat(experiments: DataFrame) -> DataFrame:
     return experiments.select(
         "strategy",
@@ -119,11 +142,18 @@ def measured_suite(
 ) -> DataFrame:
     """Score ``sample_id, features`` repeatedly with every approach, for real.
 
-    Runs are repeated because they are measured. A run that fails becomes an
-    error record; the statistics and the text report follow the first run.
+    Runs are repeated because they are measured. Samples that can't be scored are set
+    aside in ``quarantine`` with their fault, and the others are scored. A run that
+    fails becomes an error record; the statistics and the text report follow the first run.
     """
+    check_workers(workers)
+    for size in (num_runs, batch_size, chunk_size, 1 if num_shards is None else num_shards):
+        if size < 1:
+            raise ValueError(f"runs, batches, chunks and shards must be positive, got {size}")
     spark = samples.sparkSession
-    numbered, count = number_rows(samples, "sample_id")
+    good, faulty = split_faulty(samples, feature_width(samples))
+    write_json(faulty, f"{out}/quarantine")
+    numbered, count = number_rows(good, "sample_id")
     assigned = assigned_rows(numbered, count, [workers], batch_size, chunk_size, num_shards)
     runs = None
     for run in range(1, num_runs + 1):
@@ -135,7 +165,7 @@ def measured_suite(
                 result = run_metrics(tasks, 1.0).withColumn("error", F.lit(None).cast("string"))
             except Exception as error:
                 result = spark.createDataFrame(
-                    [(approach, f"{type(error).__name__}: {str(error).splitlines()[0]}")],
+                    [(approach, error_text(error))],
                     "approach string, error string",
                 )
             row = result.withColumns(

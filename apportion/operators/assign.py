@@ -123,10 +123,24 @@ def assign(samples: DataFrame, strategy: str, workers: int) -> DataFrame:
 def lay_out_by_worker(assigned: DataFrame, workers: int, salt: str, tasks: int) -> DataFrame:
     """Bring rows of a worker together physically, before per-task Python work.
 
-    A worker may own most of the table, so each is spread over several tasks by
-    a row-level salt; no task mixes in rows by chance of hashing whole workers.
+    Every worker has tasks of its own, as many as its share of the rows is worth and at least
+    one; a row-level salt spreads its rows over them. So no task mixes workers, and a
+    worker that owns most of the table is spread over most of the tasks. ``slot`` is
+    the row's place among its worker's tasks.
     """
     check_workers(workers)
-    per_worker = max(1, tasks // workers)
-    slot = F.pmod(F.xxhash64(salt), F.lit(per_worker))
-    return assigned.withColumn("slot", slot.cast("int")).repartition(tasks, "worker", "slot")
+    # One row per worker.
+    found = assigned.groupBy("worker").agg(F.count("*").alias("n")).collect()
+    rows = {r.worker: r.n for r in found}
+    total, spare = sum(rows.values()), max(0, tasks - len(rows))
+    first, slots, at = {}, {}, 0
+    for worker in sorted(rows):
+        first[worker], slots[worker] = at, 1 + spare * rows[worker] // total
+        at += slots[worker]
+    if not rows:
+        return assigned.withColumn("slot", F.lit(0))
+    pick = lambda values: F.element_at(
+        F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("worker")
+    )
+    slot = F.pmod(F.xxhash64(salt), pick(slots)).cast("int")
+    return assigned.withColumn("slot", slot).repartitionById(at, pick(first) + F.col("slot"))

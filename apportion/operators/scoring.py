@@ -6,12 +6,12 @@ import resource
 import sys
 import time
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -29,14 +29,28 @@ MAX_SHIPPED_WEIGHTS = 1 << 24
 Model = Callable[[np.ndarray], np.ndarray]
 
 
-def prototype_model(samples: DataFrame, dimensions: int) -> DataFrame:
+def feature_width(samples: DataFrame) -> int:
+    """The length that most vectors have, the greater of equally frequent ones; 0 without vectors."""
+    sizes = samples.where(F.col("features").isNotNull()).groupBy(F.size("features").alias("width"))
+    found = sizes.agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+    return 0 if found is None else found.width
+
+
+def prototype_model(samples: DataFrame, dimensions: int | None = None) -> DataFrame:
     """One class per label, weighted by the mean features of its samples.
 
-    All means of a label are one aggregation buffer, combined before the
-    shuffle; the features are never exploded.
+    Vectors of another length than ``dimensions``, by default that of most, and
+    vectors with missing or non-finite elements take no part. All means of a label are
+    one vector that is combined before the shuffle; features are never exploded.
     """
-    means = [F.avg(F.col("features")[i].cast("double")) for i in range(dimensions)]
-    return samples.groupBy(F.col("label").alias("class_id")).agg(F.array(*means).alias("weights"))
+    width = feature_width(samples) if dimensions is None else dimensions
+    vector = array_to_vector(F.transform("features", lambda x: x.cast("double")))
+    mean = Summarizer.mean(vector)
+    return (
+        samples.where(is_scorable(width))
+        .groupBy(F.col("label").alias("class_id"))
+        .agg(vector_to_array(mean).alias("weights"))
+    )
 
 
 def load_weights(model: DataFrame, limit: int = MAX_SHIPPED_WEIGHTS) -> tuple[list[int], np.ndarray]:
@@ -146,9 +160,13 @@ def measured_tasks(assigned: DataFrame, load_model: Callable[[], Model]) -> Data
                 continue
             table = pa.Table.from_batches([batch])
             pieces = []
-            for key in table.group_by(keys).aggregate([]).to_pylist():
-                same = [pc.equal(table[k], key[k]) for k in keys]
-                features = _matrix(table.filter(reduce(pc.and_, same))["features"].combine_chunks())
+            table = table.sort_by([(k, "ascending") for k in keys])
+            runs = table.group_by(keys, use_threads=False).aggregate([([], "count_all")]).to_pylist()
+            first = 0
+            for key in runs:
+                count = key.pop("count_all")
+                features = _matrix(table["features"].slice(first, count).combine_chunks())
+                first += count
                 wall, cpu = time.perf_counter(), time.process_time()
                 scored = len(model(features))
                 wall, cpu = time.perf_counter() - wall, time.process_time() - cpu

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apportion.functions.guards import or_zero
+from apportion.functions.guards import or_zero, ratio
 from apportion.plans.stream_matrix import StreamProfile
 
 
@@ -27,7 +27,7 @@ def experiment_documents(
         F.lit(None).cast("string").alias("error"),
         F.struct(
             F.col("stream_rate").alias("target_rate"),
-            (F.lit(profile.generated) / seconds).alias("actual_rate"),
+            ratio(F.lit(profile.generated), seconds).alias("actual_rate"),
             seconds.alias("elapsed_time"),
             F.lit(profile.generated).cast("bigint").alias("generated_samples"),
             "rate_accuracy",

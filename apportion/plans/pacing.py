@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from apportion.functions.guards import percent, ratio, whole
 
 
-def schedule(samples: DataFrame, start_us: int, interval_us: int) -> DataFrame:
-    """When each sample is due, and by how much it comes early or late.
+def schedule(samples: DataFrame, start_us: int, rate: int, time_scale: int = 1) -> DataFrame:
+    """When each sample is due at ``rate`` samples a second, and how much it is early or late.
 
-    An early sample waits until it is due; a late one is kept and goes at once.
+    Due times are whole microseconds and never drift, whatever the rate. An early sample waits until it is due; a late one is kept and goes at once.
     """
-    due = F.lit(start_us) + F.col("seq") * interval_us
+    if rate < 1 or time_scale < 1:
+        raise ValueError(f"rate and time scale must be positive, got {rate} and {time_scale}")
+    due = F.lit(start_us) + whole(F.col("seq") * (1_000_000 * time_scale), rate)
     early = due - F.col("arrival_us")
     return samples.select(
         "seq",

@@ -4,6 +4,7 @@ from apportion.sources.results import (
     read_experiments,
     read_json,
     read_text,
+    stored_experiments,
     write_csv,
     write_json,
     write_text,
@@ -32,6 +33,7 @@ __all__ = [
     "read_json",
     "read_table",
     "read_text",
+    "stored_experiments",
     "table_path",
     "to_event_samples",
     "vector_samples",

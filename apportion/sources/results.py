@@ -62,6 +62,14 @@ def append_experiments(experiments: DataFrame, path: str) -> None:
     )
 
 
+def stored_experiments(spark: SparkSession, path: str) -> DataFrame:
+    """What is stored so far, which may be nothing."""
+    try:
+        return read_experiments(spark, path)
+    except AnalysisException:
+        return spark.createDataFrame([], EXPERIMENT)
+
+
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     columns = spark.createDataFrame([], EXPERIMENT).columns
     return spark.read.schema(EXPERIMENT).json(path).select(*columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apportion.functions.content import event_content
 from apportion.functions.guards import whole
+from apportion.operators.ordinal import with_ordinal
 from apportion.schemas import TABLES
 
 # How the test stream stands in for a paced image stream. One second of stream
@@ -29,6 +30,9 @@ def read_table(spark: SparkSession, base: str, name: str, *columns: str) -> Data
 def to_event_samples(events: DataFrame) -> DataFrame:
     """Stream samples from ``events`` rows; works on a batch or a stream.
 
+    ``seq`` is the row's id. Where a position is wanted, :func:`event_samples` numbers
+    a table's rows, and numbered runs those of a stream.
+
     Costs and readings are integers (microseconds, hundredths, megabytes), so
     their sums do not depend on the order in which Spark adds them.
     """
@@ -48,7 +52,9 @@ def to_event_samples(events: DataFrame) -> DataFrame:
 
 
 def event_samples(spark: SparkSession, base: str) -> DataFrame:
-    return to_event_samples(read_table(spark, base, "events"))
+    """The events as samples; ``seq`` is the position in the order of ids, from 0 without gaps."""
+    events = with_ordinal(read_table(spark, base, "events"), "event_id", name="position")
+    return to_event_samples(events.withColumn("event_id", F.col("position")))
 
 
 def vector_samples(spark: SparkSession, base: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from apportion.operators.assign import assign
 from apportion.operators.queueing import BLOCK_ROWS, schedule_from
 from apportion.session import scratch_dir
-from apportion.streaming.runner import run_each_batch
+from apportion.streaming.runner import Positions, run_each_batch
 
 
 def routed_counts(samples: DataFrame, strategy: str, workers: int, window: str) -> DataFrame:
@@ -29,19 +29,25 @@ def once_per_sample(samples: DataFrame, delay: str) -> DataFrame:
 
 
 def backlog(
-    samples: DataFrame, lanes: Sequence[str], block_rows: int = BLOCK_ROWS, base: str | None = None
+    samples: DataFrame,
+    lanes: Sequence[str],
+    block_rows: int = BLOCK_ROWS,
+    base: str | None = None,
+    route: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Start and finish times of routed samples, micro-batch by micro-batch.
 
     Only the time at which each worker becomes free passes from one micro-batch
     to the next. Within a micro-batch the schedule is the blocked scan of the
     batch operator, so one busy worker does not tie the stream to one task.
-    Files must arrive in ``seq`` order. Run again on the same ``base`` folder,
-    the stream continues where it stopped.
+    Samples are numbered over the micro-batches and then get their lanes by ``route``; a
+    micro-batch that begins before the last one ended is refused. Run again on the
+    same ``base`` folder, the stream continues where it stopped.
     """
     spark = samples.sparkSession
     base = base or scratch_dir(spark, "backlog")
     out, state = f"{base}/rows", f"{base}/state"
+    positions = Positions(f"{base}/positions")
     free_schema = ", ".join(f"{lane} int" for lane in lanes) + ", free_at bigint"
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -50,7 +56,8 @@ def backlog(
             free = session.createDataFrame([], free_schema)
         else:
             free = session.read.schema(free_schema).parquet(f"{state}/{batch_id - 1}")
-        waiting = batch.join(free, list(lanes), "left")
+        routed = route(positions.number(batch, batch_id))
+        waiting = routed.join(free, list(lanes), "left")
         scheduled = schedule_from(waiting, lanes, block_rows, F.col("free_at"))
         part = f"{out}/micro_batch={batch_id}"
         scheduled.drop("free_at").write.mode("overwrite").parquet(part)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from apportion.operators.ordinal import number_rows
 from apportion.session import scratch_dir
 
 
@@ -44,6 +46,66 @@ def run_each_batch(
     )
 
 
+class Positions:
+    """Counts the samples of a stream over its micro-batches.
+
+    Position and round robin must not depend on what the ids happen to be. A
+    micro-batch is numbered in the order of ``seq`` from where the one before ended;
+    that place is kept by batch id, so a repeated batch gets the same numbers.
+    Micro-batches have to follow one another in that order.
+    """
+
+    schema = "seen bigint, last bigint"
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def number(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The rows with ``seq`` replaced by the position in the stream."""
+        session = batch.sparkSession
+        seen, last = 0, None
+        if batch_id > 0:
+            seen, last = session.read.schema(self.schema).parquet(f"{self.path}/{batch_id - 1}").first()
+        low, high = batch.agg(F.min("seq"), F.max("seq")).first()
+        if low is not None and last is not None and low < last:
+            raise ValueError(f"sample {low} arrives after sample {last}")
+        numbered, count = number_rows(batch, "seq", name="__position")
+        after = seen + count, last if high is None else high
+        session.createDataFrame([after], self.schema).write.mode("overwrite").parquet(
+            f"{self.path}/{batch_id}"
+        )
+        return numbered.withColumn("seq", F.col("__position") + seen).drop("__position")
+
+
+def run_numbered(
+    stream: DataFrame,
+    purpose: str,
+    transform: Callable[[DataFrame], DataFrame],
+    base: str | None = None,
+) -> DataFrame:
+    """Apply ``transform`` to micro-batches whose ``seq`` is the position in the stream.
+
+    Each micro-batch is written under its id, exactly once. Called again with the same folder it
+    continues where the last run stopped.
+    """
+    spark = stream.sparkSession
+    base = base or scratch_dir(spark, purpose)
+    positions = Positions(f"{base}/positions")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = transform(positions.number(batch, batch_id))
+        rows.write.mode("overwrite").parquet(f"{base}/rows/micro_batch={batch_id}")
+
+    run_each_batch(stream, step, f"{base}/checkpoint")
+    empty = spark.createDataFrame([], stream.schema)
+    schema = transform(empty).schema
+    try:
+        found = spark.read.schema(schema).parquet(f"{base}/rows")
+    except AnalysisException:  # a stream that never had a micro-batch
+        return spark.createDataFrame([], schema)
+    return found
+
+
 def run_aggregate(stream: DataFrame, purpose: str) -> DataFrame:
     """The final state of a streaming aggregate, one version per micro-batch."""
     spark = stream.sparkSession

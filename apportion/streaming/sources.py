@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apportion.schemas import TABLES
+from apportion.sources.tables import table_path
 
 
 def rate_stream(spark: SparkSession, samples_per_second: int, start: datetime | None = None) -> DataFrame:
@@ -29,17 +30,28 @@ def rate_stream(spark: SparkSession, samples_per_second: int, start: datetime |
 
 
 def table_stream(
-    spark: SparkSession, folder: str, name: str, pattern: str | None = None, files_per_trigger: int = 1
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    pattern: str | None = None,
+    bytes_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Replay the files of a table, in order of their modification time."""
-    return (
-        spark.readStream.schema(TABLES[name])
-        .option("pathGlobFilter", pattern or f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    """Replay the files of a table, in order of their modification time.
+
+    The table is a file or a folder of parts; with ``pattern``, the files in ``folder`` that
+    match. A micro-batch takes files up to ``bytes_per_trigger``, or all there are.
+    """
+    reader = spark.readStream.schema(TABLES[name])
+    if bytes_per_trigger is not None:
+        reader = reader.option("maxBytesPerTrigger", str(bytes_per_trigger))
+    if pattern is not None:
+        return reader.option("pathGlobFilter", pattern).parquet(folder)
+    return reader.option("recursiveFileLookup", "true").parquet(table_path(folder, name))
 
 
 def bounded(stream: DataFrame, max_samples: int) -> DataFrame:
-    """Stop emitting once ``max_samples`` samples have been generated."""
+    """Stop emitting once ``max_samples`` samples have been generated.
+
+    ``seq`` is the position of a sample, as numbered runs give it.
+    """
     return stream.filter(F.col("seq") < max_samples)

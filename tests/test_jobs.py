@@ -1,3 +1,5 @@
+import pytest
+
 from apportion import jobs, schemas
 from apportion.operators.scoring import linear_model, load_weights, prototype_model
 from apportion.session import scratch_dir
@@ -55,3 +57,52 @@ def test_measured_suite_records_a_broken_model(spark, sf_dir):
 
     statistics = jobs.measured_suite(vector_samples(spark, sf_dir), load, out, 2, 1)
     assert statistics.count() == 3 and statistics.filter("error is null").count() == 0
+
+
+def test_a_failing_sink_leaves_stored_cells(spark, sf_dir, tmp_path, monkeypatch):
+    out = str(tmp_path / "sink")
+
+    def broken(table, path, **options):
+        raise OSError("no space left")
+
+    monkeypatch.setattr(jobs, "write_csv", broken)
+    with pytest.raises(OSError):
+        jobs.streaming_matrix(event_samples(spark, sf_dir), out, worker_counts=[1], rates=[500])
+    stored = spark.read.json(f"{out}/experiments")
+    assert stored.where("total_processed > 0").count() == stored.count() == 3
+
+
+def test_a_failing_run_keeps_the_cells_of_an_earlier_one(spark, sf_dir, tmp_path):
+    out = str(tmp_path / "kept")
+    samples = event_samples(spark, sf_dir)
+    jobs.streaming_matrix(samples, out, worker_counts=[1], rates=[500])
+    after = jobs.streaming_matrix(samples.drop("content"), out, worker_counts=[1, 2], rates=[500])
+    rows = {(r.strategy, r.num_workers): r.error for r in after.collect()}
+    assert len(rows) == 6
+    assert all((error is None) == (workers == 1) for (_, workers), error in rows.items())
+
+
+def test_a_stream_of_one_sample_has_no_rate(spark, sf_dir, tmp_path):
+    found = jobs.streaming_matrix(
+        event_samples(spark, sf_dir), str(tmp_path / "one"), worker_counts=[1], rates=[500], max_samples=1)
+    assert [(r.error, r.stream_metrics.actual_rate) for r in found.collect()] == [(None, 0.0)] * 3
+
+
+@pytest.mark.parametrize("wrong", [{"rates": [0]}, {"worker_counts": [0]}, {"strategies": ["odd"]}, {"time_scale": 0}])
+def test_wrong_settings_are_refused_before_any_job(spark, sf_dir, tmp_path, wrong):
+    with pytest.raises(ValueError):
+        jobs.streaming_matrix(event_samples(spark, sf_dir), str(tmp_path / "wrong"), **wrong)
+    assert not (tmp_path / "wrong").exists()
+
+
+def test_one_bad_row_costs_one_row(spark, sf_dir, tmp_path):
+    from apportion.operators.scoring import linear_model, load_weights, prototype_model
+
+    samples = vector_samples(spark, sf_dir).limit(30)
+    _, weights = load_weights(prototype_model(samples))
+    bad = spark.createDataFrame([(-1, None, 0)], samples.schema)
+    out = str(tmp_path / "suite")
+    jobs.measured_suite(samples.unionByName(bad), linear_model(weights), out, workers=2, num_runs=1)
+    runs = spark.read.json(f"{out}/runs")
+    assert "error" not in runs.columns or runs.where("error is not null").count() == 0
+    assert [r.sample_id for r in spark.read.json(f"{out}/quarantine").collect()] == [-1]

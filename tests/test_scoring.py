@@ -88,3 +88,17 @@ def test_workers_do_not_need_the_package(tmp_path):
         [sys.executable, str(script)], cwd=tmp_path, env=environment, capture_output=True, timeout=300
     )
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_wide_vectors_score_fully_and_odd_ones_are_set_aside(spark):
+    wide = [(i, [float(i % 3 == k) for k in range(128)], i % 3) for i in range(30)]
+    odd = [(100, None, 0), (101, [1.0] * 64, 1), (102, [float("nan")] * 128, 2)]
+    samples = spark.createDataFrame([*wide, *odd], "sample_id long, features array<float>, label int")
+    width = scoring.feature_width(samples)
+    good, bad = scoring.split_faulty(samples, width)
+    model = scoring.prototype_model(samples)
+    assert width == 128 and {len(r.weights) for r in model.collect()} == {128}
+    scored = scoring.score_native(good, model).collect()
+    assert len(scored) == 30 and all(r.prediction == r.label and r.logit is not None for r in scored)
+    assert sorted((r.sample_id, r.fault) for r in bad.collect()) == [
+        (100, "missing features"), (101, "wrong length"), (102, "not finite")]

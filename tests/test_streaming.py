@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from apportion.operators.assign import assign
 from apportion.operators.queueing import fifo_schedule
 from apportion.operators.scoring import linear_model, load_weights, prototype_model, score_batches, score_native
+import __spark_entry__ as spark_entry
 from apportion.session import scratch_dir
 from apportion.sources import (
     cyclic_replay,
@@ -16,7 +17,7 @@ from apportion.sources import (
     vector_samples,
 )
 from apportion.streaming.operators import backlog, once_per_sample, routed_counts
-from apportion.streaming.runner import run_aggregate, run_each_batch, run_to_table
+from apportion.streaming.runner import run_aggregate, run_each_batch, run_numbered, run_to_table
 from apportion.streaming.sources import bounded, rate_stream, table_stream
 
 SF = "/root/testdata/sf0.01"
@@ -38,7 +39,7 @@ def pieces(spark, tmp_path_factory):
 
 
 def stream(spark, folder):
-    return to_event_samples(table_stream(spark, folder, "events", "events-*.parquet"))
+    return to_event_samples(table_stream(spark, folder, "events", "events-*.parquet", 60_000))
 
 
 def test_rate_stream_is_paced_in_event_time(spark):
@@ -69,8 +70,9 @@ def test_rate_must_be_positive(spark):
 
 def test_replayed_stream_cycles_through_samples(spark, pieces):
     samples = vector_samples(spark, SF).select(F.col("sample_id").alias("ordinal"), "label")
-    joined = cyclic_replay(bounded(stream(spark, pieces).select("seq"), 1200), samples, 500)
-    table = run_to_table(joined, "replayed")
+    table = run_numbered(
+        stream(spark, pieces).select("seq"), "replayed",
+        lambda rows: cyclic_replay(bounded(rows, 1200), samples, 500))
     assert table.count() == 1200
     assert table.filter(F.col("ordinal") != F.col("seq") % 500).count() == 0
 
@@ -86,8 +88,8 @@ def test_backlog_over_micro_batches_equals_batch(spark, pieces, strategy):
     columns = ["seq", "worker", "start_us", "finish_us"]
     routed = assign(event_samples(spark, SF).select("seq", "arrival_us", "service_us", "content"), strategy, 2)
     batch = fifo_schedule(routed, ["worker"]).select(*columns)
-    arriving = assign(stream(spark, pieces).select("seq", "arrival_us", "service_us", "content"), strategy, 2)
-    streamed = backlog(arriving, ["worker"], block_rows=512).select(*columns)
+    arriving = stream(spark, pieces).select("seq", "arrival_us", "service_us", "content")
+    streamed = backlog(arriving, ["worker"], 512, route=lambda rows: assign(rows, strategy, 2)).select(*columns)
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, streamed.collect()))
 
 
@@ -101,7 +103,7 @@ def test_backlog_continues_after_a_restart(spark, tmp_path, pieces):
         os.utime(target, (time.time() - 100 + i, time.time() - 100 + i))
         if i in (1, 4):
             arriving = stream(spark, str(folder)).select("seq", "arrival_us", "service_us")
-            streamed = backlog(assign(arriving, "uniform", 2), ["worker"], base=base)
+            streamed = backlog(arriving, ["worker"], base=base, route=lambda rows: assign(rows, "uniform", 2))
     routed = assign(event_samples(spark, SF).select("seq", "arrival_us", "service_us"), "uniform", 2)
     batch = fifo_schedule(routed, ["worker"])
     columns = ["seq", "worker", "finish_us"]
@@ -144,3 +146,45 @@ def test_an_error_stops_the_query_and_a_restart_loses_nothing(spark, pieces):
     run_each_batch(stream(spark, pieces), failing, checkpoint)
     seen.pop("failed")
     assert seen == {i: 2000 for i in range(5)}
+
+
+@pytest.fixture(scope="module")
+def spaced(spark, tmp_path_factory):
+    """The tables as folders of parts, with event ids that are neither dense nor start at 0."""
+    folder = str(tmp_path_factory.mktemp("spaced"))
+    for name in ("events", "embeddings"):
+        table = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "events":
+            table = table.withColumn("event_id", F.col("event_id") * 4 + 7)
+        key = table.columns[0]
+        table.repartitionByRange(4, key).sortWithinPartitions(key).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", [
+    "s4_paced_stream", "s6_bounded_stream", "w3_routed_counts_stream", "w4_fifo_finish_stream",
+    "w8_once_per_sample", "w9_restarted_stream", "i4_stream_score"])
+def test_streams_read_folders_and_number_their_samples(spark, spaced, name):
+    query = spark_entry.queries()[name]
+    found = query(spark, spaced)
+    expected = query(spark, "/root/testdata/sf0.001")
+    if name == "w8_once_per_sample":
+        expected = expected.select((F.col("seq") * 4 + 7).alias("seq"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_round_robin_and_bounds_count_samples_not_ids(spark, spaced):
+    samples = event_samples(spark, spaced)
+    assert {r["worker"]: r["count"] for r in assign(samples, "uniform", 4).groupBy("worker").count().collect()} == {
+        i: 250 for i in range(4)}
+    assert samples.where("seq < 500").count() == 500
+
+
+def test_micro_batches_out_of_order_are_refused(spark):
+    from apportion.streaming.runner import Positions
+
+    positions = Positions(scratch_dir(spark, "positions"))
+    later, earlier = spark.range(10, 20).toDF("seq"), spark.range(0, 5).toDF("seq")
+    assert positions.number(later, 0).agg(F.max("seq")).first()[0] == 9
+    with pytest.raises(ValueError):
+        positions.number(earlier, 1)
