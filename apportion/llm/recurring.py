@@ -177,13 +177,14 @@ def spans(rows: DataFrame, what: Recurrence) -> DataFrame:
 
     Ends may lie outside the text; they are cut where the spans are applied.
     """
-    counted = occurrences(rows, what).groupBy("a").agg(
+    seen = written(occurrences(rows, what), "anchors")
+    counted = seen.groupBy("a").agg(
         F.count("*").alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi"),
         F.min("ctx").alias("c1"), F.max("ctx").alias("c2"),
     )
     recurs = F.col("lo") < F.col("hi") if what.earlier else F.col("n") > 1
     anchors = counted.where(recurs).select("a", "lo", (F.col("c1") == F.col("c2")).alias("alike"))
-    hits = written(occurrences(rows, what).join(anchors, "a"), "occurrences")
+    hits = written(seen.join(anchors, "a"), "occurrences")
     alike = hits.where("alike and ord > lo" if what.earlier else "alike")
 
     differing = hits.where(~F.col("alike")).drop("lo", "alike")
