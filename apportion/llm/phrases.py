@@ -3,8 +3,8 @@
 Words covered by 50 consecutive words that are also in a document of smaller id are
 removed. :mod:`recurring` confirms which passages may recur and brings them
 together by shards. A shard's groups are taken in bounded batches: words become letters,
-the windows of all contexts are compiled into one Aho-Corasick automaton, each
-with the smallest document it comes from, and every context is streamed through it,
+the windows that contexts of two documents confirm are compiled into one Aho-Corasick automaton,
+each with the smallest document it comes from, and every context is streamed through it,
 which locates all occurrences of all windows at once.
 """
 
@@ -30,16 +30,20 @@ def compare(groups: list[R.Group], what: R.Recurrence) -> list[list[tuple[int, i
     """The reach of each member that documents of smaller order cover, around its anchor."""
     letters: dict[bytes, str] = {}
     coded = [[_letters(member[0], letters) for member in group] for group in groups]
+    # Windows with the smallest document that has them, and those that a second context confirms.
     first: dict[str, int] = {}
-    automaton = ahocorasick.Automaton()
+    confirmed: set[str] = set()
     for group, lines in zip(groups, coded, strict=True):
         for (_, left, o1, o2, order), line in zip(group, lines, strict=True):
             for i in range(max(0, left - o2), min(left - o1, len(line) - what.window) + 1):
                 window = line[i : i + what.window]
-                # A group comes in order, so of its members the first is the smallest.
-                if order < first.get(window, order + 1):
-                    first[window] = order
-                    automaton.add_word(window, order)
+                known = first.setdefault(window, order)
+                if known != order:
+                    confirmed.add(window)
+                    first[window] = min(known, order)
+    automaton = ahocorasick.Automaton()
+    for window in confirmed:
+        automaton.add_word(window, first[window])
     if not len(automaton):
         return [[None] * len(g) for g in groups]
     automaton.make_automaton()
