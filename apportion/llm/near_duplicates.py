@@ -31,6 +31,7 @@ from apportion.llm.words import mixed, shingles, word_hashes
 from apportion.session import written
 
 SLOTS, BANDS = 64, 16
+FIRST_BANDS = 4
 WORDS = 5
 LIMIT = 0.8
 # Of 64 slots 51 agree on average at the limit; half of them is six deviations less.
@@ -104,7 +105,7 @@ def _band(i: int) -> Column:
 
 
 def _keyed(signed: DataFrame, keys: list[Column]) -> DataFrame:
-    return signed.select("node", F.explode(F.array(*keys)).alias("key"))
+    return signed.select("node", F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
 def _leaders(members: DataFrame) -> DataFrame:
@@ -205,19 +206,25 @@ def near_components(texts: DataFrame, limit: float = LIMIT) -> DataFrame:
     shared = written(members.join(leaders.select("key"), "key", "left_semi"), "buckets")
     sets = written(_sets(texts, shared.select("node").distinct()), "shingles")
 
-    first = _likely(_pairs(shared, leaders, ["low"]), signed)
-    links = written(_verified(first, sets, limit), "links")
-    found = written(components(links.select("a", "b")), "components")
+    def linked(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Components after the pairs that lie across known ones have been verified."""
+        across = pairs if known is None else _across(pairs, known)
+        links = _verified(_likely(across, signed), sets, limit).select("a", "b")
+        if known is not None:
+            # A component stands for the links that made it.
+            links = links.unionAll(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return written(components(written(links, "links")), "components")
+
+    # Few bands find most links; the others then have to look across components only.
+    early = F.col("band") < FIRST_BANDS
+    found = linked(_pairs(shared.where(early), leaders, ["low"]), None)
+    found = linked(_pairs(shared.where(~early), leaders, ["low"]), found)
     # Nodes of buckets that still hold more than one component are tried again in buckets
     # of two bands each, against three leaders.
-    open_ = _unresolved(shared, found)
-    again = signed.join(open_, "node", "left_semi")
+    again = signed.join(_unresolved(shared, found), "node", "left_semi")
     narrow = _keyed(again, [F.xxhash64(_band(i), _band(j)) for i, j in combinations(range(BANDS), 2)])
     narrow_leaders = written(_leaders(narrow), "leaders")
-    pairs = _pairs(narrow, narrow_leaders, ["low", "high", "chance"])
-    pairs = _across(pairs, found)
-    more = written(_verified(_likely(pairs, signed), sets, limit), "links")
-    return written(components(links.unionAll(more).select("a", "b")), "components")
+    return linked(_pairs(narrow, narrow_leaders, ["low", "high", "chance"]), found)
 
 
 def _labelled(table: DataFrame, found: DataFrame, name: str, label: str) -> DataFrame:
