@@ -1,12 +1,16 @@
 """Exact duplicate removal with a logarithmic family of suffix arrays.
 
 Bytes covered by a string of 400 bytes that also starts anywhere else are removed.
-:mod:`recurring` brings the candidate places together, each context once; in a
-group the contexts arrive in batches. A batch gets a suffix array, the starts
-of its windows in the order of what they read. It is scanned against itself and,
-merge-wise, against the arrays of the levels that are there, and equal windows mark
-both sides. Then it joins the family: two arrays of a level merge into one of the next,
-so every start is merged a logarithmic number of times.
+:mod:`recurring` brings the candidate places together, each context once. Equal
+strings hold their anchor at the same place, so two contexts have one in common if
+what they share to the left of the anchor and from it on is long enough together.
+
+In a group the contexts arrive in batches. A batch gets two suffix arrays, of what
+follows its anchors and of what stands before them read backwards. They are
+scanned merge-wise with those of the levels that are there: in the merged order the smallest
+common prefix of neighbours between two contexts is what these share. Then the batch
+joins the family: two arrays of a level merge into one of the next, so every
+context is merged a logarithmic number of times.
 """
 
 from __future__ import annotations
@@ -26,72 +30,114 @@ GRAM = 64
 BATCH = 64
 
 
+def common(one: bytes, other: bytes) -> int:
+    """Length of the common prefix, by bisection."""
+    low, high = 0, min(len(one), len(other))
+    if one[:high] == other[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if one[low:middle] == other[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def shared(texts: list[bytes], order: list[int], first: int) -> np.ndarray:
+    """Common prefixes of the texts of a sorted ``order``: rows from ``first`` on, all columns.
+
+    Texts are numbered by their places in the family's merged list of members.
+    """
+    n = len(order)
+    neighbours = np.array(
+        [common(texts[a], texts[b]) for a, b in zip(order, order[1:], strict=False)], dtype=np.int32
+    )
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    out = np.zeros((n - first, n), dtype=np.int32)
+    for row in range(n - first):
+        at = place[first + row]
+        along = np.zeros(n, dtype=np.int32)
+        along[at + 1 :] = np.minimum.accumulate(neighbours[at:])
+        along[:at] = np.minimum.accumulate(neighbours[:at][::-1])[::-1]
+        out[row, order] = along
+    return out
+
+
 class Family:
     """Suffix arrays of one group: level i holds 2^i batches, or nothing.
 
-    An array is a list of starts (member, offset), sorted by the window there, then by how
-    far before the anchor it begins. Equal windows have the anchor at the same
-    place, and two contexts of one document may hold the same bytes, so only
-    windows that agree in both are two places with one content.
+    A level is a list of members with their order by what follows the anchor, and by what stands
+    before it. ``reach`` has what of each member is covered, around its anchor.
     """
 
     def __init__(self, length: int):
         self.length = length
-        self.texts: list[bytes] = []
-        self.lefts: list[int] = []
-        self.levels: list[list[tuple[int, int]] | None] = []
-        self.shared: set[tuple[int, int]] = set()
-
-    def window(self, start: tuple[int, int]) -> bytes:
-        member, offset = start
-        before = self.lefts[member] - offset
-        return self.texts[member][offset : offset + self.length] + before.to_bytes(4, "big")
-
-    def add(self, members: list[tuple[bytes, int, range]]) -> None:
-        """A batch of texts, their units before the anchor, and the offsets whose windows count."""
-        first = len(self.texts)
-        self.texts += [text for text, _, _ in members]
-        self.lefts += [left for _, left, _ in members]
-        starts = [(first + i, o) for i, (_, _, offsets) in enumerate(members) for o in offsets]
-        array = sorted(starts, key=self.window)
-        self._scan(array)
-        level = 0
+        self.after: list[bytes] = []
+        self.before: list[bytes] = []
+        self.limits: list[tuple[int, int]] = []
+        self.reach: list[tuple[int, int] | None] = []
+        self.levels: list[tuple[list[int], list[int]] | None] = []
+
+    def add(self, members: list[tuple[bytes, int, int, int]]) -> None:
+        """A batch: contexts, bytes before the anchor, and how far before it windows begin at least and most."""
+        first = len(self.after)
+        for segment, left, o1, o2 in members:
+            self.after.append(segment[left:])
+            self.before.append(segment[:left][::-1])
+            self.limits.append((o1, o2))
+            self.reach.append(None)
+        numbers = list(range(first, len(self.after)))
+        array = self._sorted(numbers)
+        self._scan(([], []), array)
         for held in self.levels:
             if held:
-                self._merge_scan(array, held)
+                self._scan(held, array)
+        level = 0
         while level < len(self.levels) and self.levels[level]:
-            # Two sorted runs: the sort merges them.
-            array = sorted(self.levels[level] + array, key=self.window)
+            held = self.levels[level]
+            array = self._sorted(held[0] + array[0], held[1] + array[1])
             self.levels[level] = None
             level += 1
         if level == len(self.levels):
             self.levels.append(None)
         self.levels[level] = array
 
-    def _scan(self, array: list[tuple[int, int]]) -> None:
-        before, last = None, None
-        for start in array:
-            window = self.window(start)
-            if window == last:
-                self.shared.add(before)
-                self.shared.add(start)
-            before, last = start, window
-
-    def _merge_scan(self, array: list[tuple[int, int]], held: list[tuple[int, int]]) -> None:
-        i = j = 0
-        while i < len(array) and j < len(held):
-            one, other = self.window(array[i]), self.window(held[j])
-            if one == other:
-                while i < len(array) and self.window(array[i]) == one:
-                    self.shared.add(array[i])
-                    i += 1
-                while j < len(held) and self.window(held[j]) == one:
-                    self.shared.add(held[j])
-                    j += 1
-            elif one < other:
-                i += 1
-            else:
-                j += 1
+    def _sorted(self, after: list[int], before: list[int] | None = None) -> tuple[list[int], list[int]]:
+        """Both orders; sorted runs that follow one another are merged by the sort."""
+        return (
+            sorted(after, key=self.after.__getitem__),
+            sorted(after if before is None else before, key=self.before.__getitem__),
+        )
+
+    def _scan(self, held: tuple[list[int], list[int]], array: tuple[list[int], list[int]]) -> None:
+        """Holds the members of an array against those of a level, or against each other."""
+        members = sorted(held[0]) + sorted(array[0])
+        first = len(held[0])
+        local = {m: i for i, m in enumerate(members)}
+        after, before = self._sorted(held[0] + array[0], held[1] + array[1])
+        texts = [self.after[m] for m in members]
+        right = shared(texts, [local[m] for m in after], first)
+        left = shared([self.before[m] for m in members], [local[m] for m in before], first)
+        limits = np.array([self.limits[m] for m in members], dtype=np.int32)
+        # Windows may begin from ``low`` to ``high`` bytes before the anchor.
+        low = np.maximum(limits[None, :, 0], self.length - right)
+        high = np.minimum(limits[None, :, 1], left)
+        meets = low <= high
+        rows = np.arange(len(members) - first)
+        meets[rows, first + rows] = False
+        for row in np.flatnonzero(meets.any(axis=1)):
+            ok = meets[row]
+            self._cover(members[first + row], int(low[row][ok].min()), int(high[row][ok].max()))
+        for column in np.flatnonzero(meets.any(axis=0)):
+            ok = meets[:, column]
+            self._cover(members[column], int(low[ok, column].min()), int(high[ok, column].max()))
+
+    def _cover(self, member: int, low: int, high: int) -> None:
+        known = self.reach[member]
+        s, e = -high, self.length - low
+        self.reach[member] = (s, e) if known is None else (min(known[0], s), max(known[1], e))
 
 
 def compare(groups: list[R.Group], what: R.Recurrence) -> list[list[tuple[int, int] | None]]:
@@ -100,24 +146,11 @@ def compare(groups: list[R.Group], what: R.Recurrence) -> list[list[tuple[int, i
     for group in groups:
         family = Family(what.window)
         for i in range(0, len(group), BATCH):
-            family.add([(m[0], m[1], _offsets(m, what)) for m in group[i : i + BATCH]])
-        reach: list[tuple[int, int] | None] = [None] * len(group)
-        for member, offset in family.shared:
-            s = offset - group[member][1]
-            known = reach[member]
-            e = s + what.window
-            reach[member] = (s, e) if known is None else (min(known[0], s), max(known[1], e))
-        out.append(reach)
+            family.add([m[:4] for m in group[i : i + BATCH]])
+        out.append(family.reach)
     return out
 
 
-def _offsets(member: tuple, what: R.Recurrence) -> range:
-    """Starts of the windows that hold the anchor and reach as far left as the group asks."""
-    segment, left, o1, o2, _ = member
-    last = what.units.count(segment) - what.window
-    return range(max(0, left - o2), min(left - o1, last) + 1)
-
-
 BYTES = R.Recurrence(R.ByteUnits(), LENGTH, GRAM, False, compare)
 
 
