@@ -28,6 +28,7 @@ from apportion.llm import recurring as R
 LENGTH = 400
 GRAM = 64
 BATCH = 64
+_FAR = 1 << 30
 
 
 def common(one: bytes, other: bytes) -> int:
@@ -69,7 +70,8 @@ class Family:
     """Suffix arrays of one group: level i holds 2^i batches, or nothing.
 
     A level is a list of members with their order by what follows the anchor, and by what stands
-    before it. ``reach`` has what of each member is covered, around its anchor.
+    before it. ``low`` and ``high`` are how far before its anchor the last and the first
+    window begin that a member has in common with another.
     """
 
     def __init__(self, length: int):
@@ -77,7 +79,8 @@ class Family:
         self.after: list[bytes] = []
         self.before: list[bytes] = []
         self.limits: list[tuple[int, int]] = []
-        self.reach: list[tuple[int, int] | None] = []
+        self.low = np.zeros(0, dtype=np.int32)
+        self.high = np.zeros(0, dtype=np.int32)
         self.levels: list[tuple[list[int], list[int]] | None] = []
 
     def add(self, members: list[tuple[bytes, int, int, int]]) -> None:
@@ -87,7 +90,8 @@ class Family:
             self.after.append(segment[left:])
             self.before.append(segment[:left][::-1])
             self.limits.append((o1, o2))
-            self.reach.append(None)
+        self.low = np.append(self.low, np.full(len(members), _FAR, dtype=np.int32))
+        self.high = np.append(self.high, np.full(len(members), -1, dtype=np.int32))
         numbers = list(range(first, len(self.after)))
         array = self._sorted(numbers)
         self._scan(([], []), array)
@@ -127,17 +131,19 @@ class Family:
         meets = low <= high
         rows = np.arange(len(members) - first)
         meets[rows, first + rows] = False
-        for row in np.flatnonzero(meets.any(axis=1)):
-            ok = meets[row]
-            self._cover(members[first + row], int(low[row][ok].min()), int(high[row][ok].max()))
-        for column in np.flatnonzero(meets.any(axis=0)):
-            ok = meets[:, column]
-            self._cover(members[column], int(low[ok, column].min()), int(high[ok, column].max()))
+        if not meets.any():
+            return
+        low, high = np.where(meets, low, _FAR), np.where(meets, high, -1)
+        for axis, numbers in ((1, np.array(members[first:])), (0, np.array(members))):
+            self.low[numbers] = np.minimum(self.low[numbers], low.min(axis=axis))
+            self.high[numbers] = np.maximum(self.high[numbers], high.max(axis=axis))
 
-    def _cover(self, member: int, low: int, high: int) -> None:
-        known = self.reach[member]
-        s, e = -high, self.length - low
-        self.reach[member] = (s, e) if known is None else (min(known[0], s), max(known[1], e))
+    def reach(self) -> list[tuple[int, int] | None]:
+        """What of each member is covered, around its anchor."""
+        return [
+            (-high, self.length - low) if high >= 0 else None
+            for low, high in zip(self.low.tolist(), self.high.tolist(), strict=True)
+        ]
 
 
 def compare(groups: list[R.Group], what: R.Recurrence) -> list[list[tuple[int, int] | None]]:
@@ -147,7 +153,7 @@ def compare(groups: list[R.Group], what: R.Recurrence) -> list[list[tuple[int, i
         family = Family(what.window)
         for i in range(0, len(group), BATCH):
             family.add([m[:4] for m in group[i : i + BATCH]])
-        out.append(family.reach)
+        out.append(family.reach())
     return out
 
 
