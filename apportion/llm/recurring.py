@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from apportion.llm import words as W
 from apportion.session import written
 
-GROUP = 512
+GROUP = 4096
 _CHUNK = 1 << 20
 _LAST = (1 << 63) - 1
 
