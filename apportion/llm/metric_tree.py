@@ -23,9 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 1 << 15
+SHARD_ROWS = 1 << 13
 QUERY_ROWS = 1 << 12
-PAGE = 128
+PAGE = 512
+# Whole numbers up to this size are exact in floating point, which multiplies faster.
+_EXACT = float(1 << 52)
 _SLACK = 1e-6
 
 
@@ -52,6 +54,9 @@ class MTree:
         self.points = np.column_stack([vectors.astype(np.float64), lift])
         self.top = top
         self.computed = 0
+        # No partial sum of a product exceeds the greatest squared norm times the length.
+        if top * max(1, vectors.shape[-1]) < _EXACT:
+            self.vectors = vectors.astype(np.float64)
         every = np.arange(len(ids))
         self.root = self._load(every, self.points.mean(axis=0)) if len(ids) else None
 
@@ -98,11 +103,11 @@ class MTree:
             if page.pages is None:
                 rows = page.rows[gap <= reach]
                 self.computed += len(rows)
-                scores = self.vectors[rows] @ query
+                scores = self.vectors[rows] @ query.astype(self.vectors.dtype)
                 if len(best) == k:
                     keep = scores >= best[0][0]
                     rows, scores = rows[keep], scores[keep]
-                for score, name in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
+                for score, name in zip(map(int, scores.tolist()), self.ids[rows].tolist(), strict=True):
                     if name == own:
                         continue
                     if len(best) < k:
