@@ -6,11 +6,12 @@ slot, and a slot keeps the shingle that arrives first. A shingle is dropped once
 its latest arrival is later than the first ones of all slots. Two texts agree in a slot
 with a probability equal to the probability Jaccard similarity of their weights.
 
-Texts that agree in all slots of a band are candidates. Within a band's
-bucket each text is held against leaders, not against all others; buckets that
-still hold several components are cut by pairs of bands and tried again. A
-candidate is a link if the exact Jaccard similarity of the shingle sets
-reaches the limit. A class is a connected component of links.
+Texts that agree in all slots of a band are candidates. A candidate is a link if the
+exact Jaccard similarity of the shingle sets reaches the limit. A class is a connected
+component of links, so candidates of one component need not be compared: within a
+band's bucket each text is first held against a leader, then against the
+one with most links, and at last all that are still apart against each other, in
+blocks of bounded size.
 
 Copies are one node all along: nodes are digests of texts, so thousands of copies
 or a text shared by a third of the rows cost one node, and rows meet it at the end.
@@ -19,7 +20,6 @@ or a text shared by a third of the rows cost one node, and rows meet it at the e
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ SLOTS, BANDS = 64, 16
 FIRST_BANDS = 4
 WORDS = 5
 LIMIT = 0.8
+# Members of a bucket that are compared at once with as many others, and shingles at once.
+BLOCK, _COLUMNS = 128, 1 << 13
 # Of 64 slots 51 agree on average at the limit; half of them is six deviations less.
 LEAST_AGREEMENT = 0.5
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
@@ -109,28 +111,14 @@ def _keyed(signed: DataFrame, keys: list[Column]) -> DataFrame:
 
 
 def _leaders(members: DataFrame) -> DataFrame:
-    """Buckets of more than one node with three of them as leaders."""
-    by_chance = F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("node")))
-    return (
-        members.groupBy("key")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("node").alias("low"),
-            F.max("node").alias("high"),
-            by_chance["node"].alias("chance"),
-        )
-        .where("n > 1")
-    )
+    """Buckets of more than one node with the smallest as leader: key, low."""
+    sized = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"))
+    return sized.where("n > 1").select("key", "low")
 
 
-def _pairs(members: DataFrame, leaders: DataFrame, names: list[str]) -> DataFrame:
-    met = members.join(leaders, "key").select(
-        "node", F.explode(F.array(*names)).alias("leader")
-    )
-    ordered = met.where("node <> leader").select(
-        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
-    )
-    return ordered.distinct()
+def _pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    met = members.join(leaders, "key").where("node <> low")
+    return met.select(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -203,28 +191,35 @@ def near_components(texts: DataFrame, limit: float = LIMIT) -> DataFrame:
     members = _keyed(signed, [_band(i) for i in range(BANDS)])
     leaders = written(_leaders(members), "leaders")
     # Members of shared buckets only, once for all later steps.
-    shared = written(members.join(leaders.select("key"), "key", "left_semi"), "buckets")
+    leads = (F.col("node") == F.col("low")).alias("leads")
+    shared = written(members.join(leaders, "key").select("node", "band", "key", leads), "buckets")
     sets = written(_sets(texts, shared.select("node").distinct()), "shingles")
 
-    def linked(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """Components after the pairs that lie across known ones have been verified."""
+    def tried(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """The links among pairs that lie across known components."""
         across = pairs if known is None else _across(pairs, known)
-        links = _verified(_likely(across, signed), sets, limit).select("a", "b")
+        return written(_verified(_likely(across, signed), sets, limit).select("a", "b"), "links")
+
+    def joined(links: DataFrame, known: DataFrame | None) -> DataFrame:
         if known is not None:
             # A component stands for the links that made it.
             links = links.unionAll(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        return written(components(written(links, "links")), "components")
+        return written(components(links), "components")
 
     # Few bands find most links; the others then have to look across components only.
     early = F.col("band") < FIRST_BANDS
-    found = linked(_pairs(shared.where(early), leaders, ["low"]), None)
-    found = linked(_pairs(shared.where(~early), leaders, ["low"]), found)
-    # Nodes of buckets that still hold more than one component are tried again in buckets
-    # of two bands each, against three leaders.
-    again = signed.join(_unresolved(shared, found), "node", "left_semi")
-    narrow = _keyed(again, [F.xxhash64(_band(i), _band(j)) for i, j in combinations(range(BANDS), 2)])
-    narrow_leaders = written(_leaders(narrow), "leaders")
-    return linked(_pairs(narrow, narrow_leaders, ["low", "high", "chance"]), found)
+    first = tried(_pairs(shared.where(early), leaders), None)
+    found = joined(first, None)
+    second = tried(_pairs(shared.where(~early), leaders), found)
+    found = joined(second, found)
+    # Where members besides the leader are still apart, the one with most links leads: an
+    # original has been linked to each leader that is a copy of it.
+    apart = _apart(shared.where(~F.col("leads")), found)
+    central = written(_central(apart, first.unionAll(second)), "central")
+    found = joined(tried(_pairs(apart, central), found), found)
+    # Then all that are apart are held against each other.
+    beside = apart.join(central, "key").where("node <> low").select("key", "node")
+    return joined(_exhausted(_apart(beside, found), sets, limit), found)
 
 
 def _labelled(table: DataFrame, found: DataFrame, name: str, label: str) -> DataFrame:
@@ -232,14 +227,95 @@ def _labelled(table: DataFrame, found: DataFrame, name: str, label: str) -> Data
     return table.join(known, name, "left").withColumn(label, F.coalesce("known", name)).drop("known")
 
 
-def _unresolved(shared: DataFrame, found: DataFrame) -> DataFrame:
-    labelled = _labelled(shared, found, "node", "component")
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components: key, node, component."""
+    labelled = _labelled(members.select("key", "node"), found, "node", "component")
     several = (
         labelled.groupBy("key")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low <> high")
     )
-    return shared.join(several.select("key"), "key", "left_semi").select("node").distinct()
+    return written(labelled.join(several.select("key"), "key", "left_semi"), "apart")
+
+
+def _central(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The member of each bucket with most links: key, low."""
+    ends = links.select("a").unionAll(links.select(F.col("b").alias("a")))
+    degrees = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    most = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("node").alias("node")))
+    return members.join(degrees, "node", "left").groupBy("key").agg(most["node"].alias("low"))
+
+
+def _exhausted(members: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
+    """Links (a, b) that connect what is near across components, every pair of a bucket compared.
+
+    Members are dealt to blocks, those of a large component to blocks of its own, and
+    every two blocks of a bucket meet, unless both are of one component.
+    """
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    large = F.col("n") >= BLOCK
+    rests = parts.groupBy("key").agg(F.sum(F.when(large, 0).otherwise(F.col("n"))).alias("rest"))
+
+    def piece(what: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(what), F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)))
+
+    own = F.xxhash64("component", piece("node", "n"))
+    block = F.when(large, own).otherwise(piece("component", "rest")).alias("block")
+    placed = written(
+        members.join(parts, ["key", "component"])
+        .join(rests, "key")
+        .select("key", "node", "component", block, F.when(large, F.col("component")).alias("whole")),
+        "blocks",
+    )
+    blocks = placed.select("key", "block", "whole").distinct()
+    others = blocks.toDF("key", "other", "other_whole")
+    meetings = (
+        blocks.join(others, "key")
+        .where("block <= other and not coalesce(whole = other_whole, false)")
+        .select("key", F.col("block").alias("i"), F.col("other").alias("j"))
+    )
+    sides = meetings.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    arrow = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        nodes = group["node"].to_pylist()
+        apart = np.unique(np.array([x.hex() for x in group["component"].to_pylist()]), return_inverse=True)[1]
+        low = _nearest([np.frombuffer(x, "<u4") for x in group["terms"].to_pylist()], apart, limit)
+        pairs = [(x, nodes[k]) for i, (x, k) in enumerate(zip(nodes, low.tolist(), strict=True)) if i != k]
+        columns = list(zip(*pairs, strict=True)) or [[], []]
+        return pa.table([pa.array(c, pa.binary()) for c in columns], schema=arrow)
+
+    return (
+        placed.select("key", "block", "node", "component")
+        .join(sides, ["key", "block"])
+        .join(sets, "node")
+        .select("key", "i", "j", "node", "component", "terms")
+        .groupBy("key", "i", "j")
+        .applyInArrow(compare, "a binary, b binary")
+    )
+
+
+def _nearest(sets: list[np.ndarray], apart: np.ndarray, limit: float) -> np.ndarray:
+    """For each set the first one that links across ``apart`` connect it with."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)[count[column] > 1]
+    column = column[count[column] > 1]
+    common = np.zeros((n, n))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, len(count), _COLUMNS):
+        at = slice(*np.searchsorted(column, (lo, lo + _COLUMNS)))
+        held = np.zeros((n, _COLUMNS), dtype=np.float32)
+        held[row[at], column[at] - lo] = 1
+        common += held @ held.T
+    near = (common / (sizes[:, None] + sizes[None, :] - common) >= limit) & (apart[:, None] != apart[None, :])
+    near |= np.eye(n, dtype=bool)
+    low, before = np.arange(n), None
+    while before is None or (low != before).any():
+        before = low
+        low = np.where(near, low[None, :], n).min(axis=1)
+    return low
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
