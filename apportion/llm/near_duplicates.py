@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apportion.llm.components import components
-from apportion.llm.words import mixed, shingles, word_hashes
+from apportion.llm.words import mixed, word_hashes, word_run_hashes
 from apportion.session import written
 
 SLOTS, BANDS = 64, 16
@@ -67,8 +67,12 @@ def prob_min_hash(terms: np.ndarray, weights: np.ndarray, slots: int = SLOTS) ->
 
 
 def shingle_set(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's shingles and how often each occurs."""
-    return np.unique(shingles(word_hashes(text.encode()), WORDS), return_counts=True)
+    """Hashes of a text's shingles and how often each occurs.
+
+    A text of fewer words than a shingle has one of all of them, and none without words.
+    """
+    words = word_hashes(text.encode())
+    return np.unique(word_run_hashes(words, max(1, min(WORDS, len(words)))), return_counts=True)
 
 
 def node_of(text: Column) -> Column:
@@ -327,9 +331,8 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def duplicate_classes(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """Each row's doc_id with ``class_id``, the smallest id in its class, and ``copies``, the class's size.
 
-    Equal texts are one class; so are null and empty texts. Texts without words, and texts
-    shorter than five words, match by what they have: a text of n words has n shingles, each
-    word with up to four before it. Null ids are passed over for the class id;
+    Equal texts are one class; so are null and empty texts. A text shorter than five words
+    matches the texts of the same words. Null ids are passed over for the class id;
     a class of null ids alone has a null id. Repeated rows are repeated. Other
     columns are not read.
     """

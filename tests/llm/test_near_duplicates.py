@@ -61,3 +61,33 @@ def test_all_pairs_of_blocks_are_compared(spark, monkeypatch):
     ]
     assert 1 < len(parts(near)) < len(parts([]))
     assert parts([(bytes(r.a), bytes(r.b)) for r in links]) == parts(near)
+
+
+def windows(text: str) -> set[tuple]:
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_sets_are_windows_of_five_words():
+    texts = ["", "one", "one two three four", "a b c d e", "a b c d e f", "a b c d x " * 9, "é 日本 x y z q"]
+    assert [len(near_duplicates.shingle_set(t)[0]) for t in texts] == [len(windows(t)) for t in texts]
+    for s, t in itertools.combinations(["one  two", "one two", "one two three", *texts], 2):
+        common = np.intersect1d(near_duplicates.shingle_set(s)[0], near_duplicates.shingle_set(t)[0])
+        assert len(common) == len(windows(s) & windows(t))
+
+
+def test_classes_by_windows_of_five_words(spark):
+    pick = random.Random(7)
+    rows, expected = [], {}
+    for i in range(40):
+        words = [f"w{pick.randrange(10**6)}" for _ in range(30)]
+        # One word before it: 26 of 27 windows in common.
+        rows += [(4 * i, " ".join(words)), (4 * i + 1, " ".join(["new", *words]))]
+        # The same opening, other last words: 23 of 29 windows, and with the shorter
+        # runs that begin a text 27 of 33, which is above the limit.
+        tail = [f"t{pick.randrange(10**6)}" for _ in range(3)]
+        other = [f"o{i}", *[f"w{pick.randrange(10**6)}" for _ in range(29)]]
+        rows += [(4 * i + 2, " ".join(other)), (4 * i + 3, " ".join([*other[:27], *tail]))]
+        expected |= {4 * i: 4 * i, 4 * i + 1: 4 * i, 4 * i + 2: 4 * i + 2, 4 * i + 3: 4 * i + 3}
+    found = near_duplicates.duplicate_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.class_id for r in found} == expected
