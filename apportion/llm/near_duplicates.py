@@ -1,10 +1,12 @@
 """Near duplicates by ProbMinHash signatures, banding and verification.
 
-A text is its set of five-word shingles, weighted by 1 + ln(count). Every shingle
+A text is its set of five-word shingles. Every shingle
 starts a Poisson process whose rate is its weight; each arrival falls into a random
 slot, and a slot keeps the shingle that arrives first. A shingle is dropped once
 its latest arrival is later than the first ones of all slots. Two texts agree in a slot
-with a probability equal to the probability Jaccard similarity of their weights.
+with a probability equal to the probability Jaccard similarity of their weights. All
+weights are one, however often a shingle occurs, so that this is the similarity of the sets
+by which links are judged.
 
 Texts that agree in all slots of a band are candidates. A candidate is a link if the
 exact Jaccard similarity of the shingle sets reaches the limit. A class is a connected
@@ -36,8 +38,6 @@ WORDS = 5
 LIMIT = 0.8
 # Members of a bucket that are compared at once with as many others, and shingles at once.
 BLOCK, _COLUMNS = 128, 1 << 13
-# Of 64 slots 51 agree on average at the limit; half of them is six deviations less.
-LEAST_AGREEMENT = 0.5
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,13 +66,13 @@ def prob_min_hash(terms: np.ndarray, weights: np.ndarray, slots: int = SLOTS) ->
     return (mixed(owner) >> np.uint64(32)).astype(np.uint32) * (first < np.inf)
 
 
-def shingle_set(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's shingles and how often each occurs.
+def shingle_set(text: str) -> np.ndarray:
+    """Hashes of a text's different shingles.
 
     A text of fewer words than a shingle has one of all of them, and none without words.
     """
     words = word_hashes(text.encode())
-    return np.unique(word_run_hashes(words, max(1, min(WORDS, len(words)))), return_counts=True)
+    return np.unique(word_run_hashes(words, max(1, min(WORDS, len(words)))))
 
 
 def node_of(text: Column) -> Column:
@@ -91,9 +91,9 @@ def signatures(texts: DataFrame) -> DataFrame:
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if node in seen or node in out:
                     continue
-                terms, counts = shingle_set(text.as_py() or "")
+                terms = shingle_set(text.as_py() or "")
                 if len(terms):
-                    out[node] = prob_min_hash(terms, 1 + np.log(counts)).astype("<u4").tobytes()
+                    out[node] = prob_min_hash(terms, np.ones(len(terms))).astype("<u4").tobytes()
             seen = set(out) if len(seen) > 100_000 else seen | set(out)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())], schema=arrow
@@ -125,22 +125,6 @@ def _pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
     return met.select(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b")).distinct()
 
 
-def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in enough slots."""
-    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
-    same = F.filter(
-        slots,
-        lambda i: F.substring(F.col("sig_a"), i * 4 + 1, F.lit(4))
-        == F.substring(F.col("sig_b"), i * 4 + 1, F.lit(4)),
-    )
-    return (
-        pairs.join(signed.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(signed.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .where(F.size(same) >= int(SLOTS * LEAST_AGREEMENT))
-        .select("a", "b")
-    )
-
-
 def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """The shingles of the texts of some nodes: node, terms as sorted 32-bit numbers."""
     arrow = pa.schema([("node", pa.binary()), ("terms", pa.binary())])
@@ -151,7 +135,7 @@ def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             out: dict[bytes, bytes] = {}
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if node not in seen and node not in out:
-                    short = (shingle_set(text.as_py() or "")[0] >> np.uint64(32)).astype("<u4")
+                    short = (shingle_set(text.as_py() or "") >> np.uint64(32)).astype("<u4")
                     out[node] = np.unique(short).tobytes()
             seen = set(out) if len(seen) > 100_000 else seen | set(out)
             yield pa.RecordBatch.from_arrays(
@@ -181,9 +165,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
                 [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
             )
 
+    # Sets whose sizes are further apart than the limit cannot reach it.
+    sizes = F.length("terms_a"), F.length("terms_b")
     return (
         pairs.join(sets.select(F.col("node").alias("b"), F.col("terms").alias("terms_b")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("terms").alias("terms_a")), "a")
+        .where(F.least(*sizes) / F.greatest(*sizes) >= limit)
         .select("a", "b", "terms_a", "terms_b")
         .mapInArrow(verify, "a binary, b binary, similarity double")
     )
@@ -202,7 +189,7 @@ def near_components(texts: DataFrame, limit: float = LIMIT) -> DataFrame:
     def tried(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         """The links among pairs that lie across known components."""
         across = pairs if known is None else _across(pairs, known)
-        return written(_verified(_likely(across, signed), sets, limit).select("a", "b"), "links")
+        return written(_verified(across, sets, limit).select("a", "b"), "links")
 
     def joined(links: DataFrame, known: DataFrame | None) -> DataFrame:
         if known is not None:
