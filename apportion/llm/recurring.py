@@ -103,12 +103,12 @@ class Recurrence:
 
 
 def text_key(text: Column) -> Column:
-    """Tells texts with the same id apart."""
-    return F.hash(text)
+    """Tells texts with the same id apart: 128 bits, as any number of texts may have one id or none."""
+    return F.unhex(F.md5(text))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``ord``, ``h`` and ``text``: the order of the id, nulls last, and a hash of the text."""
+    """``ord``, ``h`` and ``text``: the order of the id, nulls last, and a digest of the text."""
     text = F.coalesce("text", F.lit(""))
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
     return docs.select("doc_id", text.alias("text")).select(
@@ -119,37 +119,39 @@ def keyed(docs: DataFrame) -> DataFrame:
 def occurrences(rows: DataFrame, what: Recurrence) -> DataFrame:
     """Every anchor of every text: a, ctx (hashes of anchor and context), ord, h, pos."""
     arrow = pa.schema(
-        [("a", pa.int64()), ("ctx", pa.int64()), ("ord", pa.int64()), ("h", pa.int32()), ("pos", pa.int64())]
+        [("a", pa.int64()), ("ctx", pa.int64()), ("ord", pa.int64()), ("h", pa.binary()), ("pos", pa.int64())]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple] = []
             size = 0
-            for order, h, text in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True
+            keys = batch.column(1)
+            for row, (order, text) in enumerate(
+                zip(batch.column(0).to_pylist(), batch.column(2), strict=True)
             ):
                 for found in _anchored(text.as_py().encode(), what):
                     n = len(found[0])
-                    held.append((*found, np.full(n, order), np.full(n, h)))
+                    held.append((*found, np.full(n, order), np.full(n, row)))
                     size += n
                 if size > 200_000:
-                    yield _table(held, arrow)
+                    yield _table(held, keys, arrow)
                     held, size = [], 0
-            yield _table(held, arrow)
+            yield _table(held, keys, arrow)
 
     return rows.select("ord", "h", "text").mapInArrow(
-        scan, "a bigint, ctx bigint, ord bigint, h int, pos bigint"
+        scan, "a bigint, ctx bigint, ord bigint, h binary, pos bigint"
     )
 
 
-def _table(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    a, ctx, pos, order, h = (
+def _table(held: list[tuple], keys: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
+    a, ctx, pos, order, row = (
         [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 5
     )
-    columns = [a.view(np.int64), ctx.view(np.int64), order, h.astype(np.int32), pos]
+    columns = [a.view(np.int64), ctx.view(np.int64), order, keys.take(pa.array(row, pa.int64())), pos]
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+        [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)],
+        schema=schema,
     )
 
 
@@ -235,7 +237,7 @@ def _segments(rows: DataFrame, contexts: DataFrame, what: Recurrence) -> DataFra
                     out = []
             yield _rows(out, arrow)
 
-    # Texts of the same id and hash are taken to be one; repeated rows then give equal segments.
+    # Texts of the same id and digest are one; repeated rows then give equal segments.
     return (
         rows.select("ord", "h", "text")
         .join(wanted, ["ord", "h"])
