@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from apportion.llm import (
     bpe,
     chat,
+    collocations,
     fingerprints,
     metric_tree,
     near_duplicates,
@@ -23,6 +24,8 @@ from apportion.llm import (
     quality,
     reputation,
     suffix_arrays,
+    warc,
+    whitening,
 )
 
 RULES = (
@@ -103,11 +106,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decoded(ids, RANKS, bpe.digests)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.page_rows(warc.read_archives(manifest, with_payload=False))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_quality, op3_reputation, op4_passages, op5_near_duplicates,
         op6_top_products, op7_suffix_arrays, op8_packing, op9_chat, op10_bpe,
+        op11_warc, op12_whitening, op13_collocations,
     )
 }
 
@@ -207,8 +224,63 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+_OP11_SQL = f"""
+WITH sized AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), first AS (
+    SELECT payload_digest, min(page_id) AS first_id FROM sized
+    WHERE payload_bytes >= {warc.LEAST_SHARED} GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to, CAST(NULL AS VARCHAR) AS fault
+FROM sized LEFT JOIN first USING (payload_digest)
+"""
+
+_OP13_SQL = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, '{collocations.NO_LANGUAGE}') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), '{reputation.UPPER}', '{reputation.LOWER}'),
+                                        '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+), split AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+), grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM split, (VALUES (1), (2), (3)) AS sizes(k)
+), f AS MATERIALIZED (
+    SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), n AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS w
+    FROM f WHERE k > 1 AND f >= {collocations.LEAST_COUNT}
+), parts AS (
+    SELECT lang, words, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, words)) AS cut FROM candidates)
+), scored AS (
+    SELECT p.lang, p.words, p.phrase, p.a, p.cut, l.f AS l, r.f AS r,
+           CAST((1000000::HUGEINT * p.a * p.a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+    FROM parts p JOIN f l ON l.lang = p.lang AND l.phrase = head JOIN f r ON r.lang = p.lang AND r.phrase = tail
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+    SELECT lang, phrase, max(a) AS a FROM (
+        SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+        FROM candidates WHERE words = 3
+    ) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM (SELECT s.* FROM lowest s LEFT JOIN longer g ON s.lang = g.lang AND s.phrase = g.phrase
+      WHERE g.a IS NULL OR 100 * g.a < {collocations.SUBSUMED_PERCENT} * s.a) JOIN n USING (lang)
+QUALIFY rank <= {collocations.BEST}
+"""
+
 ORACLES = {
     "op3_reputation": _OP3_SQL.replace("{levels}", _LEVELS),
     "op6_top_products": _OP6_SQL,
     "op9_chat": _OP9_SQL,
+    "op11_warc": _OP11_SQL,
+    "op13_collocations": _OP13_SQL,
 }
