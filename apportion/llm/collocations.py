@@ -35,8 +35,8 @@ BEST = 2000  # phrases of a language
 SUBSUMED_PERCENT = 50
 NO_LANGUAGE = "und"
 TRIE_BYTES = 4 << 20  # of phrases in one trie; a state takes 12 bytes
-TEXT_BYTES = 4 << 20  # of text walked at once
-HELD_KEYS = 2 << 20  # keys a task holds before it passes them on
+TEXT_BYTES = 2 << 20  # of text walked at once
+HELD_KEYS = 1 << 19  # keys or words a task holds before it passes them on
 
 # Fixed characters of the definition.
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -260,9 +260,9 @@ class Tries:
             if not found.num_rows:
                 _loaded[key] = build_trie([], [], [])
             else:
-                row = found.to_pylist()[0]
-                arrays = (np.frombuffer(row[x], dtype=np.int32) for x in ("base", "check", "accept"))
-                _loaded[key] = Trie(*arrays, dict(zip(row["names"], row["roots"], strict=True)))
+                arrays = (np.frombuffer(found[x][0].as_buffer(), dtype=np.int32) for x in ("base", "check", "accept"))
+                roots = zip(found["names"][0].as_py(), found["roots"][0].as_py(), strict=True)
+                _loaded[key] = Trie(*arrays, dict(roots))
         return _loaded[key]
 
 
@@ -327,9 +327,11 @@ class Sums:
     def _merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self._keys:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, back = np.unique(np.concatenate(self._keys), return_inverse=True)
-        counts = np.bincount(back, weights=np.concatenate(self._counts), minlength=len(keys))
-        return keys, counts.astype(np.int64)
+        keys, counts = np.concatenate(self._keys), np.concatenate(self._counts)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
+        return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         keys, counts = self._merged()
@@ -343,12 +345,18 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = defaultdict(Counter)
+        size = 0
         for batch in batches:
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held[language].update(text.as_py().translate(_WORDS_ONLY).split(b" "))
-                if len(held[language]) > HELD_KEYS // 4 or len(held) > HELD_KEYS // 64:
+                mine = held[language]
+                size -= len(mine)
+                for part, n in cut(text.as_py()):
+                    mine.update(part[:n].translate(_WORDS_ONLY).split(b" "))
+                size += len(mine) + 1
+                if size > HELD_KEYS // 2:
                     yield from rows(held)
                     held.clear()
+                    size = 0
         yield from rows(held)
 
     def rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
