@@ -35,8 +35,8 @@ BEST = 2000  # phrases of a language
 SUBSUMED_PERCENT = 50
 NO_LANGUAGE = "und"
 TRIE_BYTES = 4 << 20  # of phrases in one trie; a state takes 12 bytes
-TEXT_BYTES = 2 << 20  # of text walked at once
-HELD_KEYS = 1 << 19  # keys or words a task holds before it passes them on
+TEXT_BYTES = 1 << 20  # of text walked at once
+HELD_KEYS = 1 << 18  # keys or words a task holds before it passes them on
 
 # Fixed characters of the definition.
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -161,7 +161,7 @@ class TrieBuilder:
 
     def __init__(self, room: int):
         self._used = np.zeros(max(room, 1024), dtype=bool)
-        self._low = self.top = 0
+        self._low = self._scan = self.top = 0
 
     def _reach(self, n: int) -> None:
         if n > len(self._used):
@@ -178,16 +178,22 @@ class TrieBuilder:
         self.top = max(self.top, int(free[-1]) + 1 if n else 0)
         return free
 
-    def fit(self, symbols: np.ndarray, tries: int = 32) -> int:
-        """A base at which all symbols find a free place."""
+    def fit(self, symbols: np.ndarray, tries: int = 64) -> int:
+        """A base at which all symbols find a free place.
+
+        The search goes on where the last one failed; places left behind are for ``take``.
+        """
         self._reach(self.top + 1024)
-        first = max(self._low, 256)
-        for place in (first + np.flatnonzero(~self._used[first : first + 8 * tries]))[:tries].tolist():
-            base = place - int(symbols[0])
-            if base + int(symbols[-1]) < len(self._used) and not self._used[base + symbols].any():
+        self._scan = max(self._scan, self._low, 256)
+        lead, rest = int(symbols[0]), symbols - symbols[0]
+        while self._scan < self.top:
+            free = self._scan + np.flatnonzero(~self._used[self._scan : self._scan + 4 * tries])[:tries]
+            fits = np.flatnonzero(~self._used[free[:, None] + rest].any(axis=1)) if len(free) else free
+            if len(fits):
+                base = int(free[fits[0]]) - lead
                 break
+            self._scan = int(free[-1]) + 1 if len(free) == tries else self._scan + 4 * tries
         else:
-            self._low = max(self._low, first)
             base = max(self.top, 256)
         self._reach(base + 512)
         self._used[base + symbols] = True
@@ -394,6 +400,7 @@ def overlaps(texts: DataFrame, tries: Tries) -> DataFrame:
             on[:-1] &= words.counted[:-1] & (found[:-1] >= 0) & (found[1:] >= 0)
             at = np.flatnonzero(on)
             yield from sums.add(found[at] << 32 | found[at + 1])
+        _loaded.clear()
         yield from sums.rows()
 
     total = (
@@ -422,6 +429,7 @@ def phrase_counts(texts: DataFrame, tries: Tries) -> DataFrame:
                 for word, phrase in trie.walk(words, list(languages)):
                     total += np.bincount(phrase[words.counted[word]] - first, minlength=len(total))
                 firsts[shard] = first
+        _loaded.clear()
         for shard, total in sums.items():
             hit = np.flatnonzero(total)
             for i in range(0, len(hit), 1 << 16):
