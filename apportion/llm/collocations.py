@@ -9,8 +9,9 @@ Tries are double arrays over bytes: from state s the byte c leads to t = base[s]
 All words of a few MB of text are start positions; numpy moves the states of all that are
 still alive by one byte at a time, and accepting states are summed by ``bincount``. Tasks
 hold sums per state, and these are added up. Every trie has at most about
-``TRIE_BYTES`` states: candidates are dealt to as many tries as that takes, built by tasks into the
-shared folder, and a task loads one after the other for each part of the text.
+``TRIE_BYTES`` of phrases: in the order of the alphabet candidates are cut into as many tries as that takes, built
+by tasks into the shared folder, and a task loads one after the other for each part of the text. Most positions
+leave a trie whose range does not hold them at the first byte, so more tries are hardly more steps.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apportion.llm.warc import opened
+from apportion.operators.ordinal import number_rows
 from apportion.session import scratch_dir, written
 
 LEAST_COUNT = 10
@@ -34,7 +37,9 @@ LONGEST = 3  # words
 BEST = 2000  # phrases of a language
 SUBSUMED_PERCENT = 50
 NO_LANGUAGE = "und"
-TRIE_BYTES = 4 << 20  # of phrases in one trie; a state takes 12 bytes
+TRIE_BYTES = 12 << 20  # of phrases in one trie, of which about a third are states of 12 bytes
+COUNT_BLOCK = 1024  # phrases whose sums travel together
+COUNT_FAN = 64  # a block's rows are added in this many groups first
 TEXT_BYTES = 1 << 20  # of text walked at once
 HELD_KEYS = 1 << 18  # keys or words a task holds before it passes them on
 
@@ -281,18 +286,13 @@ def tries_of(phrases: DataFrame) -> Tries | None:
     size = phrases.agg(F.sum(F.octet_length("phrase") + 1)).head()[0]
     if size is None:
         return None
-    shards = -(-int(size) // TRIE_BYTES)
-    dealt = phrases.select("lang", "phrase", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int").alias("shard"))
-    counts = dict(dealt.groupBy("shard").count().collect())
-    if sum(counts.values()) >= 1 << 31:
+    numbered, count = number_rows(phrases.select("lang", "phrase"), "lang", "phrase", name="number")
+    if count >= 1 << 31:
         raise ValueError("more phrases than 31 bits can number")
-    first, firsts = 0, []
-    for shard in range(shards):
-        firsts.append(first)
-        first += counts.get(shard, 0)
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("lang", "phrase")) - 1
-    before = F.element_at(F.array(*map(F.lit, firsts)), F.col("shard") + 1)
-    table = written(dealt.select("shard", (place + before).cast("int").alias("number"), "lang", "phrase"), "phrases")
+    each = max(1, count * TRIE_BYTES // int(size))
+    shards = -(-count // each)
+    shard = F.floor(F.col("number") / each).cast("int")
+    table = written(numbered.select(shard.alias("shard"), F.col("number").cast("int").alias("number"), "lang", "phrase"), "phrases")
 
     def build(rows: pa.Table) -> pa.Table:
         trie = build_trie(rows["lang"].to_pylist(), rows["phrase"].to_pylist(), rows["number"].to_pylist())
@@ -419,25 +419,46 @@ def phrase_counts(texts: DataFrame, tries: Tries) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str, int] = {}
-        sums: dict[int, np.ndarray] = {}
-        firsts: dict[int, int] = {}
+        sums: dict[int, tuple[int, np.ndarray]] = {}
         for words in parts_of(batches, languages):
             for shard in range(walked.shards):
                 trie = walked.load(shard)
-                first = int(trie.accept[trie.accept >= 0].min()) if (trie.accept >= 0).any() else 0
-                total = sums.setdefault(shard, np.zeros(int(trie.accept.max(initial=0)) - first + 1, dtype=np.int64))
+                if shard not in sums:
+                    numbers = trie.accept[trie.accept >= 0]
+                    first = int(numbers.min(initial=(1 << 31) - 1)) // COUNT_BLOCK * COUNT_BLOCK
+                    sums[shard] = first, np.zeros(max(0, int(numbers.max(initial=-1)) + 1 - first), dtype=np.int64)
+                first, total = sums[shard]
                 for word, phrase in trie.walk(words, list(languages)):
                     total += np.bincount(phrase[words.counted[word]] - first, minlength=len(total))
-                firsts[shard] = first
         _loaded.clear()
-        for shard, total in sums.items():
-            hit = np.flatnonzero(total)
-            for i in range(0, len(hit), 1 << 16):
-                some = hit[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_pydict({"number": (some + firsts[shard]).astype(np.int32), "count": total[some]})
-
-    total = texts.mapInArrow(count, "number int, count bigint").groupBy("number").agg(F.sum("count").alias("f"))
-    return tries.phrases.join(total, "number").select("lang", "phrase", "f").where(F.col("f") >= LEAST_COUNT)
+        part = TaskContext.get().partitionId() % COUNT_FAN
+        for first, total in sums.values():
+            total = np.append(total, np.zeros(-len(total) % COUNT_BLOCK, dtype=np.int64)).reshape(-1, COUNT_BLOCK)
+            for i in np.flatnonzero(total.any(axis=1)).tolist():
+                yield block(first // COUNT_BLOCK + i, part, total[i])
+
+    def block(number: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
+        raw = pa.array([counts.tobytes()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part], pa.int32()), raw], names=["block", "part", "counts"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = np.zeros(COUNT_BLOCK, dtype=np.int64)
+        for raw in rows["counts"]:
+            total += np.frombuffer(raw.as_buffer(), dtype=np.int64)
+        return pa.Table.from_batches([block(rows["block"][0].as_py(), 0, total)])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                counts = np.frombuffer(raw.as_buffer(), dtype=np.int64)
+                hit = np.flatnonzero(counts >= LEAST_COUNT)
+                yield pa.RecordBatch.from_pydict({"number": (hit + number * COUNT_BLOCK).astype(np.int32), "f": counts[hit]})
+
+    schema = "block int, part int, counts binary"
+    total = texts.mapInArrow(count, schema)
+    for keys in (["block", "part"], ["block"]):
+        total = total.groupBy(*keys).applyInArrow(added, schema)
+    return tries.phrases.join(total.mapInArrow(unpacked, "number int, f bigint"), "number").select("lang", "phrase", "f")
 
 
 def joined(pairs: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ def test_phrases_are_those_of_plain_python(spark, docs, monkeypatch):
     assert sorted(map(tuple, c.collocations(table).collect())) == brute(docs)
     assert sorted(map(tuple, c.collocations(table, best=3).collect())) == brute(docs, 3)
     # Several tries; what tasks do has bounds of its own, tested below.
-    monkeypatch.setattr(c, "TRIE_BYTES", 300)
+    monkeypatch.setattr(c, "TRIE_BYTES", 200)
+    monkeypatch.setattr(c, "COUNT_BLOCK", 16)
     assert sorted(map(tuple, c.collocations(table).collect())) == brute(docs)
 
 
