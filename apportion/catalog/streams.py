@@ -20,14 +20,14 @@ from apportion.plans.stream_matrix import (
 )
 from apportion.session import scratch_dir
 from apportion.sources import event_samples, to_event_samples
-from apportion.streaming.operators import backlog, once_per_sample, routed_counts
-from apportion.streaming.runner import run_aggregate, run_numbered, run_to_table
-from apportion.streaming.sources import table_stream
+from apportion.streaming.keyed import keyed_backlog
+from apportion.streaming.operators import backlog, once_per_sample, routed_counts, window_counts, windowed_rates
+from apportion.streaming.runner import run_aggregate, run_numbered, run_to_table, run_windows
+from apportion.streaming.sources import replay_delay, table_stream
 
 # Interval of a stream at the base rate, in event time.
+WINDOW_SECONDS = f"{6 * 3600 / TIME_SCALE!r}::DOUBLE"
 INTERVAL_US = TIME_SCALE * 1_000_000 // BASE_RATE
-# Longer than the replayed month, so that a replay drops nothing as late.
-REPLAY_DELAY = "40 days"
 BIN_US = 60_000_000
 
 
@@ -82,6 +82,42 @@ def routed_stream(spark, base):
     return run_aggregate(routed_counts(_stream(spark, base), "sharded", 4, "6 hours"), "routed")
 
 
+@query(
+    "w2_windowed_rate",
+    f"""
+    SELECT window_us, count(*) AS generated_samples, round(count(*) / {WINDOW_SECONDS}, 6) AS actual_rate,
+           round(count(*) / {WINDOW_SECONDS} * 100.0 / {BASE_RATE}, 6) AS rate_accuracy
+    FROM (SELECT arrival_us // 21600000000 * 21600000000 AS window_us FROM ({SAMPLES_SQL})) GROUP BY 1
+    """,
+)
+def windowed_rate(spark, base):
+    """The rate of each six hours of a stream, by windows that close as event time goes on."""
+    windows, _ = _windows(spark, base, window_counts("6 hours"), lambda rows: rows)
+    return rounded(windowed_rates(windows, BASE_RATE, TIME_SCALE))
+
+
+@query(
+    "w3_windowed_stream",
+    f"""
+    SELECT arrival_us // 21600000000 * 21600000000 AS window_us, {shard_sql('content', '4')} AS worker,
+           count(*) AS samples, 0 AS late_rows FROM ({SAMPLES_SQL}) GROUP BY 1, 2
+    """,
+)
+def routed_windows(spark, base):
+    """Routed counts in append mode, beside the number of rows that came too late for their window."""
+    windows, late = _windows(
+        spark, base, window_counts("6 hours", "worker"), lambda rows: assign(rows, "sharded", 4)
+    )
+    return windows.select(
+        F.unix_micros("window.start").alias("window_us"), "worker", "samples", F.lit(late.count()).cast("int").alias("late_rows")
+    )
+
+
+def _windows(spark, base, counts, route):
+    delay = replay_delay(spark, base, "events", "ts")
+    return run_windows(counts, route(_stream(spark, base)), "arrival", delay, scratch_dir(spark, "windows"))
+
+
 def _finish_sql(strategy: str, workers: int) -> str:
     return (
         "SELECT seq, worker_id AS worker, start_us, start_us + service_us AS finish_us "
@@ -105,6 +141,32 @@ def fifo_stream(spark, base):
     return scheduled.select("seq", "worker", "start_us", "finish_us")
 
 
+@query(
+    "w4_keyed_workers",
+    f"""
+    WITH t AS (SELECT seq, worker_id AS worker, start_us, start_us + service_us AS finish_us
+               FROM ({timed_sql()}) WHERE strategy = 'sharded' AND workers = 2),
+    o AS (SELECT *, lead(start_us) OVER (PARTITION BY worker ORDER BY seq) AS next_us FROM t),
+    p AS (SELECT *, coalesce(sum(CAST(next_us > finish_us AS INT)) OVER (PARTITION BY worker ORDER BY seq
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS period FROM o)
+    SELECT 'sample' AS kind, worker, seq, start_us, finish_us, 1::BIGINT AS samples FROM t
+    UNION ALL
+    SELECT 'idle', worker, max(seq), max(finish_us), max(finish_us), count(*)
+    FROM p GROUP BY worker, period HAVING bool_or(next_us > finish_us)
+    """,
+)
+def keyed_workers(spark, base):
+    """Finishing times and idle times from state that is kept by worker, in the stream's checkpoint.
+
+    Whether a worker's last sample leaves it idle is not known before the stream goes on.
+    """
+    routed = assign(_stream(spark, base), "sharded", 2)
+    events = keyed_backlog(routed, ["worker"], replay_delay(spark, base, "events", "ts"))
+    last = events.filter("kind = 'sample'").groupBy("worker").agg(F.max("seq").alias("last"))
+    known = (F.col("kind") == "sample") | (F.col("seq") < F.col("last"))
+    return events.join(last, "worker").filter(known).select("kind", "worker", "seq", "start_us", "finish_us", "samples")
+
+
 @query(
     "w4_fifo_backlog",
     f"SELECT strategy, workers, worker_id, enqueued, processed, residual FROM ({outcomes_sql()})",
@@ -162,7 +224,7 @@ def rate_matrix(spark, base):
 def deduplicated(spark, base):
     """Four copies of every sample come in by broadcast; one goes out."""
     copies = assign(_stream(spark, base).select("seq", "arrival"), "dynamic", 4)
-    return run_to_table(once_per_sample(copies, REPLAY_DELAY), "deduplicated").select("seq")
+    return run_to_table(once_per_sample(copies, replay_delay(spark, base, "events", "ts")), "deduplicated").select("seq")
 
 
 @query(

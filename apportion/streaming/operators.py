@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from apportion.functions.guards import percent, ratio
 from apportion.operators.assign import assign
 from apportion.operators.queueing import BLOCK_ROWS, schedule_from
 from apportion.session import scratch_dir
@@ -23,6 +26,26 @@ def routed_counts(samples: DataFrame, strategy: str, workers: int, window: str)
     )
 
 
+def window_counts(window: str, *groups: str) -> Callable[[DataFrame], DataFrame]:
+    """Samples per time window and group, for :func:`run_windows` or a batch."""
+    return lambda samples: samples.groupBy(F.window("arrival", window), *groups).agg(
+        F.count(F.lit(1)).alias("samples")
+    )
+
+
+def windowed_rates(counts: DataFrame, target_rate: int, time_scale: float) -> DataFrame:
+    """Actual against target rate of each time window, from its ``samples``."""
+    begin, end = F.unix_micros("window.start"), F.unix_micros("window.end")
+    seconds = (end - begin) / (1e6 * time_scale)
+    actual = ratio(F.col("samples"), seconds)
+    return counts.select(
+        begin.alias("window_us"),
+        F.col("samples").alias("generated_samples"),
+        actual.alias("actual_rate"),
+        percent(actual, F.lit(target_rate)).alias("rate_accuracy"),
+    )
+
+
 def once_per_sample(samples: DataFrame, delay: str) -> DataFrame:
     """Drop the extra copies that broadcast routing made, within ``delay``."""
     return samples.withWatermark("arrival", delay).dropDuplicatesWithinWatermark(["seq"])
@@ -72,4 +95,9 @@ def backlog(
         )
 
     run_each_batch(samples, step, f"{base}/checkpoint")
-    return spark.read.parquet(out).drop("micro_batch")
+    schema = route(spark.createDataFrame([], samples.schema)).schema
+    schema = schema.add("start_us", LongType()).add("finish_us", LongType())
+    try:
+        return spark.read.schema(schema).parquet(out)
+    except AnalysisException:  # a stream that never had a micro-batch
+        return spark.createDataFrame([], schema)

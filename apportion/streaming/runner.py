@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -110,6 +110,8 @@ def run_aggregate(stream: DataFrame, purpose: str) -> DataFrame:
     """The final state of a streaming aggregate, one version per micro-batch."""
     spark = stream.sparkSession
     path = scratch_dir(spark, purpose)
+    empty = spark.createDataFrame([], stream.schema)
+    empty.write.parquet(f"{path}/version=-1")  # a stream may never have a micro-batch
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
@@ -117,7 +119,56 @@ def run_aggregate(stream: DataFrame, purpose: str) -> DataFrame:
     run_each_batch(stream, store, scratch_dir(spark, f"{purpose}-checkpoint"), "complete")
     versions = spark.read.parquet(path)
     last = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == last).drop("version")
+    return versions.filter(F.col("version") == (-1 if last is None else last)).drop("version")
+
+
+def run_windows(counts: Callable[[DataFrame], DataFrame], stream: DataFrame, time: str, delay: str, base: str) -> tuple[DataFrame, DataFrame]:
+    """Windowed counts in append mode: all windows, and the rows that came too late for theirs.
+
+    ``counts`` groups by a ``window`` of the time column first. A window is written once, when the
+    watermark has passed its end, and leaves the state; so the state holds open windows only. The windows
+    still open at the end are read from the state and come last, with ``closed`` false: a later run on the same
+    folder goes on with them. Late rows are kept beside, by micro-batch.
+    """
+    spark = stream.sparkSession
+    marks, late = f"{base}/marks", f"{base}/late"
+    marked, span = "batch bigint, latest timestamp", F.expr(f"INTERVAL {delay}")
+
+    def note(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        latest = None
+        if batch_id > 0:
+            latest = session.read.schema(marked).parquet(f"{marks}/{batch_id - 1}").first()["latest"]
+        passed = F.lit(latest).cast("timestamp") - span
+        batch.filter(F.col(time) < passed).write.mode("overwrite").parquet(f"{late}/micro_batch={batch_id}")
+        highest = batch.agg(F.greatest(F.max(time), F.lit(latest).cast("timestamp")).alias("latest"))
+        highest.select(F.lit(batch_id).cast("bigint").alias("batch"), "latest").write.mode("overwrite").parquet(f"{marks}/{batch_id}")
+
+    grouped = counts(stream.withWatermark(time, delay))
+    checkpoint = f"{base}/checkpoint"
+    done = run_to_table(grouped, "windows", checkpoint, f"{base}/windows")
+    run_each_batch(stream, note, f"{base}/late-checkpoint")
+    columns = [c for c in grouped.columns if c != "window"]
+    out = done.select("window", *columns, F.lit(True).alias("closed"))
+    try:
+        state = spark.read.format("statestore").load(checkpoint)
+        kept = {f.name: f"key.{f.name}" for f in state.schema["key"].dataType.fields}
+        kept |= {f.name: f"value.{f.name}" for f in state.schema["value"].dataType.fields}
+    except PySparkException as error:  # no micro-batch, so no state
+        if not str(error.getCondition() or "").startswith(("PATH_NOT_FOUND", "STDS_")):
+            raise
+        kept = {}
+    if kept:
+        values = [c for c in columns if c not in kept]
+        held = [c for c in kept if c not in grouped.columns]
+        names = dict(zip(held, values, strict=True))
+        rows = state.select(*[F.col(path).alias(names.get(name, name)) for name, path in kept.items()])
+        out = out.unionByName(rows.select("window", *columns, F.lit(False).alias("closed")))
+    try:
+        late_rows = spark.read.schema(stream.schema).parquet(late)
+    except AnalysisException:
+        late_rows = spark.createDataFrame([], stream.schema)
+    return out, late_rows
 
 
 def finish(query: StreamingQuery) -> None:

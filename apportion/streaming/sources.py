@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apportion.schemas import TABLES
@@ -49,6 +49,28 @@ def table_stream(
     return reader.option("recursiveFileLookup", "true").parquet(table_path(folder, name))
 
 
+def replay_delay(spark: SparkSession, folder: str, name: str, time: str, pattern: str | None = None) -> str:
+    """The watermark delay at which a replay of the table drops nothing as late.
+
+    Files are replayed in order of their modification time, so a row is late by at most what
+    the latest row of any file up to its own is ahead of it. Files of one modification time come in any
+    order and count as one. The times of a file are combined before the shuffle; the
+    running maximum is over one row per modification time.
+    """
+    reader = spark.read.schema(TABLES[name])
+    if pattern is not None:
+        table = reader.option("pathGlobFilter", pattern).parquet(folder)
+    else:
+        table = reader.option("recursiveFileLookup", "true").parquet(table_path(folder, name))
+    files = table.groupBy(F.col("_metadata.file_modification_time").alias("at")).agg(
+        F.min(F.unix_micros(time)).alias("low"), F.max(F.unix_micros(time)).alias("high")
+    )
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = files.select((F.max("high").over(before) - F.col("low")).alias("us")).agg(F.max("us")).first()[0]
+    # A row at the watermark itself is late already.
+    return f"{(0 if ahead is None else ahead // 1000) + 1} milliseconds"
+
+
 def bounded(stream: DataFrame, max_samples: int) -> DataFrame:
     """Stop emitting once ``max_samples`` samples have been generated.
 

@@ -1,5 +1,6 @@
 import os
 import time
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ from apportion.sources import (
     to_event_samples,
     vector_samples,
 )
-from apportion.streaming.operators import backlog, once_per_sample, routed_counts
-from apportion.streaming.runner import run_aggregate, run_each_batch, run_numbered, run_to_table
-from apportion.streaming.sources import bounded, rate_stream, table_stream
+from apportion.schemas import TABLES
+from apportion.streaming.keyed import keyed_backlog
+from apportion.streaming.operators import backlog, once_per_sample, routed_counts, window_counts
+from apportion.streaming.runner import run_aggregate, run_each_batch, run_numbered, run_to_table, run_windows
+from apportion.streaming.sources import bounded, rate_stream, replay_delay, table_stream
 
 SF = "/root/testdata/sf0.01"
 
@@ -188,3 +191,107 @@ def test_micro_batches_out_of_order_are_refused(spark):
     assert positions.number(later, 0).agg(F.max("seq")).first()[0] == 9
     with pytest.raises(ValueError):
         positions.number(earlier, 1)
+
+
+def test_keyed_workers_equal_the_batch_schedule(spark, pieces):
+    routed = assign(event_samples(spark, SF), "sharded", 3)
+    columns = ["seq", "worker", "start_us", "finish_us"]
+    batch = fifo_schedule(routed.select("seq", "arrival_us", "service_us", "worker"), ["worker"]).select(*columns)
+    events = keyed_backlog(assign(stream(spark, pieces), "sharded", 3), ["worker"], "0 seconds").cache()
+    samples = events.where("kind = 'sample'")
+    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, samples.select(*columns).collect()))
+    # Workers that ran out of work said so, and never lost a sample over it.
+    idle = events.where("kind = 'idle'").collect()
+    finished = {(r.worker, r.seq): r.finish_us for r in samples.collect()}
+    assert all(finished[(r.worker, r.seq)] == r.finish_us for r in idle)
+
+
+def test_keyed_workers_continue_after_a_restart(spark, tmp_path, pieces):
+    base, folder = scratch_dir(spark, "keyed-restart"), tmp_path / "growing"
+    folder.mkdir()
+    for i in range(5):
+        target = folder / f"events-{i}.parquet"
+        target.write_bytes(open(f"{pieces}/events-{i}.parquet", "rb").read())
+        os.utime(target, (time.time() - 100 + i, time.time() - 100 + i))
+        if i in (1, 4):
+            events = keyed_backlog(assign(stream(spark, str(folder)), "sharded", 2), ["worker"], "0 seconds", base)
+    routed = assign(event_samples(spark, SF), "sharded", 2).select("seq", "arrival_us", "service_us", "worker")
+    columns = ["seq", "worker", "start_us", "finish_us"]
+    assert sorted(map(tuple, fifo_schedule(routed, ["worker"]).select(*columns).collect())) == sorted(
+        map(tuple, events.where("kind = 'sample'").select(*columns).collect()))
+
+
+def test_idle_workers_report_and_leave_the_state(spark, tmp_path):
+    """Three busy periods: the state is removed in between, and starts are as if it had stayed."""
+    schema = "worker int, seq long, arrival timestamp, arrival_us long, service_us long"
+    folder = tmp_path / "in"
+    rows = [(0, 0, 0, 5), (0, 1, 1, 5), (1, 2, 2, 500), (0, 3, 100, 5), (1, 4, 101, 5), (0, 5, 900, 5), (1, 6, 901, 5)]
+    for i, part in enumerate((rows[:3], rows[3:5], rows[5:])):
+        data = [(w, s, datetime.fromtimestamp(a + 1000, timezone.utc), (a + 1000) * 1_000_000, d * 1_000_000) for w, s, a, d in part]
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(folder / f"p{i}"))
+        for file in (folder / f"p{i}").iterdir():
+            os.utime(file, (time.time() - 100 + i,) * 2)
+    arriving = (spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1")
+                .parquet(str(folder)))
+    events = keyed_backlog(arriving, ["worker"], "0 seconds").collect()
+    starts = {r.seq: r.start_us // 1_000_000 - 1000 for r in events if r.kind == "sample"}
+    assert starts == {0: 0, 1: 5, 2: 2, 3: 100, 4: 502, 5: 900, 6: 901}
+    idle = {(r.worker, r.seq, r.finish_us // 1_000_000 - 1000, r.samples) for r in events if r.kind == "idle"}
+    assert {(0, 1, 10, 2), (0, 3, 105, 1), (1, 4, 507, 2)} <= idle
+
+
+def test_windows_close_once_and_late_rows_are_kept(spark, pieces, tmp_path):
+    counts = window_counts("6 hours", "worker")
+    batch = counts(assign(event_samples(spark, SF), "sharded", 4))
+    expected = sorted((r.window.start, r.worker, r.samples) for r in batch.collect())
+    base = scratch_dir(spark, "windows")
+    windows, late = run_windows(counts, assign(stream(spark, pieces), "sharded", 4), "arrival", "0 seconds", base)
+    rows = windows.collect()
+    assert sorted((r.window.start, r.worker, r.samples) for r in rows) == expected
+    assert late.count() == 0 and {r.closed for r in rows} == {True, False}
+    # The first file again, after the others: everything in it is too late.
+    folder = tmp_path / "disorder"
+    folder.mkdir()
+    for i, file in enumerate((1, 2, 3, 4, 0)):
+        target = folder / f"events-{i}.parquet"
+        target.write_bytes(open(f"{pieces}/events-{file}.parquet", "rb").read())
+        os.utime(target, (time.time() - 100 + i, time.time() - 100 + i))
+    base = scratch_dir(spark, "windows")
+    windows, late = run_windows(counts, assign(stream(spark, str(folder)), "sharded", 4), "arrival", "0 seconds", base)
+    counted = windows.agg(F.sum("samples")).first()[0]
+    assert late.count() == 2000 and {r.seq for r in late.select("seq").collect()} == set(range(2000))
+    assert counted == 8000
+    delay = replay_delay(spark, str(folder), "events", "ts", "events-*.parquet")
+    base = scratch_dir(spark, "windows")
+    windows, late = run_windows(counts, assign(stream(spark, str(folder)), "sharded", 4), "arrival", delay, base)
+    assert sorted((r.window.start, r.worker, r.samples) for r in windows.collect()) == expected and late.count() == 0
+
+
+def test_a_long_table_in_shuffled_file_order_loses_nothing(spark, tmp_path):
+    folder = tmp_path / "long"
+    folder.mkdir()
+    events = read_table(spark, "/root/testdata/sf0.001", "events").withColumn("ts", F.col("ts") + F.expr("make_interval(0, 0, 0, event_id % 90)"))
+    for i, part in enumerate((3, 0, 4, 1, 2)):
+        path = str(tmp_path / f"part{i}")
+        events.filter(F.col("event_id") % 5 == part).coalesce(1).write.parquet(path)
+        (file,) = [f for f in os.listdir(path) if f.endswith(".parquet")]
+        target = folder / f"events-{i}.parquet"
+        target.write_bytes(open(f"{path}/{file}", "rb").read())
+        os.utime(target, (time.time() - 100 + i, time.time() - 100 + i))
+    delay = replay_delay(spark, str(folder), "events", "ts", "events-*.parquet")
+    arriving = to_event_samples(table_stream(spark, str(folder), "events", "events-*.parquet", 1))
+    copies = assign(arriving.select("seq", "arrival"), "dynamic", 4)
+    table = run_to_table(once_per_sample(copies, delay), "long")
+    assert table.count() == table.distinct().count() == events.count()
+
+
+def test_streams_without_files_give_empty_tables(spark, tmp_path):
+    folder = tmp_path / "none"
+    folder.mkdir()
+    arriving = to_event_samples(spark.readStream.schema(TABLES["events"]).parquet(str(folder)))
+    routed = assign(arriving, "sharded", 2)
+    assert run_aggregate(routed_counts(arriving, "sharded", 2, "6 hours"), "none").count() == 0
+    assert backlog(arriving.select("seq", "arrival_us", "service_us"), ["worker"], route=lambda r: assign(r, "uniform", 2)).count() == 0
+    assert keyed_backlog(routed, ["worker"], "0 seconds").count() == 0
+    windows, late = run_windows(window_counts("6 hours"), arriving, "arrival", "0 seconds", scratch_dir(spark, "none"))
+    assert windows.count() == late.count() == 0
