@@ -17,15 +17,20 @@ from apportion.operators.scoring import (
     observed,
     prototype_model,
     score_batches,
+    score_blocks,
     score_native,
+    score_tasks,
     split_faulty,
 )
 from apportion.operators.tasks import run_metrics
 from apportion.session import scratch_dir, written
 from apportion.sources import mini_batches, vector_samples
-from apportion.streaming.runner import run_to_table
+from apportion.streaming.runner import run_scoring, run_to_table
 from apportion.streaming.sources import table_stream
 
+# Batches whose first features reach this far make the failing model raise.
+FAILING = 0.25
+
 _MODEL_SQL = """
     SELECT class_id, dimension, avg(x) AS weight FROM (
         SELECT label AS class_id, unnest(range(1, len(embedding) + 1)) AS dimension,
@@ -50,6 +55,17 @@ def _scorable(spark, base):
     return good, prototype_model(good, width), width
 
 
+def _damaged(features):
+    """Some vectors missing, some short, some not finite."""
+    not_finite = F.transform(features, lambda x: F.lit(float("nan")).cast("float"))
+    return (
+        F.when(features[0] > 0.2, F.lit(None).cast("array<float>"))
+        .when(features[1] > 0.2, F.slice(features, 1, F.size(features) - 1))
+        .when(features[2] > 0.2, not_finite)
+        .otherwise(features)
+    )
+
+
 @query(
     "i1_prototype_model",
     f"SELECT class_id, CAST(dimension - 1 AS INTEGER) AS dimension, round(weight, 6) AS weight FROM ({_MODEL_SQL})",
@@ -98,6 +114,79 @@ def stream_score(spark, base):
     return rounded(run_to_table(scored, "stream-scores"))
 
 
+_DAMAGED_SQL = """
+    SELECT *, CASE WHEN embedding[1] > 0.2 THEN 'missing features'
+                   WHEN embedding[2] > 0.2 THEN 'wrong length'
+                   WHEN embedding[3] > 0.2 THEN 'not finite' END AS fault FROM embeddings
+"""
+
+
+@query(
+    "i4_dead_letters",
+    f"""
+    SELECT d.vec_id AS sample_id, CASE WHEN fault IS NULL THEN prediction END AS prediction,
+           CASE WHEN fault IS NULL THEN logit END AS logit, fault
+    FROM ({_DAMAGED_SQL}) d LEFT JOIN ({_SCORES_SQL}) s ON s.sample_id = d.vec_id
+    """,
+)
+def dead_letters(spark, base):
+    """A stream scored twice on one checkpoint: what can't be scored comes out beside the scores, once."""
+    samples = vector_samples(spark, base)
+    width = feature_width(samples)
+    class_ids, weights = load_weights(prototype_model(samples, width))
+    stream = table_stream(spark, base, "embeddings").select(
+        F.col("vec_id").alias("sample_id"), _damaged(F.col("embedding")).alias("features")
+    )
+    folder = scratch_dir(spark, "dead-letters")
+    for _ in range(2):
+        scored, faulty = run_scoring(
+            stream,
+            lambda rows: split_faulty(rows, width),
+            lambda rows: score_batches(rows, linear_model(weights), class_ids),
+            folder,
+        )
+    letters = faulty.select("sample_id", "fault")
+    out = scored.unionByName(letters, allowMissingColumns=True)
+    return rounded(out.select("sample_id", "prediction", "logit", "fault"))
+
+
+@query("i3_argmax_blocks", _SCORES_SQL)
+def argmax_blocks(spark, base):
+    """The same scores by blocks of samples and classes, as for a model that no task could hold."""
+    samples, model, width = _scorable(spark, base)
+    return rounded(score_blocks(samples, model, weights=3 * width))
+
+
+@query(
+    "i5_failing_batches",
+    f"""
+    WITH n AS (SELECT *, (row_number() OVER (ORDER BY vec_id) - 1) // 16 AS batch_id FROM embeddings),
+    b AS (SELECT batch_id, max(embedding[1]) > {FAILING} AS failed FROM n GROUP BY 1)
+    SELECT n.batch_id, n.vec_id AS sample_id, CASE WHEN NOT failed THEN prediction END AS prediction,
+           CASE WHEN NOT failed THEN logit END AS logit,
+           CASE WHEN failed THEN 'ValueError: out of range' END AS error
+    FROM n JOIN b USING (batch_id) JOIN ({_SCORES_SQL}) s ON s.sample_id = n.vec_id
+    """,
+)
+def failing_batches(spark, base):
+    """A model that refuses some batches of sixteen loses those and no others."""
+    samples, model, _ = _scorable(spark, base)
+    class_ids, weights = load_weights(model)
+
+    def load():
+        transposed = np.ascontiguousarray(weights.T)
+
+        def forward(features):
+            if features[:, 0].max() > np.float32(FAILING):
+                raise ValueError("out of range")
+            return features.astype(np.float64) @ transposed
+
+        return forward
+
+    batched = mini_batches(with_ordinal(samples, "sample_id"), 16)
+    return rounded(score_tasks(batched, load, class_ids))
+
+
 @query(
     "i5_quarantine",
     """
@@ -109,14 +198,7 @@ def stream_score(spark, base):
     """,
 )
 def quarantine(spark, base):
-    first, second, third = (F.col("features")[i] for i in range(3))
-    not_finite = F.transform("features", lambda x: F.lit(float("nan")).cast("float"))
-    damaged = (
-        F.when(first > 0.2, F.lit(None).cast("array<float>"))
-        .when(second > 0.2, F.slice("features", 1, F.size("features") - 1))
-        .when(third > 0.2, not_finite)
-        .otherwise(F.col("features"))
-    )
+    damaged = _damaged(F.col("features"))
     samples = vector_samples(spark, base)
     width = feature_width(samples)
     _, weights = load_weights(prototype_model(samples, width))
@@ -133,7 +215,9 @@ def quarantine(spark, base):
 )
 def user_model(spark, base):
     """Any callable can be the model; here the features are the logits."""
-    return rounded(score_batches(vector_samples(spark, base), lambda: np.asarray))
+    samples = vector_samples(spark, base)
+    good, _ = split_faulty(samples, feature_width(samples))
+    return rounded(score_batches(good, lambda: np.asarray))
 
 
 @query(
@@ -143,8 +227,8 @@ def user_model(spark, base):
 )
 def observed_scoring(spark, base):
     """Counts taken while the scores are written, without a second pass."""
-    samples = vector_samples(spark, base)
-    class_ids, weights = load_weights(prototype_model(samples))
+    samples, model, _ = _scorable(spark, base)
+    class_ids, weights = load_weights(model)
     scores, seen = observed(score_batches(samples, linear_model(weights), class_ids), "scoring")
     scores.write.parquet(scratch_dir(spark, "observed-scores"))
     facts = seen.get
@@ -164,8 +248,8 @@ def observed_scoring(spark, base):
 )
 def measured_scoring(spark, base):
     """Shards scored for real: each task reports its own time, CPU and memory."""
-    samples = vector_samples(spark, base)
-    _, weights = load_weights(prototype_model(samples))
+    samples, model, _ = _scorable(spark, base)
+    _, weights = load_weights(model)
     numbered, count = number_rows(samples, "sample_id")
     sizes = [1, 2, 4]
     shard = [contiguous_part(F.col("ordinal"), F.lit(count), k) for k in sizes]

@@ -143,8 +143,9 @@ def measured_suite(
     """Score ``sample_id, features`` repeatedly with every approach, for real.
 
     Runs are repeated because they are measured. Samples that can't be scored are set
-    aside in ``quarantine`` with their fault, and the others are scored. A run that
-    fails becomes an error record; the statistics and the text report follow the first run.
+    aside in ``quarantine`` with their fault, and the others are scored. Tasks that the model fails
+    on are left out of their run and listed in ``failed_tasks``; a run of which no task is left, or that
+    fails as a whole, becomes an error record; the statistics and the text report follow the first run.
     """
     check_workers(workers)
     for size in (num_runs, batch_size, chunk_size, 1 if num_shards is None else num_shards):
@@ -155,14 +156,19 @@ def measured_suite(
     write_json(faulty, f"{out}/quarantine")
     numbered, count = number_rows(good, "sample_id")
     assigned = assigned_rows(numbered, count, [workers], batch_size, chunk_size, num_shards)
-    runs = None
+    runs = failed = None
     for run in range(1, num_runs + 1):
         for approach in APPROACHES:
             began = time.time()
             mine = assigned.filter(F.col("approach") == approach)
             try:
                 tasks = written(measured_tasks(mine, load_model), f"run-{approach}")
-                result = run_metrics(tasks, 1.0).withColumn("error", F.lit(None).cast("string"))
+                done = tasks.filter(F.col("error").isNull())
+                lost = tasks.filter(F.col("error").isNotNull()).withColumn("run", F.lit(run))
+                failed = lost if failed is None else failed.unionByName(lost)
+                result = run_metrics(done, 1.0).withColumn("error", F.lit(None).cast("string"))
+                if done.isEmpty() and not lost.isEmpty():
+                    result = lost.groupBy("approach").agg(F.min("error").alias("error"))
             except Exception as error:
                 result = spark.createDataFrame(
                     [(approach, error_text(error))],
@@ -176,6 +182,8 @@ def measured_suite(
             runs = row if runs is None else runs.unionByName(row, allowMissingColumns=True)
     runs = written(runs, "runs")
     statistics = gated_statistics(runs)
+    if failed is not None:
+        write_json(failed.select("run", "approach", "workers", "worker", "task_id", "error"), f"{out}/failed_tasks")
     write_json(runs, f"{out}/runs")
     write_json(statistics, f"{out}/statistics")
     write_text(report_lines(statistics), f"{out}/report")

@@ -122,6 +122,36 @@ def run_aggregate(stream: DataFrame, purpose: str) -> DataFrame:
     return versions.filter(F.col("version") == (-1 if last is None else last)).drop("version")
 
 
+def run_scoring(
+    stream: DataFrame,
+    split: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    score: Callable[[DataFrame], DataFrame],
+    base: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Score a stream into one table, and keep what can't be scored in another.
+
+    ``split`` parts a micro-batch into rows to score and faulty rows. Both tables are written under the batch's
+    id, so a micro-batch that runs twice replaces what it wrote, and scored and faulty rows add up to the
+    input. Called again with the same folder it continues where the last run stopped.
+    """
+    spark = stream.sparkSession
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        good, faulty = split(batch)
+        score(good).write.mode("overwrite").parquet(f"{base}/scored/micro_batch={batch_id}")
+        faulty.write.mode("overwrite").parquet(f"{base}/faulty/micro_batch={batch_id}")
+
+    run_each_batch(stream, step, f"{base}/checkpoint")
+    good, faulty = split(spark.createDataFrame([], stream.schema))
+    found = []
+    for name, schema in (("scored", score(good).schema), ("faulty", faulty.schema)):
+        try:
+            found.append(spark.read.schema(schema).parquet(f"{base}/{name}"))
+        except AnalysisException:  # a stream that never had a micro-batch
+            found.append(spark.createDataFrame([], schema))
+    return found[0], found[1]
+
+
 def run_windows(counts: Callable[[DataFrame], DataFrame], stream: DataFrame, time: str, delay: str, base: str) -> tuple[DataFrame, DataFrame]:
     """Windowed counts in append mode: all windows, and the rows that came too late for theirs.
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from apportion import jobs, schemas
 from apportion.operators.scoring import linear_model, load_weights, prototype_model
@@ -106,3 +107,26 @@ def test_one_bad_row_costs_one_row(spark, sf_dir, tmp_path):
     runs = spark.read.json(f"{out}/runs")
     assert "error" not in runs.columns or runs.where("error is not null").count() == 0
     assert [r.sample_id for r in spark.read.json(f"{out}/quarantine").collect()] == [-1]
+
+
+def test_failing_tasks_are_left_out_and_listed(spark, sf_dir, tmp_path):
+    samples = vector_samples(spark, sf_dir).limit(60)
+    width = len(samples.first()["features"])
+    marked = samples.withColumn(
+        "features", F.when(F.col("sample_id") == samples.agg(F.min("sample_id")).first()[0], F.array_repeat(F.lit(99.0).cast("float"), width))
+        .otherwise(F.col("features")))
+
+    def load():
+        def forward(features):
+            if (features > 50).any():
+                raise RuntimeError("bad chunk")
+            return features
+
+        return forward
+
+    out = str(tmp_path / "suite")
+    jobs.measured_suite(marked, load, out, workers=2, num_runs=1, batch_size=10, chunk_size=10)
+    lost = spark.read.json(f"{out}/failed_tasks").collect()
+    assert {(r.approach, r.error) for r in lost} == {(a, "RuntimeError: bad chunk") for a in ("uniform", "dynamic", "sharded")}
+    runs = {r.approach: r.total_inferences for r in spark.read.json(f"{out}/runs").collect()}
+    assert runs["dynamic"] == 50 and runs["sharded"] == 30

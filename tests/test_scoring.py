@@ -102,3 +102,80 @@ def test_wide_vectors_score_fully_and_odd_ones_are_set_aside(spark):
     assert len(scored) == 30 and all(r.prediction == r.label and r.logit is not None for r in scored)
     assert sorted((r.sample_id, r.fault) for r in bad.collect()) == [
         (100, "missing features"), (101, "wrong length"), (102, "not finite")]
+
+
+@pytest.fixture(scope="module")
+def sized(spark):
+    pick = np.random.default_rng(1)
+    rows = [(i % 50, [float(x) for x in pick.integers(-5, 5, 6)]) for i in range(200)] + [(7, [0.0] * 6)] * 60
+    samples = spark.createDataFrame(rows, "sample_id long, features array<float>").repartition(3)
+    model = spark.createDataFrame(
+        [(c, [float(x) for x in pick.integers(-3, 3, 6)]) for c in range(-3, 10)] + [(40, [0.0] * 6)],
+        "class_id int, weights array<double>")
+    return samples, model
+
+
+def test_models_of_any_size_give_the_same_predictions(spark, sized, monkeypatch):
+    samples, model = sized
+    expected = sorted(map(tuple, scoring.score(samples, model).collect()))
+    monkeypatch.setattr(scoring, "MAX_LITERAL_WEIGHTS", 1)
+    assert sorted(map(tuple, scoring.score(samples, model).collect())) == expected
+    monkeypatch.setattr(scoring, "MAX_SHIPPED_WEIGHTS", 1)
+    assert sorted(map(tuple, scoring.score(samples, model).collect())) == expected
+    for rows, weights in ((1000, 1), (7, 12), (64, 1000)):
+        found = scoring.score_blocks(samples, model, rows, weights)
+        assert sorted(map(tuple, found.collect())) == expected
+    assert scoring.score_blocks(samples.limit(0), model).count() == 0
+    with pytest.raises(ValueError):
+        scoring.score_blocks(samples, model.limit(0))
+
+
+def test_a_failing_batch_costs_that_batch(spark):
+    rows = [(i // 10, i, [float(i), 1.0]) for i in range(95)] + [(20, 100, None), (20, 101, [1.0, 2.0]), (21, 102, [1.0])]
+    batched = spark.createDataFrame(rows, "batch_id long, sample_id long, features array<float>").repartition(5)
+
+    def load():
+        def forward(features):
+            if (features[:, 0] % 40 == 33).any():
+                raise RuntimeError("first\n bad batch ")
+            return features if len(features) != 5 else features[:-1]
+
+        return forward
+
+    found = {r.sample_id: (r.prediction, r.error) for r in scoring.score_tasks(batched, load, [5, 9]).collect()}
+    assert len(found) == len(rows)
+    for i in range(95):
+        if i // 10 in (3, 7):
+            assert found[i] == (None, "RuntimeError: bad batch")
+        elif i // 10 == 9:
+            assert found[i][1].startswith("ValueError: the model gave logits of shape")
+        else:
+            assert found[i] == (9 if i < 1 else 5, None)
+    assert found[100][1] == found[101][1] and found[100][1].startswith("ValueError: vectors of different lengths")
+
+    def broken():
+        raise OSError("no weights")
+
+    assert {r.error for r in scoring.score_tasks(batched, broken).collect()} == {"OSError: no weights"}
+
+
+def test_ragged_vectors_are_refused_not_cut(spark):
+    rows = [(1, [1.0] * 63), (2, [1.0] * 65)]
+    samples = spark.createDataFrame(rows, "sample_id long, features array<float>").coalesce(1)
+    with pytest.raises(Exception, match="different lengths"):
+        scoring.score_batches(samples, lambda: np.asarray).collect()
+    samples = spark.createDataFrame([(1, [1.0] * 3), (2, None)], "sample_id long, features array<float>").coalesce(1)
+    with pytest.raises(Exception, match="different lengths"):
+        scoring.score_batches(samples, lambda: np.asarray).collect()
+
+
+def test_queries_set_faulty_vectors_aside(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    bad = spark.createDataFrame([(10**6, None, 0), (10**6 + 1, [1.0], 1)], table.schema)
+    table.unionByName(bad).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("i6_user_model", "a16_observed_scoring", "a16_measured_scoring", "i3_argmax_blocks", "i5_failing_batches"):
+        found = entry.queries()[name](spark, str(tmp_path))
+        expected = entry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr), name

@@ -2,12 +2,20 @@ import os
 import time
 from datetime import datetime, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from apportion.operators.assign import assign
 from apportion.operators.queueing import fifo_schedule
-from apportion.operators.scoring import linear_model, load_weights, prototype_model, score_batches, score_native
+from apportion.operators.scoring import (
+    linear_model,
+    load_weights,
+    prototype_model,
+    score_batches,
+    score_native,
+    split_faulty,
+)
 import __spark_entry__ as spark_entry
 from apportion.session import scratch_dir
 from apportion.sources import (
@@ -20,7 +28,7 @@ from apportion.sources import (
 from apportion.schemas import TABLES
 from apportion.streaming.keyed import keyed_backlog
 from apportion.streaming.operators import backlog, once_per_sample, routed_counts, window_counts
-from apportion.streaming.runner import run_aggregate, run_each_batch, run_numbered, run_to_table, run_windows
+from apportion.streaming.runner import run_aggregate, run_each_batch, run_numbered, run_scoring, run_to_table, run_windows
 from apportion.streaming.sources import bounded, rate_stream, replay_delay, table_stream
 
 SF = "/root/testdata/sf0.01"
@@ -295,3 +303,21 @@ def test_streams_without_files_give_empty_tables(spark, tmp_path):
     assert keyed_backlog(routed, ["worker"], "0 seconds").count() == 0
     windows, late = run_windows(window_counts("6 hours"), arriving, "arrival", "0 seconds", scratch_dir(spark, "none"))
     assert windows.count() == late.count() == 0
+
+
+def test_dead_letters_add_up_over_restarts(spark, tmp_path):
+    folder = tmp_path / "vectors"
+    rows = [(i, None if i % 5 == 0 else [1.0] if i % 7 == 0 else [float(i), 1.0]) for i in range(40)]
+    base = scratch_dir(spark, "letters")
+    schema = "sample_id long, features array<float>"
+    for part in (rows[:20], rows[20:], []):
+        if part:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        scored, faulty = run_scoring(
+            spark.readStream.schema(schema).parquet(str(folder)), lambda r: split_faulty(r, 2),
+            lambda r: score_batches(r, linear_model(np.eye(2)), [3, 4]), base)
+    good = {r.sample_id: r.prediction for r in scored.collect()}
+    assert len(good) == scored.count() and set(good) | {r.sample_id for r in faulty.collect()} == set(range(40))
+    assert {r.sample_id: r.fault for r in faulty.collect()} == {
+        i: "missing features" if i % 5 == 0 else "wrong length" for i in range(40) if i % 5 == 0 or i % 7 == 0}
+    assert faulty.count() + scored.count() == 40 and good[1] == 3
