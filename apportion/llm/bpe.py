@@ -10,7 +10,8 @@ The machine is made deterministic while it runs. A state is the set of hypothese
 each a trie node and the tokens it has not emitted yet; a step advances all of
 them and emits the tokens on which they agree. Hypotheses die when no token is as
 long as what they have read, so output lags by a bounded lookahead. States and
-steps are made on first use, kept up to a bound, then dropped and made anew.
+steps are made when they are used again, kept up to a bound, then dropped and made anew; the first
+time, the rest of a short piece is walked by its hypotheses alone.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from apportion.llm.chunks import PartEncoder
 
 KEPT_STATES = 80_000
+SIMULATED = 64  # bytes of the longest pieces of which rare ends are walked without states
 DECODED_AT_ONCE = 4096
 
 
@@ -65,7 +67,7 @@ class Transducer:
         start = ((0, -1, ()),)
         self.states: list[tuple] = [start]
         self.numbers: dict[tuple, int] = {start: 0}
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.steps: list[dict[int, tuple]] = [{}]  # () for a step that was wanted once
 
     def merged(self, piece: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, leftmost first."""
@@ -135,14 +137,16 @@ class Transducer:
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         live = []
         ended = None
+        trie, token_at = self.trie, self.token_at
         for node, before, waiting in self.states[state]:
-            below = self.trie[node].get(byte)
+            below = trie[node].get(byte)
             if below is None:
                 continue
-            if self.trie[below]:
+            if trie[below]:
                 live.append((below, before, waiting))
-            token = self.token_at[below]
-            if token is not None and self._suits(before, token):
+            token = token_at[below]
+            # At most one hypothesis stands at a token's end.
+            if token is not None and ended is None and self._suits(before, token):
                 ended = (0, token, (*waiting, token))
         if ended is not None:
             live.append(ended)
@@ -172,18 +176,56 @@ class Transducer:
             return [whole]
         if len(self.states) > self.kept:
             self._forget()
+        if not piece:
+            return []
         out: list[int] = []
         state, steps = 0, self.steps
-        for byte in piece:
-            step = steps[state].get(byte) or self._step(state, byte)
+        for i, byte in enumerate(piece[:-1]):
+            step = steps[state].get(byte)
+            if not step:
+                if step is None and len(piece) <= SIMULATED:
+                    # Most words are met once: a step is made when it is wanted for the second time.
+                    steps[state][byte] = ()
+                    left = self._simulated(self.states[state], piece, i)
+                    return self.merged(piece) if left is None else out + left
+                step = self._step(state, byte)
             state = step[0]
             if step[1]:
                 out += step[1]
-        ended = self.states[state][-1:]
-        if not ended or ended[0][0] != 0:
-            # Only for vocabularies in which some byte is no token by itself.
-            return self.merged(piece)
-        return out + list(ended[0][2])
+        left = self._finish(self.states[state], piece[-1])
+        # None only for vocabularies in which some byte is no token by itself.
+        return self.merged(piece) if left is None else out + left
+
+    def _simulated(self, hypotheses, piece: bytes, at: int) -> list[int] | None:
+        """The tokens of the rest of a short piece, without making states."""
+        trie, token_at, suits = self.trie, self.token_at, self._suits
+        for byte in piece[at:-1]:
+            live, ended = [], None
+            for node, before, waiting in hypotheses:
+                below = trie[node].get(byte)
+                if below is not None:
+                    if trie[below]:
+                        live.append((below, before, waiting))
+                    token = token_at[below]
+                    if token is not None and ended is None and suits(before, token):
+                        ended = (0, token, (*waiting, token))
+            if ended is not None:
+                live.append(ended)
+            hypotheses = live
+        return self._finish(hypotheses, piece[-1])
+
+    def _finish(self, hypotheses, byte: int) -> list[int] | None:
+        """The tokens that are left if a piece ends with this byte.
+
+        No state is made for it: most ends are those of one word, and would never be met again.
+        """
+        for node, before, waiting in hypotheses:
+            below = self.trie[node].get(byte)
+            if below is not None:
+                token = self.token_at[below]
+                if token is not None and self._suits(before, token):
+                    return [*waiting, token]
+        return None
 
 
 def rank_encoder(ranks: dict[bytes, int], pattern: str) -> PartEncoder:

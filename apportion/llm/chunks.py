@@ -29,7 +29,10 @@ class PartEncoder:
         kept: int = KEPT_PARTS,
     ):
         self._whole, self._run, self._room = whole, run, kept
-        self._known: dict[str, bytes] = {}  # by what follows the space
+        # By what follows the space, in two generations: the older one is dropped when the newer is full, and
+        # what is used again moves to the newer, so that frequent parts always stay.
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
@@ -39,21 +42,26 @@ class PartEncoder:
         """Ids of several texts; what is not remembered is encoded for all of them at once."""
         known = self._known
         split = [x.split(" ") for x in texts]
-        missing = {p for x in split for p in x[1:] if p not in known}
+        missing = {p for x in split for p in x[1:]}
+        missing.difference_update(known)
         blank = {p for p in missing if not p.strip()}
         if blank:
             odd = [not blank.isdisjoint(x[1:]) for x in split]
             found = iter(self._whole([x for x, o in zip(texts, odd, strict=True) if o]))
             rest = iter(self.ids_of([x for x, o in zip(texts, odd, strict=True) if not o]))
             return [next(found) if o else next(rest) for o in odd]
+        again = {p: i for p in missing if (i := self._older.get(p)) is not None}
+        missing.difference_update(again)
         fresh = dict(zip(missing, self._run([" " + p for p in missing]), strict=True))
+        fresh.update(again)
         heads = self._whole([x[0] for x in split])
         out = [
             head + b"".join([known.get(p) or fresh[p] for p in x[1:]])
             for head, x in zip(heads, split, strict=True)
         ]
-        room = self._room - len(known)
-        known.update([(p, i) for p, i in fresh.items() if len(p) <= LONGEST_KEPT][: max(room, 0)])
+        if len(known) + len(fresh) > self._room // 2 and known:
+            self._older, self._known = known, {}
+        self._known.update([(p, i) for p, i in fresh.items() if len(p) <= LONGEST_KEPT][: self._room // 2])
         return out
 
     def encoded(self, rows: Iterator[tuple]) -> Iterator[tuple]:
