@@ -22,7 +22,7 @@ from apportion.catalog.sql import (
     tasks_sql,
     timed_sql,
 )
-from apportion.operators.assign import APPROACHES, assign
+from apportion.operators.assign import APPROACHES, assign, contiguous_part
 from apportion.operators.queueing import fifo_schedule
 from apportion.operators.statistics import (
     first_run_gate,
@@ -42,11 +42,14 @@ from apportion.operators.tasks import (
     task_results,
     with_empty_runs,
 )
-from apportion.plans.reports import report_lines
+from apportion.plans.reports import report_lines, title_block
 from apportion.plans.stream_matrix import WORKER_COUNTS
-from apportion.session import scratch_dir
+from apportion.session import scratch_dir, written
 from apportion.sources import event_samples, mini_batches, read_text, write_text
 
+# Shards of the progress notes.
+SHARDS = 16
+
 _SECONDS = f"{1e6 * TIME_SCALE}::DOUBLE"
 _RUN_DOUBLES = ("throughput", "latency_ms", "avg_cpu_percent", "avg_memory_mb", "total_duration")
 
@@ -198,25 +201,25 @@ def actor_totals(spark, base):
 def progress(spark, base):
     """Tenth chunks, fifth shards of sixteen, and every fiftieth batch."""
     numbered, count = numbered_events(spark, base)
-    run = ["approach", "workers"]
-    chunks = batch_tasks(numbered, count, WORKER_COUNTS).filter(F.col("approach") == "dynamic")
-    shards = batch_tasks(numbered, count, [4], num_shards=16).filter(
-        F.col("approach") == "sharded"
-    )
-    batches = (
-        mini_batches(numbered, 128)
-        .groupBy(F.lit("batches").alias("approach"), F.lit(1).alias("workers"), "batch_id")
-        .agg(F.count("*").alias("rows"))
-        .withColumnRenamed("batch_id", "task_id")
-    )
+    # One pass over the samples: rows per mini-batch and shard, from which all three tables follow.
+    shard = contiguous_part(F.col("ordinal"), F.lit(count), SHARDS)
+    parts = mini_batches(numbered, 128).groupBy("batch_id", shard.alias("shard")).agg(F.count("*").alias("rows"))
+    parts = written(parts, "progress")
+
+    def tasks(approach, workers, task):
+        found = parts.groupBy(F.col(task).cast("bigint").alias("task_id")).agg(F.sum("rows").alias("rows"))
+        return found.withColumns({"approach": F.lit(approach), "workers": F.lit(workers)})
+
+    batches = tasks("batches", 1, "batch_id")
+    chunks = batches.drop("workers").withColumn("workers", F.explode(F.array(*map(F.lit, WORKER_COUNTS))))
 
     def noted(tasks, kind, every, at_first=False):
-        notes = milestones(tasks, run, "task_id", every, at_first)
+        notes = milestones(tasks, ["approach", "workers"], "task_id", every, at_first)
         return notes.select(F.lit(kind).alias("kind"), "workers", "task_id", "completed")
 
     return (
         noted(chunks, "chunks", CHUNKS_PER_NOTE)
-        .unionByName(noted(shards, "shards", SHARDS_PER_NOTE))
+        .unionByName(noted(tasks("shards", 4, "shard"), "shards", SHARDS_PER_NOTE))
         .unionByName(noted(batches, "batches", BATCHES_PER_NOTE, at_first=True))
     )
 
@@ -291,7 +294,10 @@ def gate(spark, base):
             coalesce(max(mean) FILTER (metric = 'avg_memory_mb'), 0.0) AS y
           FROM st GROUP BY 1),
     lines AS (
-        SELECT 'PERFORMANCE SUMMARY' AS line
+        SELECT unnest([repeat('=', 80), 'DATA PARTITIONING BENCHMARK REPORT', repeat('=', 80),
+                       'Timestamp: ' || (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events),
+                       'System: test tables with 8 CPUs', 'Memory: 32.0 GB', '', '']) AS line
+        UNION ALL SELECT 'PERFORMANCE SUMMARY'
         UNION ALL SELECT repeat('-', 80) UNION ALL SELECT repeat('-', 80)
         UNION ALL SELECT printf('%-15s %-15s %-15s %-10s %-12s',
                                 'Approach', 'Throughput', 'Latency', 'CPU %', 'Memory MB')
@@ -302,17 +308,19 @@ def gate(spark, base):
         FROM g LEFT JOIN m USING (approach)
         UNION ALL SELECT upper(approach) || ' PARTITIONING DETAILS' FROM g
         UNION ALL SELECT repeat('-', 40) FROM g
-        UNION ALL SELECT 'Error: ' || error FROM g WHERE error IS NOT NULL
+        UNION ALL SELECT unnest(['Error: ' || error, '']) FROM g WHERE error IS NOT NULL
         UNION ALL
         SELECT unnest([metric || ':', printf('  Mean: %.2f', mean), printf('  Std:  %.2f', std),
                        printf('  Min:  %.2f', min), printf('  Max:  %.2f', max),
-                       printf('  Median: %.2f', median)])
+                       printf('  Median: %.2f', median), ''])
         FROM st JOIN g USING (approach) WHERE error IS NULL)
     SELECT rtrim(line) AS line FROM lines
     """,
 )
 def text_report(spark, base):
-    lines = report_lines(gated_statistics(repeated_runs(spark, base)))
+    latest = event_samples(spark, base).agg(F.date_format(F.max("arrival"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    title = title_block(latest, "test tables", 8, 32.0)
+    lines = report_lines(gated_statistics(repeated_runs(spark, base)), title=title)
     path = scratch_dir(spark, "report")
     write_text(lines, path)
     return read_text(spark, path).select(F.rtrim("line").alias("line"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import platform
 import time
 from collections.abc import Callable, Sequence
 
@@ -16,7 +18,7 @@ from apportion.operators.statistics import gated_statistics
 from apportion.operators.tasks import assigned_rows, batch_tasks, node_metrics, run_metrics
 from apportion.plans import matrix
 from apportion.plans.documents import experiment_documents, failed_documents, flatten_documents
-from apportion.plans.reports import report_lines
+from apportion.plans.reports import report_lines, title_block
 from apportion.plans.stream_matrix import (
     BASE_RATE,
     STREAM_RATES,
@@ -186,5 +188,7 @@ def measured_suite(
         write_json(failed.select("run", "approach", "workers", "worker", "task_id", "error"), f"{out}/failed_tasks")
     write_json(runs, f"{out}/runs")
     write_json(statistics, f"{out}/statistics")
-    write_text(report_lines(statistics), f"{out}/report")
+    memory_gb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30
+    title = title_block(time.strftime("%Y-%m-%d %H:%M:%S"), platform.platform(), os.cpu_count() or 1, memory_gb)
+    write_text(report_lines(statistics, title=title), f"{out}/report")
     return statistics

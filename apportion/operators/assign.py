@@ -95,6 +95,9 @@ def sub_chunks(
     Expects ``ordinal`` and the ``shard`` of :func:`contiguous_split`. A shard's
     start and length follow from the split rule, so nothing is counted.
     """
+    check_workers(shards)
+    if chunk_size < 1:
+        raise ValueError(f"chunk_size must be positive, got {chunk_size}")
     run = count // shards
     last_length = count - run * (shards - 1)
     length = F.when(F.col("shard") == shards - 1, F.lit(last_length)).otherwise(F.lit(run))

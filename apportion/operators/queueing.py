@@ -109,7 +109,10 @@ def schedule_from(
     routed: DataFrame, lanes: Sequence[str], block_rows: int, free_at: Column | None
 ) -> DataFrame:
     """As :func:`fifo_schedule`, from workers that are busy until ``free_at``."""
-    local = local_schedule(blocks_of(routed, block_rows), lanes, {"own": F.col("arrival_us")})
+    # Two steps read the blocks: written once, they cost one scan, shuffle and sort of the stream.
+    local = written(
+        local_schedule(blocks_of(routed, block_rows), lanes, {"own": F.col("arrival_us")}), "blocks"
+    )
     # One small row per lane and block, computed once; then one row per block,
     # so that the samples are joined where they already are.
     carry = written(

@@ -75,6 +75,8 @@ def worker_outcomes(
     """Enqueued, processed and residual samples of every worker of every cell."""
     strategies = [check_strategy(s) for s in strategies]
     worker_counts = [check_workers(w) for w in worker_counts]
+    if not all(rate > 0 for rate in rates) or base_rate <= 0:
+        raise ValueError(f"rates must be positive, got {list(rates)} and {base_rate}")
     profile = profile or profile_stream(samples)
     queues = sorted({_queue_of(s, w) for s in strategies for w in worker_counts})
     ids = {queue: i for i, queue in enumerate(queues)}

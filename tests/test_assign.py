@@ -121,3 +121,15 @@ def test_bad_parameters_fail_before_any_job(spark):
     ):
         with pytest.raises(ValueError):
             call()
+
+
+def test_sizes_and_rates_are_checked_before_any_job(spark):
+    from apportion.operators.assign import sub_chunks
+    from apportion.plans.stream_matrix import worker_outcomes
+
+    rows = spark.range(5).selectExpr("id AS ordinal", "0 AS shard")
+    for wrong in ({"chunk_size": 0, "shards": 1}, {"chunk_size": 3, "shards": 0}):
+        with pytest.raises(ValueError):
+            sub_chunks(rows, True, count=5, **wrong)
+    with pytest.raises(ValueError):
+        worker_outcomes(rows, rates=[0])

@@ -47,7 +47,8 @@ def test_measured_suite_reports_every_approach(spark, sf_dir):
     assert statistics.count() == 15 and statistics.filter("mean <= 0").filter(
         "metric in ('throughput', 'total_duration')").count() == 0
     report = [r["line"] for r in read_text(spark, f"{out}/report").collect()]
-    assert report[0] == "PERFORMANCE SUMMARY" and len(report) == 4 + 3 + 3 * (2 + 5 * 6)
+    assert report[1] == "DATA PARTITIONING BENCHMARK REPORT" and report[7] == "PERFORMANCE SUMMARY"
+    assert len(report) == 7 + 4 + 3 + 1 + 3 * (2 + 5 * 7)
 
 
 def test_measured_suite_records_a_broken_model(spark, sf_dir):

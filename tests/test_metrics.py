@@ -6,7 +6,7 @@ from apportion.operators.assign import APPROACHES
 from apportion.operators.statistics import gated_statistics, run_statistics
 from apportion.operators.tasks import batch_tasks, milestones, run_metrics, with_empty_runs
 from apportion.plans import matrix
-from apportion.plans.reports import report_lines
+from apportion.plans.reports import report_lines, title_block
 
 
 def samples(spark, n):
@@ -82,7 +82,23 @@ def test_only_the_first_run_decides_on_an_error(spark):
     lines = [r["line"] for r in report_lines(gated_statistics(runs)).orderBy("line_no").collect()]
     assert lines[4].startswith("uniform         1.00            2.00            3.0        4.0")
     assert lines[5].split() == ["dynamic", "ERROR", "ERROR", "ERROR", "ERROR"]
-    assert lines[-1] == "Error: boom" and "  Median: 5.00" in lines
+    assert lines[-2:] == ["Error: boom", ""] and "  Median: 5.00" in lines
+
+
+def test_unlisted_approaches_follow_and_errors_have_a_text(spark):
+    ok, none = (1.0, 2.0, 3.0, 4.0, 5.0), (None,) * 5
+    runs = spark.createDataFrame(
+        [("zigzag", 1, None, *ok), ("dynamic", 1, "  ", *none), ("a new one", 1, None, *ok)], RUNS)
+    title = title_block("2024-01-01 00:00:00", "machine", 8, 31.96)
+    rows = report_lines(gated_statistics(runs), title=title).orderBy("line_no").collect()
+    numbers, lines = [r.line_no for r in rows], [r.line for r in rows]
+    assert numbers[0] == 0 and len(set(numbers)) == len(numbers)
+    assert lines[:7] == ["=" * 80, "DATA PARTITIONING BENCHMARK REPORT", "=" * 80, "Timestamp: 2024-01-01 00:00:00",
+                         "System: machine with 8 CPUs", "Memory: 32.0 GB", ""]
+    assert [line.split("  ")[0] for line in lines[11:14]] == ["dynamic", "a new one", "zigzag"] and lines[14] == ""
+    titles = [line for line in lines if line.endswith("DETAILS")]
+    assert titles == [f"{x} PARTITIONING DETAILS" for x in ("DYNAMIC", "A NEW ONE", "ZIGZAG")]
+    assert "Error: Unknown error" in lines
 
 
 COMBINED = (
