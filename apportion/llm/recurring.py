@@ -209,7 +209,8 @@ def spans(rows: DataFrame, what: Recurrence) -> DataFrame:
             partly.select("ord", "h", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))
         )
     )
-    return found.groupBy("ord", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # Rows without an id share one order: copies of a text have the same spans, which count once.
+    return found.groupBy("ord", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def _segments(rows: DataFrame, contexts: DataFrame, what: Recurrence) -> DataFrame:
