@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-KEPT_PARTS = 300_000
+KEPT_PARTS = 300_000  # in each of two generations
 LONGEST_KEPT = 64
 CHARS_AT_ONCE = 1 << 19
 
@@ -42,26 +42,27 @@ class PartEncoder:
         """Ids of several texts; what is not remembered is encoded for all of them at once."""
         known = self._known
         split = [x.split(" ") for x in texts]
-        missing = {p for x in split for p in x[1:]}
-        missing.difference_update(known)
+        rest = [x[1:] for x in split]
+        missing = set().union(*rest).difference(known)
         blank = {p for p in missing if not p.strip()}
         if blank:
             odd = [not blank.isdisjoint(x[1:]) for x in split]
             found = iter(self._whole([x for x, o in zip(texts, odd, strict=True) if o]))
-            rest = iter(self.ids_of([x for x, o in zip(texts, odd, strict=True) if not o]))
-            return [next(found) if o else next(rest) for o in odd]
+            plain = iter(self.ids_of([x for x, o in zip(texts, odd, strict=True) if not o]))
+            return [next(found) if o else next(plain) for o in odd]
         again = {p: i for p in missing if (i := self._older.get(p)) is not None}
         missing.difference_update(again)
-        fresh = dict(zip(missing, self._run([" " + p for p in missing]), strict=True))
-        fresh.update(again)
-        heads = self._whole([x[0] for x in split])
-        out = [
-            head + b"".join([known.get(p) or fresh[p] for p in x[1:]])
-            for head, x in zip(heads, split, strict=True)
-        ]
-        if len(known) + len(fresh) > self._room // 2 and known:
+        if len(known) + len(again) + len(missing) > self._room and known:
+            known.update(again)
+            again = {p: known[p] for p in set().union(*rest) - missing}
             self._older, self._known = known, {}
-        self._known.update([(p, i) for p, i in fresh.items() if len(p) <= LONGEST_KEPT][: self._room // 2])
+            known = self._known
+        known.update(again)
+        known.update(zip(missing, self._run([" " + p for p in missing]), strict=True))
+        heads = self._whole([x[0] for x in split])
+        out = [head + b"".join(map(known.__getitem__, x)) for head, x in zip(heads, rest, strict=True)]
+        for part in [p for p in missing if len(p) > LONGEST_KEPT]:
+            del known[part]
         return out
 
     def encoded(self, rows: Iterator[tuple]) -> Iterator[tuple]:
