@@ -1,11 +1,11 @@
 """Removal of passages that an earlier document has, by phrase automata.
 
 Words covered by 50 consecutive words that are also in a document of smaller id are
-removed. :mod:`recurring` confirms which passages may recur and brings them
-together by shards. A shard's groups are taken in bounded batches: words become letters,
-the windows that contexts of two documents confirm are compiled into one Aho-Corasick automaton,
-each with the smallest document it comes from, and every context is streamed through it,
-which locates all occurrences of all windows at once.
+removed. :mod:`recurring` brings the places together where a passage may recur, by the hash of
+its anchor. Windows of which a later document holds another are confirmed by hash; the distinct
+confirmed ones, each with the smallest document it comes from, are compiled into
+Aho-Corasick automata of bounded size over words as letters, and every context
+is streamed through them, which locates all occurrences of all windows.
 """
 
 from __future__ import annotations
@@ -24,40 +24,44 @@ from apportion.llm.words import word_bounds
 
 WINDOW = 50
 GRAM = 12
+SHARD = 1 << 16
 
 
-def compare(groups: list[R.Group], what: R.Recurrence) -> list[list[tuple[int, int] | None]]:
-    """The reach of each member that documents of smaller order cover, around its anchor."""
+def compare(run: list[R.Member], what: R.Recurrence) -> list[tuple[int, int] | None]:
+    """The reach of each member that documents of smaller order cover, around its anchor.
+
+    Windows are confirmed by their hashes: those of which a later document holds another. The automata
+    of the confirmed, ``SHARD`` windows each, then go over all members.
+    """
+    cuts = [R.window_hashes(member.segment, member.left, what)[1] for member in run]
+    each = np.repeat(np.arange(len(run)), [len(c) for c in cuts])
+    if not len(each):
+        return [None] * len(run)
+    hashes = np.concatenate(cuts)
+    place = np.concatenate([np.arange(len(c)) for c in cuts])
+    orders = np.array([member.order for member in run])[each]
+    rank = np.lexsort((orders, hashes))
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(hashes[rank]) != 0]))
+    end = np.append(begin[1:], len(rank)) - 1
+    confirmed = rank[begin[orders[rank[begin]] < orders[rank[end]]]]
+    if not len(confirmed):
+        return [None] * len(run)
     letters: dict[bytes, str] = {}
-    coded = [[_letters(member[0], letters) for member in group] for group in groups]
-    # Windows with the smallest document that has them, and those that a second context confirms.
-    first: dict[str, int] = {}
-    confirmed: set[str] = set()
-    for group, lines in zip(groups, coded, strict=True):
-        for (_, left, o1, o2, order), line in zip(group, lines, strict=True):
-            for i in range(max(0, left - o2), min(left - o1, len(line) - what.window) + 1):
-                window = line[i : i + what.window]
-                known = first.setdefault(window, order)
-                if known != order:
-                    confirmed.add(window)
-                    first[window] = min(known, order)
-    automaton = ahocorasick.Automaton()
-    for window in confirmed:
-        automaton.add_word(window, first[window])
-    if not len(automaton):
-        return [[None] * len(g) for g in groups]
-    automaton.make_automaton()
-    out = []
-    for group, lines in zip(groups, coded, strict=True):
-        found: list[tuple[int, int] | None] = []
-        for (_, left, o1, o2, order), line in zip(group, lines, strict=True):
-            starts = [
-                end - what.window + 1 - left for end, smallest in automaton.iter(line) if smallest < order
-            ]
-            starts = [s for s in starts if -o2 <= s <= -o1]
-            found.append((min(starts), max(starts) + what.window) if starts else None)
-        out.append(found)
-    return out
+    lines = [_letters(member.segment, letters) for member in run]
+    near: dict[int, int] = {}
+    far: dict[int, int] = {}
+    for i in range(0, len(confirmed), SHARD):
+        automaton = ahocorasick.Automaton()
+        for k in confirmed[i : i + SHARD].tolist():
+            automaton.add_word(lines[each[k]][place[k] : place[k] + what.window], int(orders[k]))
+        automaton.make_automaton()
+        for number, (member, line) in enumerate(zip(run, lines, strict=True)):
+            for last, smallest in automaton.iter(line):
+                if smallest < member.order:
+                    start = last - what.window + 1 - member.left
+                    near[number] = max(near.get(number, start), start)
+                    far[number] = min(far.get(number, start), start)
+    return [(far[i], near[i] + what.window) if i in near else None for i in range(len(run))]
 
 
 def _letters(segment: bytes, letters: dict[bytes, str]) -> str:

@@ -8,10 +8,8 @@ meet. The context of an occurrence is all that windows around it can cover.
 1. Anchors are counted by hash; those that occur once are done with.
 2. Where all contexts of an anchor are equal, all of its windows recur.
 3. Of the others, each different context is sent once, as text, to its anchor's
-   group, where the windows are compared exactly. A group of over ``GROUP`` contexts is
-   halved first: windows that reach further left than some place share what is
-   left of it, the others share what is right, so each half is cut by the hash of
-   that part, again and again, until groups are small or hold one window.
+   group, where the windows are compared exactly. In a group of over ``GROUP`` contexts
+   the windows themselves are rows, counted by hash, so no task holds the group.
 
 Counts, smallest ids and distinct contexts are aggregated before they are shuffled,
 so copies of one text meet as a single context.
@@ -21,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,9 @@ from pyspark.sql import functions as F
 from apportion.llm import words as W
 from apportion.session import written
 
-GROUP = 4096
+GROUP = 65_536  # contexts of one anchor that a task compares, some 50 MB of text
+RUN = 8192
+_DEALS = 16
 _CHUNK = 1 << 20
 _LAST = (1 << 63) - 1
 
@@ -49,12 +50,6 @@ class ByteUnits:
     def cutter(self, raw: bytes) -> Callable[[int, int], bytes]:
         return lambda i, j: raw[i:j]
 
-    def count(self, segment: bytes) -> int:
-        return len(segment)
-
-    def part(self, segment: bytes, i: int, j: int) -> bytes:
-        return segment[i:j]
-
 
 class WordUnits:
     """Words between white space as units."""
@@ -71,14 +66,14 @@ class WordUnits:
         starts, ends = W.word_bounds(np.frombuffer(raw, dtype=np.uint8))
         return lambda i, j: b" ".join(raw[s:e] for s, e in zip(starts[i:j], ends[i:j], strict=True))
 
-    def count(self, segment: bytes) -> int:
-        return segment.count(b" ") + 1
-
-    def part(self, segment: bytes, i: int, j: int) -> bytes:
-        return b" ".join(segment.split(b" ")[i:j])
 
+class Member(NamedTuple):
+    """A context: its anchor, its text, how many units stand before the anchor, the smallest order that has it."""
 
-Group = list[tuple[bytes, int, int, int, int]]  # segment, units left of the anchor, first and last reach, order
+    anchor: int
+    segment: bytes
+    left: int
+    order: int
 
 
 @dataclass(frozen=True)
@@ -87,14 +82,14 @@ class Recurrence:
 
     ``earlier``: a window is taken if it also is in a document of smaller order;
     else if it is anywhere else, in the same document too. ``compare`` maps a
-    batch of groups to the covered reach of each member.
+    run of whole groups to the covered reach of each member.
     """
 
     units: ByteUnits | WordUnits
     window: int
     gram: int
     earlier: bool
-    compare: Callable[[list[Group], "Recurrence"], list[list[tuple[int, int] | None]]]
+    compare: Callable[[list[Member], "Recurrence"], list[tuple[int, int] | None]]
 
     @property
     def reach(self) -> int:
@@ -198,7 +193,7 @@ def spans(rows: DataFrame, what: Recurrence) -> DataFrame:
     )
     met = differing.join(contexts.select("a", "ctx", "n", "lo"), ["a", "ctx"])
     again = F.col("ord") > F.col("lo") if what.earlier else F.col("n") > 1
-    reached = _compared(_segments(rows, contexts, what), what)
+    reached = _compared(rows, contexts, what)
     partly = met.where(~again).join(reached, ["a", "ctx"])
 
     whole = (F.col("pos") - what.reach).alias("s"), (F.col("pos") + what.window).alias("e")
@@ -254,104 +249,88 @@ def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def _compared(segments: DataFrame, what: Recurrence) -> DataFrame:
+def _compared(rows: DataFrame, contexts: DataFrame, what: Recurrence) -> DataFrame:
     """What of each context recurs in another of its anchor: a, ctx, s, e around the anchor."""
-    pending = segments.select(
-        F.col("a").alias("key"), F.lit(0).alias("o1"), F.lit(what.reach).alias("o2"), "*"
-    )
-    done: DataFrame | None = None
-    while True:
-        pending = written(pending, "segments")
-        sizes = pending.groupBy("key").agg(
-            F.count("*").alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last")
-        )
-        shared = F.col("first") < F.col("last") if what.earlier else F.col("n") > 1
-        sized = pending.join(sizes.where(shared), "key")
-        single = F.col("o1") == F.col("o2")
-        small = _in_groups(sized.where(~single & (F.col("n") <= GROUP)), what)
-        one = sized.where(single)
-        if what.earlier:
-            one = one.where(F.col("ord") > F.col("first"))
-        one = one.select("a", "ctx", (-F.col("o1")).cast("bigint").alias("s"), (what.window - F.col("o1")).cast("bigint").alias("e"))
-        part = written(small.unionAll(one), "reached")
-        done = part if done is None else done.unionAll(part)
-        large = sized.where(~single & (F.col("n") > GROUP))
-        if large.isEmpty():
-            return done.groupBy("a", "ctx").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-        pending = _halved(large.select(*pending.columns), what)
-
-
-_FIELDS = "key bigint, o1 int, o2 int, a bigint, ctx bigint, ord bigint, left int, segment binary"
-
-
-def _halved(pending: DataFrame, what: Recurrence) -> DataFrame:
-    """Members of large groups in two groups each: windows reaching far left, and the others."""
-    arrow = pa.schema(
-        [("key", pa.int64()), ("o1", pa.int32()), ("o2", pa.int32()), ("a", pa.int64()), ("ctx", pa.int64()),
-         ("ord", pa.int64()), ("left", pa.int32()), ("segment", pa.binary())]
-    )
+    large = contexts.groupBy("a").count().where(F.col("count") > GROUP).select("a")
+    large = written(large, "large-groups")
+    grouped = _in_groups(_segments(rows, contexts.join(large, "a", "left_anti"), what), what)
+    if large.isEmpty():
+        return grouped
+    return grouped.unionAll(_by_window(_segments(rows, contexts.join(large, "a", "left_semi"), what), what))
 
-    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for key, o1, o2, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                left, segment = rest[3], rest[4]
-                right = what.units.count(segment) - left
-                middle = (o1 + o2) // 2
-                for low, high in ((o1, middle), (middle + 1, o2)):
-                    # All windows of this half hold ``low`` units before the anchor's start
-                    # and those up to window - ``high`` from it on.
-                    if left < low or right < what.window - high:
-                        continue
-                    shared = what.units.part(segment, left - low, left + what.window - high)
-                    out.append((_hash(shared, key, low), low, high, *rest))
-            yield _rows(out, arrow)
 
-    return pending.mapInArrow(halve, _FIELDS)
+def _by_window(segments: DataFrame, what: Recurrence) -> DataFrame:
+    """For groups too large for a task: windows are rows, counted by hash wherever they are."""
+    arrow = pa.schema(
+        [("a", pa.int64()), ("ctx", pa.int64()), ("ord", pa.int64()), ("o", pa.int32()), ("w", pa.int64())]
+    )
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                cuts = [
+                    window_hashes(segment, left, what)
+                    for left, segment in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+                ]
+                each = pa.array(np.repeat(np.arange(len(cuts)), [len(o) for o, _ in cuts]))
+                columns = [batch.column(i).take(each) for i in range(3)]
+                columns += [np.concatenate([o for o, _ in cuts]), np.concatenate([w for _, w in cuts]).view(np.int64)]
+                yield pa.RecordBatch.from_arrays(
+                    [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)],
+                    schema=arrow,
+                )
+
+    windows = written(segments.mapInArrow(cut, "a bigint, ctx bigint, ord bigint, o int, w bigint"), "windows")
+    counted = windows.groupBy("a", "o", "w").agg(
+        F.count("*").alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi")
+    )
+    counted = counted.where(F.col("lo") < F.col("hi") if what.earlier else F.col("n") > 1)
+    # A window may be in a third of all contexts: these are dealt over some tasks.
+    dealt = counted.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(_DEALS - 1))))
+    met = windows.withColumn("deal", F.pmod("ctx", F.lit(_DEALS)).cast("int")).join(dealt, ["a", "o", "w", "deal"])
+    if what.earlier:
+        met = met.where(F.col("ord") > F.col("lo"))
+    return (
+        met.groupBy("a", "ctx")
+        .agg(F.max("o").alias("far"), F.min("o").alias("near"))
+        .select(
+            "a", "ctx", (-F.col("far")).cast("bigint").alias("s"), (what.window - F.col("near")).cast("bigint").alias("e")
+        )
+    )
 
-def _hash(data: bytes, *more: int) -> int:
-    import hashlib
 
-    digest = hashlib.blake2b(data, digest_size=8, salt=b"".join((m & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little") for m in more))
-    return int.from_bytes(digest.digest(), "little", signed=True)
+def window_hashes(segment: bytes, left: int, what: Recurrence) -> tuple[np.ndarray, np.ndarray]:
+    """How far before the anchor each window of a context begins, and its hash."""
+    hashes = W.run_hashes(what.units.wide(what.units.values(segment)), what.window, what.units.powers)
+    return (left - np.arange(len(hashes))).astype(np.int32), hashes
 
 
 def _in_groups(members: DataFrame, what: Recurrence) -> DataFrame:
-    """Compares the windows within each group; groups arrive one after another, sorted."""
+    """Compares the windows within each group; whole groups arrive one after another, in runs."""
     arrow = pa.schema([("a", pa.int64()), ("ctx", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
-    names = [x.split()[0] for x in _FIELDS.split(", ")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[list[tuple]] = []
-        held = 0
+        run: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not groups or groups[-1][0][0] != row[0]:
-                    if held >= GROUP:
-                        yield _covered(groups, what, arrow)
-                        groups, held = [], 0
-                    groups.append([])
-                groups[-1].append(row)
-                held += 1
-        yield _covered(groups, what, arrow)
+                if len(run) >= RUN and run[-1][0] != row[0]:
+                    yield _covered(run, what, arrow)
+                    run = []
+                run.append(row)
+        yield _covered(run, what, arrow)
 
     return (
-        members.select(*names)
-        .repartition("key")
-        .sortWithinPartitions("key", "ord")
+        members.repartition("a")
+        .sortWithinPartitions("a")
         .mapInArrow(compare, "a bigint, ctx bigint, s bigint, e bigint")
     )
 
 
-def _covered(groups: list[list[tuple]], what: Recurrence, schema: pa.Schema) -> pa.RecordBatch:
-    plain = [[(r[7], r[6], r[1], r[2], r[5]) for r in g] for g in groups]
-    out = []
-    for group, found in zip(groups, what.compare(plain, what), strict=True):
-        for row, reach in zip(group, found, strict=True):
-            if reach is not None:
-                out.append((row[3], row[4], *reach))
-    return _rows(out, schema)
+def _covered(run: list[tuple], what: Recurrence, schema: pa.Schema) -> pa.RecordBatch:
+    found = what.compare([Member(a, segment, left, order) for a, _, order, left, segment in run], what)
+    return _rows(
+        [(row[0], row[1], *reach) for row, reach in zip(run, found, strict=True) if reach is not None], schema
+    )
 
 
 def mask(found: list[dict] | None, n: int) -> np.ndarray:

@@ -5,18 +5,18 @@ Bytes covered by a string of 400 bytes that also starts anywhere else are remove
 strings hold their anchor at the same place, so two contexts have one in common if
 what they share to the left of the anchor and from it on is long enough together.
 
-In a group the contexts arrive in batches. A batch gets two suffix arrays, of what
-follows its anchors and of what stands before them read backwards. They are
-scanned merge-wise with those of the levels that are there: in the merged order the smallest
-common prefix of neighbours between two contexts is what these share. Then the batch
-joins the family: two arrays of a level merge into one of the next, so every
-context is merged a logarithmic number of times.
+The contexts of a run of anchors arrive in batches. A batch gets two sparse suffix arrays, of
+what follows its anchors and of what stands before them read backwards, with the common prefixes
+of neighbours. Equal-sized levels of the family merge geometrically, and a merge-scan of each new array
+finds the windows its members share: those in the same class of both orders. The work is
+windows times logarithm of batches; nothing is compared in pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,116 +27,109 @@ from apportion.llm import recurring as R
 
 LENGTH = 400
 GRAM = 64
-BATCH = 64
+BATCH = 8192
+_AT_ONCE = 4096
 _FAR = 1 << 30
 
 
-def common(one: bytes, other: bytes) -> int:
-    """Length of the common prefix, by bisection."""
-    low, high = 0, min(len(one), len(other))
-    if one[:high] == other[:high]:
-        return high
-    while high - low > 1:
-        middle = (low + high) // 2
-        if one[low:middle] == other[low:middle]:
-            low = middle
-        else:
-            high = middle
-    return low
+@dataclass(frozen=True)
+class Sorted:
+    """Members by the text on one side of their anchors, and what neighbours have in common."""
 
-
-def shared(texts: list[bytes], order: list[int], first: int) -> np.ndarray:
-    """Common prefixes of the texts of a sorted ``order``: rows from ``first`` on, all columns.
-
-    Texts are numbered by their places in the family's merged list of members.
-    """
-    n = len(order)
-    neighbours = np.array(
-        [common(texts[a], texts[b]) for a, b in zip(order, order[1:], strict=False)], dtype=np.int32
-    )
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
-    out = np.zeros((n - first, n), dtype=np.int32)
-    for row in range(n - first):
-        at = place[first + row]
-        along = np.zeros(n, dtype=np.int32)
-        along[at + 1 :] = np.minimum.accumulate(neighbours[at:])
-        along[:at] = np.minimum.accumulate(neighbours[:at][::-1])[::-1]
-        out[row, order] = along
-    return out
+    order: np.ndarray
+    common: np.ndarray
 
 
 class Family:
-    """Suffix arrays of one group: level i holds 2^i batches, or nothing.
+    """Suffix arrays of a run of contexts: level i holds 2^i batches, or nothing.
 
-    A level is a list of members with their order by what follows the anchor, and by what stands
-    before it. ``low`` and ``high`` are how far before its anchor the last and the first
+    A level has two sparse arrays, of what follows the anchors and of what stands before them
+    read backwards. ``low`` and ``high`` are how far before its anchor the last and the first
     window begin that a member has in common with another.
     """
 
     def __init__(self, length: int):
         self.length = length
-        self.after: list[bytes] = []
-        self.before: list[bytes] = []
-        self.limits: list[tuple[int, int]] = []
+        self.sides: tuple[list[bytes], list[bytes]] = ([], [])
         self.low = np.zeros(0, dtype=np.int32)
         self.high = np.zeros(0, dtype=np.int32)
-        self.levels: list[tuple[list[int], list[int]] | None] = []
-
-    def add(self, members: list[tuple[bytes, int, int, int]]) -> None:
-        """A batch: contexts, bytes before the anchor, and how far before it windows begin at least and most."""
-        first = len(self.after)
-        for segment, left, o1, o2 in members:
-            self.after.append(segment[left:])
-            self.before.append(segment[:left][::-1])
-            self.limits.append((o1, o2))
+        self.levels: list[tuple[Sorted, Sorted] | None] = []
+
+    def add(self, members: list[R.Member]) -> None:
+        """A batch: gets its arrays, is scanned, and joins the levels."""
+        first = len(self.low)
+        for _, segment, left, _ in members:
+            self.sides[0].append(segment[left:])
+            self.sides[1].append(segment[:left][::-1])
         self.low = np.append(self.low, np.full(len(members), _FAR, dtype=np.int32))
         self.high = np.append(self.high, np.full(len(members), -1, dtype=np.int32))
-        numbers = list(range(first, len(self.after)))
-        array = self._sorted(numbers)
-        self._scan(([], []), array)
-        for held in self.levels:
-            if held:
-                self._scan(held, array)
+        numbers = list(range(first, len(self.low)))
+        array = self._array(numbers, numbers)
         level = 0
         while level < len(self.levels) and self.levels[level]:
-            held = self.levels[level]
-            array = self._sorted(held[0] + array[0], held[1] + array[1])
+            array = self._merged(self.levels[level], array)
             self.levels[level] = None
             level += 1
         if level == len(self.levels):
             self.levels.append(None)
         self.levels[level] = array
 
-    def _sorted(self, after: list[int], before: list[int] | None = None) -> tuple[list[int], list[int]]:
-        """Both orders; sorted runs that follow one another are merged by the sort."""
-        return (
-            sorted(after, key=self.after.__getitem__),
-            sorted(after if before is None else before, key=self.before.__getitem__),
+    def close(self) -> None:
+        """Merges the levels that are left, small ones first."""
+        held = [level for level in self.levels if level]
+        while len(held) > 1:
+            held[:2] = [self._merged(held[1], held[0])]
+        self.levels = list(held)
+
+    def _merged(self, one: tuple[Sorted, Sorted], other: tuple[Sorted, Sorted]) -> tuple[Sorted, Sorted]:
+        """The sort finds two sorted runs and merges them."""
+        return self._array(*(a.order.tolist() + b.order.tolist() for a, b in zip(one, other, strict=True)))
+
+    def _array(self, after: list[int], before: list[int]) -> tuple[Sorted, Sorted]:
+        array = tuple(
+            self._sorted(numbers, texts) for numbers, texts in zip((after, before), self.sides, strict=True)
         )
+        self._scan(*array)
+        return array
 
-    def _scan(self, held: tuple[list[int], list[int]], array: tuple[list[int], list[int]]) -> None:
-        """Holds the members of an array against those of a level, or against each other."""
-        members = sorted(held[0]) + sorted(array[0])
-        first = len(held[0])
-        local = {m: i for i, m in enumerate(members)}
-        after, before = self._sorted(held[0] + array[0], held[1] + array[1])
-        texts = [self.after[m] for m in members]
-        right = shared(texts, [local[m] for m in after], first)
-        left = shared([self.before[m] for m in members], [local[m] for m in before], first)
-        limits = np.array([self.limits[m] for m in members], dtype=np.int32)
-        # Windows may begin from ``low`` to ``high`` bytes before the anchor.
-        low = np.maximum(limits[None, :, 0], self.length - right)
-        high = np.minimum(limits[None, :, 1], left)
-        meets = low <= high
-        rows = np.arange(len(members) - first)
-        meets[rows, first + rows] = False
-        if not meets.any():
+    def _sorted(self, numbers: list[int], texts: list[bytes]) -> Sorted:
+        numbers = sorted(numbers, key=texts.__getitem__)
+        common = [
+            neighbours([texts[n] for n in numbers[i : i + _AT_ONCE + 1]]) for i in range(0, len(numbers), _AT_ONCE)
+        ]
+        return Sorted(np.array(numbers, dtype=np.int64), np.concatenate(common or [np.zeros(0, np.int32)]))
+
+    def _scan(self, after: Sorted, before: Sorted) -> None:
+        """Finds the windows that two members of an array have in common.
+
+        A window that begins o bytes before the anchor is in two members if their o bytes before it
+        are equal and so are length - o from it on. In sorted order equal ones are
+        neighbours: both arrays fall into classes, and members of the same two classes meet.
+        """
+        n = len(after.order)
+        # No member has more in common with any other than with a neighbour.
+        right, left = (_nearest(side, len(self.low)) for side in (after, before))
+        meets = after.order[left[after.order] + right[after.order] >= self.length]
+        if not len(meets):
             return
-        low, high = np.where(meets, low, _FAR), np.where(meets, high, -1)
-        for axis, numbers in ((1, np.array(members[first:])), (0, np.array(members))):
-            self.low[numbers] = np.minimum(self.low[numbers], low.min(axis=axis))
-            self.high[numbers] = np.maximum(self.high[numbers], high.max(axis=axis))
+        first, last = self.length - right[meets], left[meets]
+        classes = np.empty(len(self.low), dtype=np.int64)
+        others = np.empty(len(self.low), dtype=np.int64)
+        for o in range(max(0, int(first.min())), int(last.max()) + 1):
+            some = meets[(first <= o) & (o <= last)]
+            if len(some) < 2:
+                continue
+            classes[before.order] = np.concatenate([[0], np.cumsum(before.common < o)])
+            others[after.order] = np.concatenate([[0], np.cumsum(after.common < self.length - o)])
+            pairs = classes[some] * n + others[some]
+            rank = np.argsort(pairs, kind="stable")
+            same = np.diff(pairs[rank]) == 0
+            twice = np.zeros(len(some), dtype=bool)
+            twice[rank[1:]] |= same
+            twice[rank[:-1]] |= same
+            found = some[twice]
+            self.low[found] = np.minimum(self.low[found], o)
+            self.high[found] = np.maximum(self.high[found], o)
 
     def reach(self) -> list[tuple[int, int] | None]:
         """What of each member is covered, around its anchor."""
@@ -146,17 +139,38 @@ class Family:
         ]
 
 
-def compare(groups: list[R.Group], what: R.Recurrence) -> list[list[tuple[int, int] | None]]:
-    """The covered reach of each member, around its anchor."""
-    out = []
-    for group in groups:
-        family = Family(what.window)
-        for i in range(0, len(group), BATCH):
-            family.add([m[:4] for m in group[i : i + BATCH]])
-        out.append(family.reach())
+def neighbours(texts: list[bytes]) -> np.ndarray:
+    """Length of the common prefix of each text and the next."""
+    if len(texts) < 2:
+        return np.zeros(0, dtype=np.int32)
+    lengths = np.array([len(t) for t in texts])
+    width = int(lengths.max()) + 1
+    letters = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), dtype=np.uint8).reshape(-1, width)
+    unlike = letters[1:] != letters[:-1]
+    unlike[:, -1] = True
+    return np.minimum(unlike.argmax(axis=1), np.minimum(lengths[1:], lengths[:-1])).astype(np.int32)
+
+
+def _nearest(side: Sorted, members: int) -> np.ndarray:
+    """The most that each member has in common with another of the array."""
+    out = np.zeros(members, dtype=np.int32)
+    edges = np.concatenate([[0], side.common, [0]])
+    out[side.order] = np.maximum(edges[1:], edges[:-1])
     return out
 
 
+def compare(run: list[R.Member], what: R.Recurrence) -> list[tuple[int, int] | None]:
+    """The covered reach of each member, around its anchor.
+
+    Texts after an anchor begin with it, so contexts of different anchors share less than a window.
+    """
+    family = Family(what.window)
+    for i in range(0, len(run), BATCH):
+        family.add(run[i : i + BATCH])
+    family.close()
+    return family.reach()
+
+
 BYTES = R.Recurrence(R.ByteUnits(), LENGTH, GRAM, False, compare)
 
 

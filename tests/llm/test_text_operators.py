@@ -98,7 +98,7 @@ def test_passages(docs, rows):
     same_rows(phrases.remove_passages(docs).collect(), removed_words(rows))
 
 
-def test_passages_with_large_groups_halved(docs, rows, monkeypatch):
+def test_passages_with_large_groups_as_windows(docs, rows, monkeypatch):
     monkeypatch.setattr(R, "GROUP", 2)
     same_rows(phrases.remove_passages(docs).collect(), removed_words(rows))
 
@@ -107,12 +107,73 @@ def test_repeated_bytes(docs, rows):
     same_rows(suffix_arrays.remove_repeats(docs).collect(), removed_bytes(rows))
 
 
-def test_repeated_bytes_with_large_groups_halved_and_small_batches(docs, rows, monkeypatch):
+def test_repeated_bytes_with_large_groups_as_windows(docs, rows, monkeypatch):
     monkeypatch.setattr(R, "GROUP", 2)
-    monkeypatch.setattr(suffix_arrays, "BATCH", 1)
     same_rows(suffix_arrays.remove_repeats(docs).collect(), removed_bytes(rows))
 
 
+def edited_copies(n, size=1500):
+    """Copies of one text with an edit each, so that most contexts differ, and one without."""
+    pick = random.Random(n)
+    base = bytes(pick.choice(b"abcdefgh ") for _ in range(size))
+    out = [base]
+    for _ in range(n):
+        at = pick.randrange(size)
+        out.append(base[:at] + b"X" + base[at + 1 :])
+    return out
+
+
+def test_levels_of_suffix_arrays_find_every_shared_window():
+    what = suffix_arrays.BYTES
+    anchor, run = b"%" * what.gram, []
+    for number, text in enumerate(edited_copies(60)):
+        # Contexts of two anchors; some are cut short by an end of their text.
+        at = 700 if number % 2 else 300
+        text = text[:at] + anchor + text[at:]
+        left = min(what.reach, at) if number % 5 else number
+        run.append(R.Member(at, text[at - left : at + what.window - number % 3 * 40], left, number))
+    seen = {}
+    for i, member in enumerate(run):
+        for start in range(len(member.segment) - what.window + 1):
+            seen.setdefault(member.segment[start : start + what.window], []).append((i, start - member.left))
+    expected = [None] * len(run)
+    for places in seen.values():
+        for i, start in places if len(places) > 1 else ():
+            low, high = expected[i] or (start, start + what.window)
+            expected[i] = min(low, start), max(high, start + what.window)
+    assert sum(e is not None for e in expected) > 20
+    assert suffix_arrays.compare(run, what) == expected
+    for batch in (1, 7):
+        family = suffix_arrays.Family(what.window)
+        for i in range(0, len(run), batch):
+            family.add(run[i : i + batch])
+            assert sum(level is not None for level in family.levels) == bin(i // batch + 1).count("1")
+        family.close()
+        assert family.reach() == expected
+
+
+def test_groups_of_edited_copies(spark, monkeypatch):
+    rows = [(i, t.decode(), None, None) for i, t in enumerate(edited_copies(40))]
+    rows += [(None, rows[0][1], None, None)] * 30
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    bytes_left, words_left = removed_bytes(rows), removed_words(rows)
+    monkeypatch.setattr(R, "RUN", 3)
+    monkeypatch.setattr(phrases, "SHARD", 2)
+    for group in (1 << 16, 2):
+        monkeypatch.setattr(R, "GROUP", group)
+        same_rows(suffix_arrays.remove_repeats(docs).collect(), bytes_left)
+        same_rows(phrases.remove_passages(docs).collect(), words_left)
+
+
+def test_windows_of_an_earlier_document_only():
+    words = [b"w%d" % i for i in range(60)]
+    one = b" ".join([b"x", *words])
+    two = b" ".join([b"y", *words])
+    run = [R.Member(0, one, 11, 1), R.Member(0, two, 11, 2)]
+    assert phrases.compare(run, phrases.WORDS) == [None, (-10, 50)]
+    assert phrases.compare(run[:1], phrases.WORDS) == [None]
+
+
 def test_long_texts_are_taken_in_runs(docs, rows, monkeypatch):
     whole = {tuple(x) for f in R._anchored(b"abc def " * 400 + b"xyz" * 500, suffix_arrays.BYTES) for x in zip(*(c.tolist() for c in f), strict=True)}
     monkeypatch.setattr(R, "_CHUNK", 97)
