@@ -172,22 +172,26 @@ def compare(run: list[R.Member], what: R.Recurrence) -> list[tuple[int, int] | N
 
 
 BYTES = R.Recurrence(R.ByteUnits(), LENGTH, GRAM, False, compare)
+# Passages of some fifty words, which seldom have fewer than 4.8 bytes each with the space.
+PASSAGES = R.Recurrence(R.ByteUnits(), 240, 48, False, compare)
 
 
 def remove_repeats(docs: DataFrame, what: R.Recurrence = BYTES, digest: bool = False) -> DataFrame:
     """Each document without the bytes that recurring strings cover.
 
     ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept``, what
-    is left as bytes, or its SHA-256 as ``kept_sha256`` if ``digest``. Null texts are empty.
-    Repeated rows are each other's repeats. Texts shorter than the length
+    is left as bytes; with ``digest`` its SHA-256 as ``kept_sha256``, and ``kept`` as a text without the
+    characters of which a removed run took a part. Null texts are empty.
+    Repeated rows are each other's repeats. Very long texts are taken whole. Texts shorter than the length
     stay. Of an empty table comes an empty result; other columns are not read.
     """
     rows = R.keyed(docs)
-    last = "kept_sha256" if digest else "kept"
+    fields = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
+    fields += "kept_sha256 string, kept string" if digest else "kept binary"
     arrow = pa.schema(
-        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-         (last, pa.string() if digest else pa.binary())]
-    )
+        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
+        + ([("kept_sha256", pa.string()), ("kept", pa.string())] if digest else [("kept", pa.binary())])
+    )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,13 +199,12 @@ def remove_repeats(docs: DataFrame, what: R.Recurrence = BYTES, digest: bool = F
             for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = text.as_py().encode()
                 covered, runs, kept = _without(raw, found.as_py())
-                out.append((doc_id, len(raw), covered, runs, hashlib.sha256(kept).hexdigest() if digest else kept))
+                last = (hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")) if digest else (kept,)
+                out.append((doc_id, len(raw), covered, runs, *last))
             yield R._rows(out, arrow)
 
     joined = rows.join(R.spans(rows, what), ["ord", "h"], "left")
-    return joined.select(F.col("doc_id").cast("bigint"), "text", "spans").mapInArrow(
-        apply, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'string' if digest else 'binary'}"
-    )
+    return joined.select(F.col("doc_id").cast("bigint"), "text", "spans").mapInArrow(apply, fields)
 
 
 def _without(raw: bytes, found: list[dict] | None) -> tuple[int, int, bytes]:

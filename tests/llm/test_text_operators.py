@@ -123,6 +123,18 @@ def edited_copies(n, size=1500):
     return out
 
 
+def test_digests_and_texts_of_what_is_left(docs, rows):
+    found = suffix_arrays.remove_repeats(docs, digest=True).collect()
+    expected = [
+        (*r[:4], hashlib.sha256(r[4]).hexdigest(), r[4].decode(errors="ignore")) for r in removed_bytes(rows)
+    ]
+    same_rows(found, expected)
+
+
+def test_shorter_strings(docs, rows):
+    same_rows(suffix_arrays.remove_repeats(docs, suffix_arrays.PASSAGES).collect(), removed_bytes(rows, 240))
+
+
 def test_levels_of_suffix_arrays_find_every_shared_window():
     what = suffix_arrays.BYTES
     anchor, run = b"%" * what.gram, []
