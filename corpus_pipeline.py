@@ -30,9 +30,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long strings that occur more than once are cut out of the texts."""
+    """Strings as long as a passage of some fifty words that occur more than once are cut out."""
     queries.carry(spark)
-    return suffix_arrays.cut_texts(docs)
+    return suffix_arrays.cut_texts(docs, suffix_arrays.PASSAGES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ def test_stages_take_effect(spark, sf_dir):
     assert sorted(r.doc_id for r in given["suffix_arrays"].collect()) == sorted(
         {r.class_id for r in classes.collect()}
     )
-    cut = {r.doc_id: bytes(r.kept).decode(errors="ignore") for r in suffix_arrays.remove_repeats(given["suffix_arrays"]).collect()}
+    kept = suffix_arrays.remove_repeats(given["suffix_arrays"], suffix_arrays.PASSAGES)
+    cut = {r.doc_id: bytes(r.kept).decode(errors="ignore") for r in kept.collect()}
     assert {r.doc_id: r.text for r in given["packing"].collect()} == cut
     assert {r.doc_id for r in docs.collect()} == set(cut)
 
