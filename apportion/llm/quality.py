@@ -241,16 +241,18 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame, labels: DataFrame, quantile: float, margin: float) -> DataFrame:
     good = trusted_ids(labels)
     held = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
-    sure = docs.select("doc_id", "text").join(good.where(~held), "doc_id", "left_semi")
+    # The same plan at every size: labels grow with the corpus and are never broadcast.
+    sure = docs.select("doc_id", "text").hint("merge").join(good.where(~held), "doc_id", "left_semi")
     model = collected(kneser_ney(written(gram_counts(sure), "grams")))
     if not model:
         return docs.select(
             "*", F.lit(None).cast("double").alias("perplexity"),
             F.lit(None).cast("double").alias("limit"), F.lit(True).alias("keep"),
         )
-    fold = docs.select("doc_id", "lang", "text").join(good.where(held), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "lang", "text").hint("merge")
+    fold = texts.join(good.where(held), "doc_id", "left_semi")
     if fold.isEmpty():
-        fold = docs.select("doc_id", "lang", "text").join(good, "doc_id", "left_semi")
+        fold = texts.join(good, "doc_id", "left_semi")
     known = written(
         perplexities(fold, model).select("lang", F.length("text").alias("n"), "perplexity"), "held-out"
     )
