@@ -335,7 +335,7 @@ def brute_kneser_ney(texts: list[str], order: int, classes: int):
     """Log probability of the last symbol of an n-gram, straight from the definition."""
     grams = {k: Counter() for k in range(1, order + 1)}
     for text in texts:
-        symbols = [0] * (order - 1) + quality.classes(text).tolist()
+        symbols = [quality.BEFORE] * (order - 1) + [ord(c) for c in text]
         for i in range(len(symbols) - order + 1):
             grams[order][tuple(symbols[i : i + order])] += 1
     for k in range(order - 1, 0, -1):
@@ -370,24 +370,131 @@ def brute_kneser_ney(texts: list[str], order: int, classes: int):
     return p
 
 
+def points(text: str) -> list[int]:
+    return [ord(c) for c in text]
+
+
 def test_kneser_ney_is_the_definition(spark):
+    pick = random.Random(4)
+    texts = ["".join(pick.choice("aab cde\nÉ!Жж字") for _ in range(pick.randint(0, 80))) for _ in range(30)]
+    asked = [*texts[:5], "zebra 12 aab", "aab!", "жЖ字字"]
+    order = quality.ORDER
+
+    def grams(text):
+        symbols = [quality.BEFORE] * (order - 1) + points(text)
+        return ["".join(map(chr, symbols[i : i + order])) for i in range(len(text))]
+
+    counts = Counter(g for t in texts for g in grams(t))
+    counts.update({g: 0 for t in asked for g in grams(t)})
+    table = spark.createDataFrame(list(counts.items()), "gram string, c bigint")
+    found = {r.gram: r.p for r in quality.kneser_ney(table).collect()}
+    p = brute_kneser_ney(texts, order, len(set("".join(texts))) + 1)
+    assert found.keys() == counts.keys()
+    for gram in found:
+        assert abs(found[gram] - p(tuple(points(gram)))) < 1e-12
+
+
+def test_runs_count_every_gram_of_long_texts_and_large_alphabets(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "_AT_ONCE", 50)
+    monkeypatch.setattr(quality, "_MOST_SYMBOLS", 20)
+    pick = random.Random(8)
+    texts = ["".join(chr(pick.randint(97, 97 + w)) for _ in range(n)) for n, w in ((400, 60), (3, 5), (0, 1), (90, 15))]
+    texts.append("".join(chr(pick.choice([0x10000, 0x4E00, 65])) for _ in range(120)))
+    flags = [True, False, True, True, False]
+    got: Counter = Counter()
+
+    def emit(strings, counts):
+        for g, c in zip(strings.to_pylist(), counts.tolist(), strict=True):
+            got[g] += c
+
+    counter = quality._Counter(emit, quality.ORDER)
+    for run in quality.runs(zip(texts, flags, strict=True)):
+        counter.add(*run)
+    counter.flush()
+    expected: Counter = Counter()
+    for text, flag in zip(texts, flags, strict=True):
+        padded = chr(quality.BEFORE) * (quality.ORDER - 1) + text
+        for i in range(len(text)):
+            expected[padded[i : i + quality.ORDER]] += flag
+    assert dict(got) == dict(expected)
+    logs = np.arange(len(got), dtype=np.float32)
+    at = dict(zip(got, logs.tolist(), strict=True))
+    answers = quality.Answers(pa.array(list(got)), logs)
+    for text in texts:
+        padded = chr(quality.BEFORE) * (quality.ORDER - 1) + text
+        found = [x for p, e, _ in quality.runs([(text, False)]) for x in answers(p, e).tolist()]
+        assert found == [at[padded[i : i + quality.ORDER]] for i in range(len(text))]
+
+
+def test_junk_of_other_scripts_is_told_from_clean_text(spark):
+    pick = random.Random(5)
+    words = {"ru": "мир дом река слово город человек время".split(), "zh": "今天 天气 我们 学习 中国 历史 文化".split()}
+    rows, labels = [], []
+    for i in range(400):
+        lang = ("ru", "zh")[i % 2]
+        text = " ".join(pick.choice(words[lang]) for _ in range(60))
+        junk = i % 10 >= 8
+        if junk:
+            letters = list(text)
+            pick.shuffle(letters)
+            text = "".join(letters)
+        rows.append((i, lang, text))
+        if not junk and i % 4 < 2:
+            labels.append((i, 1, 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    found = quality.judge_quality(docs, labels).collect()
+    assert sum(r.keep for r in found if r.doc_id % 10 >= 8) == 0
+    assert sum(r.keep for r in found if r.doc_id % 10 < 8) >= 310
+
+
+def test_verdicts_are_those_of_the_definition(spark):
     import math
 
     import numpy as np
 
-    pick = random.Random(4)
-    texts = ["".join(pick.choice("aab cde\nÉ!") for _ in range(pick.randint(0, 80))) for _ in range(30)]
-    table = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
-    model = quality.collected(quality.kneser_ney(quality.gram_counts(table)))
-    logs = quality.log_table(model)
-    p = brute_kneser_ney(texts, quality.ORDER, quality.CLASSES)
-    for text in [*texts[:5], "zebra 12 aab", "aab!"]:
-        symbols = [0] * 3 + quality.classes(text).tolist()
-        expected = [math.log(p(tuple(symbols[i : i + 4]))) for i in range(len(text))]
-        found = np.concatenate([logs[c] for c in quality.gram_codes(text)] or [[]])
-        assert np.allclose(found, expected, atol=1e-5)
-    contexts = np.exp(logs.reshape(-1, quality.CLASSES)[:: 64 * 64]).sum(axis=1)
-    assert np.allclose(contexts, 1, atol=1e-4)
+    pick = random.Random(6)
+    rows = [
+        (i, pick.choice(["en", "de", None]), "".join(pick.choice("abc dé") for _ in range(pick.randint(0, 60))))
+        for i in range(120)
+    ]
+    trusted = [i for i in range(120) if i % 3]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id bigint, quality int, toxic int")
+    held = {
+        r.doc_id
+        for r in labels.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {quality.FOLDS}) = 0 AS held").collect()
+        if r.held
+    }
+    sure = [t for i, _, t in rows if i in trusted and i not in held]
+    order, steady = quality.ORDER, quality.STEADY_CHARS
+    p = brute_kneser_ney(sure, order, len(set("".join(sure))) + 1)
+
+    def mean_log(text):
+        symbols = [quality.BEFORE] * (order - 1) + points(text)
+        return -sum(math.log(p(tuple(symbols[i : i + order]))) for i in range(len(text))) / len(text)
+
+    logs = {i: mean_log(t) for i, _, t in rows if t}
+    known = [(lang, len(t), logs[i]) for i, lang, t in rows if i in held and t]
+    overall = np.mean([x for _, _, x in known])
+
+    def limit(lang):
+        mine = [k for k in known if k[0] == lang]
+        usual = np.mean([x for _, _, x in mine]) if mine else overall
+        scores = sorted(math.exp((x * n + usual * steady) / (n + steady)) for _, n, x in mine or known)
+        return usual, scores[math.ceil(quality.QUANTILE * len(scores)) - 1] * quality.MARGIN
+
+    found = {r.doc_id: r for r in quality.judge_quality(docs, labels).collect()}
+    for i, lang, text in rows:
+        usual, most = limit(lang)
+        assert math.isclose(found[i].limit, most, rel_tol=1e-5)
+        if text:
+            score = math.exp((logs[i] * len(text) + usual * steady) / (len(text) + steady))
+            assert math.isclose(found[i].perplexity, score, rel_tol=1e-5)
+            assert found[i].keep == (found[i].perplexity <= found[i].limit)
 
 
 def test_quality_on_held_out_labels(spark, sf_dir):
