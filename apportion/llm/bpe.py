@@ -10,8 +10,8 @@ The machine is made deterministic while it runs. A state is the set of hypothese
 each a trie node and the tokens it has not emitted yet; a step advances all of
 them and emits the tokens on which they agree. Hypotheses die when no token is as
 long as what they have read, so output lags by a bounded lookahead. States and
-steps are made when they are used again, kept up to a bound, then dropped and made anew; the first
-time, the rest of a short piece is walked by its hypotheses alone.
+steps are made when they have been wanted often, kept up to a bound, then dropped and made anew; before,
+the rest of a short piece is walked by its hypotheses alone, depth first.
 """
 
 from __future__ import annotations
@@ -27,11 +27,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apportion.llm.chunks import PartEncoder
+from apportion.llm.chunks import LONGEST_KEPT, PartEncoder
 
 KEPT_STATES = 80_000
+KEPT_PARTS = 200_000  # in each of two generations, as pieces are remembered too
+KEPT_PIECES = 100_000  # likewise
+WANTED = 30  # times that a short piece is walked without a state before a step is made for it
 SIMULATED = 64  # bytes of the longest pieces of which rare ends are walked without states
 DECODED_AT_ONCE = 4096
+_NOWHERE = (None, None)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,18 +49,16 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], kept: int = KEPT_STATES):
         self.ranks, self.kept = ranks, kept
         self.words = {i: w for w, i in ranks.items()}
-        self.trie: list[dict[int, int]] = [{}]
-        self.token_at: list[int | None] = [None]
+        # By node and byte: the node below, and the token that ends there or None.
+        self.trie: list[dict[int, tuple[int, int | None]]] = [{}]
         for word, token in ranks.items():
             node = 0
-            for byte in word:
-                below = self.trie[node].get(byte)
-                if below is None:
-                    below = self.trie[node][byte] = len(self.trie)
+            for i, byte in enumerate(word, 1):
+                below, ends = self.trie[node].get(byte, (len(self.trie), None))
+                if below == len(self.trie):
                     self.trie.append({})
-                    self.token_at.append(None)
+                self.trie[node][byte] = below, token if i == len(word) else ends
                 node = below
-            self.token_at[node] = token
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
         self._forget()
@@ -67,7 +69,7 @@ class Transducer:
         start = ((0, -1, ()),)
         self.states: list[tuple] = [start]
         self.numbers: dict[tuple, int] = {start: 0}
-        self.steps: list[dict[int, tuple]] = [{}]  # () for a step that was wanted once
+        self.steps: list[dict[int, tuple | int]] = [{}]  # how often it was wanted, for a step not made yet
 
     def merged(self, piece: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, leftmost first."""
@@ -137,14 +139,13 @@ class Transducer:
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         live = []
         ended = None
-        trie, token_at = self.trie, self.token_at
+        trie = self.trie
         for node, before, waiting in self.states[state]:
-            below = trie[node].get(byte)
+            below, token = trie[node].get(byte, _NOWHERE)
             if below is None:
                 continue
             if trie[below]:
                 live.append((below, before, waiting))
-            token = token_at[below]
             # At most one hypothesis stands at a token's end.
             if token is not None and ended is None and self._suits(before, token):
                 ended = (0, token, (*waiting, token))
@@ -181,11 +182,11 @@ class Transducer:
         out: list[int] = []
         state, steps = 0, self.steps
         for i, byte in enumerate(piece[:-1]):
-            step = steps[state].get(byte)
-            if not step:
-                if step is None and len(piece) <= SIMULATED:
-                    # Most words are met once: a step is made when it is wanted for the second time.
-                    steps[state][byte] = ()
+            step = steps[state].get(byte, 0)
+            if step.__class__ is int:
+                if step < WANTED and len(piece) <= SIMULATED:
+                    # Most words are met once: a step is made when it has been wanted often.
+                    steps[state][byte] = step + 1
                     left = self._simulated(self.states[state], piece, i)
                     return self.merged(piece) if left is None else out + left
                 step = self._step(state, byte)
@@ -197,22 +198,40 @@ class Transducer:
         return self.merged(piece) if left is None else out + left
 
     def _simulated(self, hypotheses, piece: bytes, at: int) -> list[int] | None:
-        """The tokens of the rest of a short piece, without making states."""
-        trie, token_at, suits = self.trie, self.token_at, self._suits
-        for byte in piece[at:-1]:
-            live, ended = [], None
-            for node, before, waiting in hypotheses:
-                below = trie[node].get(byte)
-                if below is not None:
-                    if trie[below]:
-                        live.append((below, before, waiting))
-                    token = token_at[below]
-                    if token is not None and ended is None and suits(before, token):
-                        ended = (0, token, (*waiting, token))
-            if ended is not None:
-                live.append(ended)
-            hypotheses = live
-        return self._finish(hypotheses, piece[-1])
+        """The tokens of the rest of a short piece, without making states.
+
+        Hypotheses are followed one after another, the longest tokens first. A prefix has one
+        encoding, so a place from which one of them came to nothing is not tried again.
+        """
+        dead: set[int] = set()
+        for node, before, waiting in hypotheses:
+            left = self._followed(node, before, piece, at, dead)
+            if left is not None:
+                return [*waiting, *left]
+        return None
+
+    def _followed(self, node: int, before: int, piece: bytes, at: int, dead: set[int]) -> list[int] | None:
+        trie, pairs, ends = self.trie, self._pairs, []
+        for stop, byte in enumerate(piece[at:], at + 1):
+            node, token = trie[node].get(byte, _NOWHERE)
+            if token is not None:
+                ends.append((stop, token))
+            elif node is None:
+                break
+        while ends:
+            stop, token = ends.pop()
+            if stop in dead:
+                continue
+            suits = pairs.get((before, token))
+            if suits or (suits is None and self._suits(before, token)):
+                if stop == len(piece):
+                    return [token]
+                left = self._followed(0, token, piece, stop, dead)
+                if left is not None:
+                    left.insert(0, token)
+                    return left
+                dead.add(stop)
+        return None
 
     def _finish(self, hypotheses, byte: int) -> list[int] | None:
         """The tokens that are left if a piece ends with this byte.
@@ -220,25 +239,50 @@ class Transducer:
         No state is made for it: most ends are those of one word, and would never be met again.
         """
         for node, before, waiting in hypotheses:
-            below = self.trie[node].get(byte)
-            if below is not None:
-                token = self.token_at[below]
-                if token is not None and self._suits(before, token):
-                    return [*waiting, token]
+            token = self.trie[node].get(byte, _NOWHERE)[1]
+            if token is not None and self._suits(before, token):
+                return [*waiting, token]
         return None
 
 
-def rank_encoder(ranks: dict[bytes, int], pattern: str) -> PartEncoder:
-    """Encodes texts; each match of the pattern is a piece of its own."""
-    machine, matches = Transducer(ranks), regex.compile(pattern).findall
+class PieceEncoder:
+    """Encodes texts; each match of the pattern is a piece of its own.
+
+    Parts of a text differ by their punctuation more often than by their words, so short pieces are
+    remembered with their ids, a bounded number in each of two generations.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT_PIECES):
+        self.machine, self.kept = Transducer(ranks), kept
+        self._matches = regex.compile(pattern).findall
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known, matches = self._known, self._matches
+        out = []
+        for text in texts:
+            found = []
+            for piece in matches(text):
+                ids = known.get(piece)
+                if ids is None:
+                    ids = self._older.get(piece)
+                    if ids is None:
+                        ids = array("I", self.machine.encode(piece.encode())).tobytes()
+                    if len(piece) <= LONGEST_KEPT:
+                        if len(known) >= self.kept:
+                            self._older, self._known = known, {}
+                            known = self._known
+                        known[piece] = ids
+                found.append(ids)
+            out.append(b"".join(found))
+        return out
 
-    def encode(texts: list[str]) -> list[bytes]:
-        return [
-            array("I", [i for x in matches(text) for i in machine.encode(x.encode())]).tobytes()
-            for text in texts
-        ]
 
-    return PartEncoder(encode, encode)
+def rank_encoder(ranks: dict[bytes, int], pattern: str) -> PartEncoder:
+    """Encodes texts by parts, and parts by the matches of the pattern."""
+    encode = PieceEncoder(ranks, pattern)
+    return PartEncoder(encode, encode, KEPT_PARTS)
 
 
 class StreamingDecoder:

@@ -8,6 +8,7 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from apportion.llm import bpe, chat, metric_tree, packing, queries, reputation
@@ -61,6 +62,30 @@ def test_single_pieces_of_any_bytes(tiktoken_encoding):
         assert machine.encode(piece) == tiktoken_encoding._core_bpe.encode_single_piece(piece)
 
 
+def test_a_piece_is_encoded_once_whatever_stands_around_it(monkeypatch):
+    ranks = bpe.load_ranks(queries.RANKS)
+    encode, met = bpe.Transducer.encode, []
+    monkeypatch.setattr(bpe.Transducer, "encode", lambda self, piece: met.append(piece) or encode(self, piece))
+    encoder = bpe.rank_encoder(ranks, public_tokenizers.PATTERN)
+    text = "x éaioiê éaioiê, éaioiê. (éaioiê) éaioiê;"
+    ids = list(np.frombuffer(encoder.ids(text), "<u4"))
+    assert met.count(" éaioiê".encode()) == 1
+    machine = bpe.Transducer(ranks)
+    pieces = [p.encode() for p in regex.findall(public_tokenizers.PATTERN, text)]
+    assert ids == [i for p in pieces for i in ([ranks[p]] if p in ranks else machine.merged(p))]
+
+
+def test_steps_are_made_when_they_are_wanted_often():
+    ranks = bpe.load_ranks(queries.RANKS)
+    machine, pieces = bpe.Transducer(ranks), [" éaioiê".encode(), b" onthwh", b"thorshha", b"a" * 200]
+    for _ in range(bpe.WANTED):
+        assert [machine.encode(p) for p in pieces[:3]] == [machine.merged(p) for p in pieces[:3]]
+    assert len(machine.states) == 1
+    for _ in range(bpe.WANTED):
+        assert [machine.encode(p) for p in pieces] == [machine.merged(p) for p in pieces]
+    assert len(machine.states) > 1
+
+
 def test_transducer_lags_by_a_bounded_lookahead():
     ranks = bpe.load_ranks(queries.RANKS)
     machine = bpe.Transducer(ranks)
