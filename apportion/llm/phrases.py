@@ -2,10 +2,11 @@
 
 Words covered by 50 consecutive words that are also in a document of smaller id are
 removed. :mod:`recurring` brings the places together where a passage may recur, by the hash of
-its anchor. Windows of which a later document holds another are confirmed by hash; the distinct
-confirmed ones, each with the smallest document it comes from, are compiled into
-Aho-Corasick automata of bounded size over words as letters, and every context
-is streamed through them, which locates all occurrences of all windows.
+its anchor. Windows of which a later document holds another are confirmed by hash. All windows of a
+context hold its anchor, so what they cover is one run, and the first and last of them bound it: the
+distinct confirmed ones that are first or last in some context, each with the smallest document it comes from, are
+compiled into Aho-Corasick automata of bounded size over words as letters, and every context
+is streamed through them, which locates all their occurrences.
 """
 
 from __future__ import annotations
@@ -20,60 +21,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apportion.llm import recurring as R
-from apportion.llm.words import word_bounds
+from apportion.llm import words as W
 
 WINDOW = 50
 GRAM = 12
-SHARD = 1 << 16
+SHARD = 1 << 14  # windows; their words are fewer than the characters there are
+_AT_ONCE = 1 << 19
 
 
 def compare(run: list[R.Member], what: R.Recurrence) -> list[tuple[int, int] | None]:
     """The reach of each member that documents of smaller order cover, around its anchor.
 
     Windows are confirmed by their hashes: those of which a later document holds another. The automata
-    of the confirmed, ``SHARD`` windows each, then go over all members.
+    of the confirmed that bound a member's reach, ``SHARD`` windows each, then go over all members. Where
+    they locate less than the hashes promise, two windows had one hash, and all confirmed ones are compiled.
     """
-    cuts = [R.window_hashes(member.segment, member.left, what)[1] for member in run]
-    each = np.repeat(np.arange(len(run)), [len(c) for c in cuts])
+    none: list[tuple[int, int] | None] = [None] * len(run)
+    each, place, hashes = _windows([member.segment for member in run], what)
     if not len(each):
-        return [None] * len(run)
-    hashes = np.concatenate(cuts)
-    place = np.concatenate([np.arange(len(c)) for c in cuts])
+        return none
     orders = np.array([member.order for member in run])[each]
     rank = np.lexsort((orders, hashes))
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(hashes[rank]) != 0]))
-    end = np.append(begin[1:], len(rank)) - 1
-    confirmed = rank[begin[orders[rank[begin]] < orders[rank[end]]]]
-    if not len(confirmed):
-        return [None] * len(run)
-    letters: dict[bytes, str] = {}
-    lines = [_letters(member.segment, letters) for member in run]
-    near: dict[int, int] = {}
-    far: dict[int, int] = {}
-    for i in range(0, len(confirmed), SHARD):
+    begins = np.concatenate([[True], np.diff(hashes[rank]) != 0])
+    begin = np.flatnonzero(begins)
+    smallest = rank[begin][np.cumsum(begins) - 1]  # for each window the equal one of smallest order
+    earliest = np.empty_like(rank)
+    earliest[rank] = smallest
+    late = np.flatnonzero(orders[earliest] < orders)  # by member, then by place
+    if not len(late):
+        return none
+    first = late[np.concatenate([[True], np.diff(each[late]) != 0])]
+    last = late[np.concatenate([np.diff(each[late]) != 0, [True]])]
+    found = _located(run, what, each, place, np.unique(earliest[np.concatenate([first, last])]))
+    bounds = zip(each[first].tolist(), place[first].tolist(), place[last].tolist(), strict=True)
+    if any(found.get(number) != (low, high) for number, low, high in bounds):
+        found = _located(run, what, each, place, np.unique(earliest[late]))
+    for number, (low, high) in found.items():
+        left = run[number].left
+        none[number] = (low - left, high - left + what.window)
+    return none
+
+
+def _windows(segments: list[bytes], what: R.Recurrence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of all segments: numbers of their segments, places in them, hashes."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    first = 0
+    while first < len(segments):
+        last, size = first, 0
+        while last < len(segments) and (last == first or size + len(segments[last]) < _AT_ONCE):
+            size += len(segments[last]) + 1
+            last += 1
+        values = what.units.values(b" ".join(segments[first:last]))
+        counts = np.array([segment.count(b" ") + 1 if segment else 0 for segment in segments[first:last]])
+        starts = np.cumsum(counts) - counts
+        many = np.maximum(counts - what.window + 1, 0)
+        each = np.repeat(np.arange(last - first), many)
+        place = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+        hashes = W.run_hashes(what.units.wide(values), what.window, what.units.powers)
+        held.append((each + first, place, hashes[starts[each] + place]))
+        first = last
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    each, place, hashes = (np.concatenate(c) for c in zip(*held, strict=True))
+    return each, place, hashes
+
+
+def _located(
+    run: list[R.Member], what: R.Recurrence, each: np.ndarray, place: np.ndarray, chosen: np.ndarray
+) -> dict[int, tuple[int, int]]:
+    """The first and the last place in each member of the chosen windows of documents of smaller order."""
+    found: dict[int, tuple[int, int]] = {}
+    for i in range(0, len(chosen), SHARD):
+        letters = _Letters()
         automaton = ahocorasick.Automaton()
-        for k in confirmed[i : i + SHARD].tolist():
-            automaton.add_word(lines[each[k]][place[k] : place[k] + what.window], int(orders[k]))
+        for number, start in zip(each[chosen[i : i + SHARD]].tolist(), place[chosen[i : i + SHARD]].tolist(), strict=True):
+            words = run[number].segment.split(b" ")[start : start + what.window]
+            automaton.add_word("".join(map(letters.__getitem__, words)), run[number].order)
         automaton.make_automaton()
-        for number, (member, line) in enumerate(zip(run, lines, strict=True)):
-            for last, smallest in automaton.iter(line):
+        known = letters.get
+        for number, member in enumerate(run):
+            line = "".join([known(word, _OTHER) for word in member.segment.split(b" ")])
+            for stop, smallest in automaton.iter(line):
                 if smallest < member.order:
-                    start = last - what.window + 1 - member.left
-                    near[number] = max(near.get(number, start), start)
-                    far[number] = min(far.get(number, start), start)
-    return [(far[i], near[i] + what.window) if i in near else None for i in range(len(run))]
+                    start = stop - what.window + 1
+                    low, high = found.get(number, (start, start))
+                    found[number] = min(low, start), max(high, start)
+    return found
 
 
-def _letters(segment: bytes, letters: dict[bytes, str]) -> str:
-    """A text of one character per word; equal words have equal characters."""
-    line = []
-    for word in segment.split(b" "):
-        letter = letters.get(word)
-        if letter is None:
-            code = 0x20 + len(letters)
-            letter = letters[word] = chr(code if code < 0xD800 else code + 0x800)
-        line.append(letter)
-    return "".join(line)
+_OTHER = " "  # any word that no window of an automaton has
+
+
+class _Letters(dict):
+    """One character for each different word, given when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> str:
+        code = 0x21 + len(self)
+        letter = self[word] = chr(code if code < 0xD800 else code + 0x800)
+        return letter
 
 
 WORDS = R.Recurrence(R.WordUnits(), WINDOW, GRAM, True, compare)
@@ -97,12 +142,13 @@ def remove_passages(docs: DataFrame, what: R.Recurrence = WORDS, digest: bool =
         for batch in batches:
             out = []
             for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                raw = text.as_py().encode()
-                starts, ends = word_bounds(np.frombuffer(raw, dtype=np.uint8))
-                keep = ~R.mask(found.as_py(), len(starts))
-                kept = b" ".join([raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
+                words = text.as_py().encode().split()  # at the same white space as words.word_bounds
+                n = len(words)
+                for s, e in reversed(R.runs(found, n)):
+                    del words[s:e]
+                kept = b" ".join(words)
                 said = hashlib.sha256(kept).hexdigest() if digest else kept.decode()
-                out.append((doc_id, len(starts), int(len(keep) - keep.sum()), said))
+                out.append((doc_id, n, n - len(words), said))
             yield R._rows(out, arrow)
 
     joined = rows.join(R.spans(rows, what), ["ord", "h"], "left")

@@ -63,8 +63,8 @@ class WordUnits:
         return values
 
     def cutter(self, raw: bytes) -> Callable[[int, int], bytes]:
-        starts, ends = W.word_bounds(np.frombuffer(raw, dtype=np.uint8))
-        return lambda i, j: b" ".join(raw[s:e] for s, e in zip(starts[i:j], ends[i:j], strict=True))
+        words = raw.split()  # at the same white space as words.word_bounds
+        return lambda i, j: b" ".join(words[i:j])
 
 
 class Member(NamedTuple):
@@ -224,10 +224,9 @@ def _segments(rows: DataFrame, contexts: DataFrame, what: Recurrence) -> DataFra
                 batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True
             ):
                 take = what.units.cutter(text.as_py().encode())
-                for one in marks.as_py():
-                    left = min(what.reach, one["pos"])
-                    segment = take(one["pos"] - left, one["pos"] + what.window)
-                    out.append((one["a"], one["ctx"], order, left, segment))
+                for a, ctx, pos in zip(*(c.to_pylist() for c in marks.values.flatten()), strict=True):
+                    left = min(what.reach, pos)
+                    out.append((a, ctx, order, left, take(pos - left, pos + what.window)))
                 if len(out) > 20_000:
                     yield _rows(out, arrow)
                     out = []
@@ -333,6 +332,20 @@ def _covered(run: list[tuple], what: Recurrence, schema: pa.Schema) -> pa.Record
     )
 
 
+def runs(found: pa.ListScalar, n: int) -> list[tuple[int, int]]:
+    """The maximal runs of ``n`` units that spans cover, in order."""
+    if not found.is_valid:
+        return []
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(zip(*(c.to_pylist() for c in found.values.flatten()), strict=True)):
+        s, e = max(0, s), min(n, e)
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
 def mask(found: list[dict] | None, n: int) -> np.ndarray:
     """Which of ``n`` units are covered by spans."""
     edges = np.zeros(n + 1, dtype=np.int64)

@@ -186,6 +186,47 @@ def test_windows_of_an_earlier_document_only():
     assert phrases.compare(run[:1], phrases.WORDS) == [None]
 
 
+def test_automata_hold_only_windows_that_bound_a_reach(monkeypatch):
+    words = [b"w%d" % i for i in range(88)]
+    run = [R.Member(1, b" ".join(words), 38, order) for order in (3, 9)]
+    run.append(R.Member(1, b" ".join(words[10:70] + [b"x"] * 28), 28, 5))
+    located, sizes = phrases._located, []
+
+    def counted(*args):
+        sizes.append(len(args[-1]))
+        return located(*args)
+
+    monkeypatch.setattr(phrases, "_located", counted)
+    assert phrases.compare(run, phrases.WORDS) == [None, (-38, 50), (-28, 32)]
+    assert sizes == [4]  # of 39 windows
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    words = [b"w%d" % i for i in range(60)]
+    run = [
+        R.Member(1, b" ".join(words[:55] + [b"x"] * 5), 10, 1),
+        R.Member(1, b" ".join(words), 10, 2),
+    ]
+    windows = phrases._windows
+
+    def clashing(segments, what):
+        each, place, hashes = windows(segments, what)
+        hashes[each == 1] = hashes[each == 0]
+        return each, place, hashes
+
+    monkeypatch.setattr(phrases, "_windows", clashing)
+    assert phrases.compare(run, phrases.WORDS) == [None, (-10, 45)]
+
+
+def test_more_words_than_characters():
+    tail = [b"t%d" % i for i in range(50)]
+    run = [
+        R.Member(i // 2, b" ".join([b"%d" % (38 * i + k) for k in range(38)] + tail), 38, i)
+        for i in range(32_000)
+    ]
+    assert phrases.compare(run, phrases.WORDS) == [None] + [(0, 50)] * 31_999
+
+
 def test_long_texts_are_taken_in_runs(docs, rows, monkeypatch):
     whole = {tuple(x) for f in R._anchored(b"abc def " * 400 + b"xyz" * 500, suffix_arrays.BYTES) for x in zip(*(c.tolist() for c in f), strict=True)}
     monkeypatch.setattr(R, "_CHUNK", 97)
