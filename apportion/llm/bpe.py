@@ -259,23 +259,25 @@ class PieceEncoder:
         self._older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, matches = self._known, self._matches
-        out = []
-        for text in texts:
-            found = []
-            for piece in matches(text):
-                ids = known.get(piece)
-                if ids is None:
-                    ids = self._older.get(piece)
-                    if ids is None:
-                        ids = array("I", self.machine.encode(piece.encode())).tobytes()
-                    if len(piece) <= LONGEST_KEPT:
-                        if len(known) >= self.kept:
-                            self._older, self._known = known, {}
-                            known = self._known
-                        known[piece] = ids
-                found.append(ids)
-            out.append(b"".join(found))
+        known, encode = self._known, self.machine.encode
+        split = [self._matches(text) for text in texts]
+        met = set().union(*split)
+        missing = met.difference(known)
+        again = {p: i for p in missing if (i := self._older.get(p)) is not None}
+        missing.difference_update(again)
+        if len(known) + len(again) + len(missing) > self.kept and known:
+            known.update(again)
+            again = {p: known[p] for p in met - missing}
+            self._older, self._known = known, {}
+            known = self._known
+        known.update(again)
+        # In order, so that pieces that begin alike take the same way one after another.
+        for piece in sorted(missing):
+            known[piece] = array("I", encode(piece.encode())).tobytes()
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        for piece in missing:
+            if len(piece) > LONGEST_KEPT:
+                del known[piece]
         return out
 
 

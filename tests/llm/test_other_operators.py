@@ -75,6 +75,21 @@ def test_a_piece_is_encoded_once_whatever_stands_around_it(monkeypatch):
     assert ids == [i for p in pieces for i in ([ranks[p]] if p in ranks else machine.merged(p))]
 
 
+def test_few_pieces_are_remembered_and_long_ones_are_not():
+    ranks = bpe.load_ranks(queries.RANKS)
+    encoder, pick = bpe.PieceEncoder(ranks, public_tokenizers.PATTERN, kept=20), random.Random(5)
+    words = ["".join(pick.choice("éaioxq") for _ in range(pick.randint(1, 9))) for _ in range(60)] + ["x" * 90]
+    machine = bpe.Transducer(ranks)
+    for _ in range(40):
+        texts = [" ".join(pick.choices(words, k=12)) for _ in range(2)]
+        for text, ids in zip(texts, encoder(texts), strict=True):
+            pieces = [p.encode() for p in regex.findall(public_tokenizers.PATTERN, text)]
+            expected = [i for p in pieces for i in ([ranks[p]] if p in ranks else machine.merged(p))]
+            assert np.frombuffer(ids, "<u4").tolist() == expected
+        assert max(map(len, encoder._known)) <= bpe.LONGEST_KEPT
+        assert len(encoder._known) + len(encoder._older) <= 60
+
+
 def test_steps_are_made_when_they_are_wanted_often():
     ranks = bpe.load_ranks(queries.RANKS)
     machine, pieces = bpe.Transducer(ranks), [" éaioiê".encode(), b" onthwh", b"thorshha", b"a" * 200]
