@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apportion.llm.chunks import LONGEST_KEPT, PartEncoder
+from apportion.llm.held import held
 
 KEPT_STATES = 80_000
 KEPT_PARTS = 200_000  # in each of two generations, as pieces are remembered too
@@ -305,22 +306,20 @@ class StreamingDecoder:
         return self.machine.decode(b"", final=True)
 
 
-_encoders: dict[tuple[str, str], PartEncoder] = {}
-_words: dict[str, dict[int, bytes]] = {}
-
-
 def encoder_of(path: str, pattern: str) -> PartEncoder:
     """One encoder per process and vocabulary."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = rank_encoder(load_ranks(path), pattern)
-    return _encoders[path, pattern]
+    made = held("bpe")
+    if (path, pattern) not in made:
+        made[path, pattern] = rank_encoder(load_ranks(path), pattern)
+    return made[path, pattern]
 
 
 def words_of(path: str) -> dict[int, bytes]:
     """The bytes of each id, which is all that decoding needs."""
-    if path not in _words:
-        _words[path] = {i: w for w, i in load_ranks(path).items()}
-    return _words[path]
+    made = held("bpe")
+    if path not in made:
+        made[path] = {i: w for w, i in load_ranks(path).items()}
+    return made[path]
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str, name: str = "ids") -> DataFrame:

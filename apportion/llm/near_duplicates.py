@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apportion.llm.components import components
+from apportion.llm.held import held
 from apportion.llm.words import mixed, word_hashes, word_run_hashes
 from apportion.session import written
 
@@ -85,6 +86,7 @@ def signatures(texts: DataFrame) -> DataFrame:
     arrow = pa.schema([("node", pa.binary()), ("sig", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near_duplicates")
         seen: set[bytes] = set()
         for batch in batches:
             out: dict[bytes, bytes] = {}
@@ -130,6 +132,7 @@ def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     arrow = pa.schema([("node", pa.binary()), ("terms", pa.binary())])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near_duplicates")
         seen: set[bytes] = set()
         for batch in batches:
             out: dict[bytes, bytes] = {}
@@ -152,10 +155,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     arrow = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near_duplicates")
         for batch in batches:
             out: list[tuple[bytes, bytes, float]] = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            # Sets are read where they lie in the batch, one pair at a time.
+            for a, b, x, y in zip(*(batch.column(i) for i in range(4)), strict=True):
+                a, b = a.as_py(), b.as_py()
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 similarity = common / (len(x) + len(y) - common)
                 if similarity >= limit:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apportion.llm.chunks import PartEncoder
+from apportion.llm.held import held
 
 CAPACITY = 2048
 SHORTEST_CUT = 64
@@ -175,12 +176,9 @@ def pack(
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(packed, schema)
 
 
-_made: dict[object, PartEncoder] = {}
-
-
 def _encoder(make: Callable[[], PartEncoder]) -> PartEncoder:
     """An encoder per process, so that what it remembers outlives a task."""
-    key = getattr(make, "args", None) or make
-    if key not in _made:
-        _made[key] = make()
-    return _made[key]
+    made, key = held("packing"), getattr(make, "args", None) or make
+    if key not in made:
+        made[key] = make()
+    return made[key]

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from apportion.llm.held import held as remembered
 from apportion.llm.warc import opened
 from apportion.session import scratch_dir, written
 
@@ -235,6 +236,7 @@ def gram_counts(placed: DataFrame, text: str, doc_id: str, marks: str, order: in
     schema = pa.schema([("block", pa.int32()), ("gram", pa.string()), ("c", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("quality")
         out: list[pa.RecordBatch] = []
         current: int | None = None
         trained: set = set()
@@ -321,6 +323,7 @@ def perplexities(
     names = placed.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("quality")
         current, lookup, chosen = None, None, None
         for batch in batches:
             for block, rows in _pieces(batch):
