@@ -11,7 +11,8 @@ each a trie node and the tokens it has not emitted yet; a step advances all of
 them and emits the tokens on which they agree. Hypotheses die when no token is as
 long as what they have read, so output lags by a bounded lookahead. States and
 steps are made when they have been wanted often, kept up to a bound, then dropped and made anew; before,
-the rest of a short piece is walked by its hypotheses alone, depth first.
+the rest of a short piece is walked by its hypotheses alone, depth first. The pieces of a batch
+for which a step is missing are walked together, from the last token that the machine has emitted.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,6 +37,8 @@ KEPT_PARTS = 200_000  # in each of two generations, as pieces are remembered too
 KEPT_PIECES = 100_000  # likewise
 WANTED = 30  # times that a short piece is walked without a state before a step is made for it
 SIMULATED = 64  # bytes of the longest pieces of which rare ends are walked without states
+TOGETHER = 128  # pieces from which on they are walked together,
+AT_ONCE = 1 << 14  # and at most so many
 DECODED_AT_ONCE = 4096
 _NOWHERE = (None, None)
 
@@ -62,6 +66,7 @@ class Transducer:
                 node = below
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._walk: _Walk | None = None
         self._forget()
 
     def _forget(self) -> None:
@@ -180,6 +185,16 @@ class Transducer:
             self._forget()
         if not piece:
             return []
+        out, state, at = self._read(piece)
+        if at < len(piece) - 1:
+            left = self._simulated(self.states[state], piece, at)
+        else:
+            left = self._finish(self.states[state], piece[-1])
+        # None only for vocabularies in which some byte is no token by itself.
+        return self.merged(piece) if left is None else out + left
+
+    def _read(self, piece: bytes) -> tuple[list[int], int, int]:
+        """What the machine emits before it misses a step or the last byte, the state it is in, and where it is."""
         out: list[int] = []
         state, steps = 0, self.steps
         for i, byte in enumerate(piece[:-1]):
@@ -188,15 +203,53 @@ class Transducer:
                 if step < WANTED and len(piece) <= SIMULATED:
                     # Most words are met once: a step is made when it has been wanted often.
                     steps[state][byte] = step + 1
-                    left = self._simulated(self.states[state], piece, i)
-                    return self.merged(piece) if left is None else out + left
+                    return out, state, i
                 step = self._step(state, byte)
             state = step[0]
             if step[1]:
                 out += step[1]
-        left = self._finish(self.states[state], piece[-1])
-        # None only for vocabularies in which some byte is no token by itself.
-        return self.merged(piece) if left is None else out + left
+        return out, state, len(piece) - 1
+
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pieces as 32-bit integers; what no step is made for is walked for all of them at once."""
+        if len(pieces) < TOGETHER:
+            return [array("I", self.encode(p)).tobytes() for p in pieces]
+        if self._walk is None:
+            self._walk = _Walk(self)
+        out = []
+        for first in range(0, len(pieces), AT_ONCE):
+            out += self._encode_some(pieces[first : first + AT_ONCE])
+        return out
+
+    def _encode_some(self, pieces: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        rare: list[int] = []
+        starts: list[int] = []
+        last: list[int] = []
+        words = self.words
+        for k, piece in enumerate(pieces):
+            if piece in self.ranks or not 1 < len(piece) <= SIMULATED:
+                out[k] = array("I", self.encode(piece)).tobytes()
+                continue
+            if len(self.states) > self.kept:
+                self._forget()
+            ids, state, at = self._read(piece)
+            if at == len(piece) - 1:
+                left = self._finish(self.states[state], piece[-1])
+                out[k] = array("I", self.merged(piece) if left is None else ids + left).tobytes()
+                continue
+            rare.append(k)
+            if ids:
+                out[k] = array("I", ids).tobytes()
+                starts.append(len(b"".join([words[i] for i in ids])))
+                last.append(ids[-1])
+            else:
+                starts.append(0)
+                last.append(-1)
+        rests = self._walk([pieces[k] for k in rare], np.array(starts, np.int64), np.array(last, np.int64))
+        for k, rest in zip(rare, rests, strict=True):
+            out[k] = array("I", self.merged(pieces[k])).tobytes() if rest is None else out[k] + rest
+        return out
 
     def _simulated(self, hypotheses, piece: bytes, at: int) -> list[int] | None:
         """The tokens of the rest of a short piece, without making states.
@@ -246,6 +299,154 @@ class Transducer:
         return None
 
 
+class _Walk:
+    """Walks many pieces at once as ``_followed`` walks one: the longest tokens first, back where none suits."""
+
+    _SHIFT = 31
+    _SLOTS = 18
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+        edges, below, ends = array("i"), array("i"), array("i")
+        for node, steps in enumerate(machine.trie):
+            for byte in sorted(steps):
+                to, token = steps[byte]
+                edges.append(node << 8 | byte)
+                below.append(to)
+                ends.append(-1 if token is None else token)
+        # Sorted by node and byte, with the node below and the token that ends there or -1.
+        self.edges, self.below, self.ends = (np.array(x or [-1], dtype=np.int32) for x in (edges, below, ends))
+        # Two tokens that are a token when put together, whatever its own halves are.
+        ranks, pairs, tokens = machine.ranks, array("q"), array("q")
+        for word, token in ranks.items():
+            for i in range(1, len(word)):
+                left, right = ranks.get(word[:i]), ranks.get(word[i:])
+                if left is not None and right is not None:
+                    pairs.append(left << self._SHIFT | right)
+                    tokens.append(token)
+        order = np.argsort(np.array(pairs, dtype=np.int64))
+        self.joined, self.joins = (np.array(x, dtype=np.int64)[order] for x in (pairs, tokens))
+        # Halves of a token: -3 for a single byte, -1 for one that is never made, -2 if not known yet.
+        self.halves = np.full((2, max(machine.words, default=0) + 1), -2, dtype=np.int64)
+        # Pairs that were judged, each in the slot of its hash, with the answer as its last bit.
+        self.judged = np.full(1 << self._SLOTS, -1, dtype=np.int64)
+
+    def __call__(self, pieces: list[bytes], starts: np.ndarray, last: np.ndarray) -> list[bytes | None]:
+        """Ids of the rest of each piece from its start on, after its last token or -1; None where there are none."""
+        if not pieces:
+            return []
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int32)
+        stops = np.cumsum([len(p) for p in pieces])
+        first = stops - np.diff(stops, prepend=0) + starts
+        token, size, low, tried = self._tokens(data, first, stops)
+        # By place: the token before it, where that begins, and the next candidate to be tried.
+        before = np.full(len(data) + 1, -1, dtype=np.int64)
+        begins = np.full(len(data) + 1, -1, dtype=np.int64)
+        dead = np.zeros(len(data) + 1, dtype=bool)
+        done = np.zeros(len(pieces), dtype=bool)
+        at, live = first.copy(), np.arange(len(pieces))
+        # The place after a piece is the next one's first, so the last token of each is kept by itself.
+        closing, closed = np.full(len(pieces), -1, dtype=np.int64), np.full(len(pieces), -1, dtype=np.int64)
+        while len(live):
+            here = at[live]
+            tried[here] -= 1
+            spent = tried[here] < low[here]
+            # Back to where the last token begins; a piece that is back at its start has no ids.
+            ended = live[spent]
+            dead[at[ended]] = True
+            home = at[ended] == first[ended]
+            at[ended[~home]] = begins[at[ended[~home]]]
+            live = np.concatenate([live[~spent], ended[~home]])
+            some = live[: np.count_nonzero(~spent)]
+            here = at[some]
+            which = tried[here]
+            stop = here + size[which]
+            whole = stop == stops[some]
+            left = np.where(here == first[some], last[some], before[here])
+            suits = whole | ~dead[stop]
+            suits[suits] = self._suit(left[suits], token[which[suits]])
+            some, here, which, stop, whole = (x[suits] for x in (some, here, which, stop, whole))
+            closing[some[whole]], closed[some[whole]] = token[which[whole]], here[whole]
+            done[some[whole]] = True
+            on = ~whole
+            before[stop[on]], begins[stop[on]] = token[which[on]], here[on]
+            at[some[on]] = stop[on]
+            live = live[~done[live]]
+        return self._ways(done, first, closing, closed, before, begins)
+
+    def _ways(self, done, first, closing, closed, before, begins) -> list[bytes | None]:
+        """The tokens on the way from each start to its piece's end."""
+        live = np.flatnonzero(done)
+        at, rounds = closed.copy(), [(live, closing[live])]
+        while len(live := live[at[live] != first[live]]):
+            rounds.append((live, before[at[live]]))
+            at[live] = begins[at[live]]
+        owner = np.concatenate([k for k, _ in rounds[::-1]])
+        ids = np.concatenate([t for _, t in rounds[::-1]])[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+        ends = np.cumsum(4 * np.bincount(owner, minlength=len(done))).tolist()
+        return [ids[i:j] if d else None for i, j, d in zip([0, *ends], ends, done.tolist(), strict=False)]
+
+    def _tokens(self, data, first, stops) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens that begin at each place by length: ids, lengths, and where a place's begin and end."""
+        until = np.repeat(stops, np.diff(stops, prepend=0))
+        place = np.arange(len(data))
+        place = place[place >= np.repeat(first, np.diff(stops, prepend=0))]
+        node, depth, met = np.zeros(len(place), dtype=np.int32), 0, []
+        while len(place):
+            key = node << 8 | data[place + depth]
+            at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            held = self.edges[at] == key
+            place, at = place[held], at[held]
+            depth += 1
+            ends = self.ends[at] >= 0
+            met.append((place[ends], self.ends[at[ends]].astype(np.int64), np.full(np.count_nonzero(ends), depth)))
+            on = place + depth < until[place]
+            place, node = place[on], self.below[at[on]]
+        place, token, size = (np.concatenate(x) for x in zip(*met, strict=True))
+        order = np.argsort(place, kind="stable")
+        upto = np.cumsum(np.bincount(place, minlength=len(data) + 1))
+        return token[order], size[order], np.concatenate([[0], upto[:-1]]), upto
+
+    def _suit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_suits`` for many pairs at once; pairs are remembered until another one has their slot."""
+        key = left + 1 << self._SHIFT | right
+        slot = (key * -0x61C8864680B583EB >> 64 - self._SLOTS) & (1 << self._SLOTS) - 1
+        known = self.judged[slot]
+        out = (known & 1).astype(bool)
+        fresh = np.flatnonzero(known >> 1 != key)
+        if len(fresh):
+            out[fresh] = found = self._judge(left[fresh], right[fresh])
+            self.judged[slot[fresh]] = key[fresh] << 1 | found
+        return out
+
+    def _judge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        self._learn(right)
+        out = self.halves[0, right] != -1
+        live = np.flatnonzero(out & (left >= 0))
+        left, right = left[live], right[live]
+        until = np.full(len(live), len(self.machine.ranks) + 1, dtype=np.int64)
+        while len(live):
+            key = left << self._SHIFT | right
+            at = np.minimum(np.searchsorted(self.joined, key), max(0, len(self.joined) - 1))
+            crossed = (self.joined[at] == key) & (self.joins[at] < until) if len(self.joined) else np.zeros(len(key), bool)
+            out[live[crossed]] = False
+            self._learn(left)
+            self._learn(right)
+            one, other = self.halves[0, left] == -3, self.halves[0, right] == -3
+            on = ~crossed & ~(one & other)
+            live, left, right, one, other = (x[on] for x in (live, left, right, one, other))
+            # At equal ranks the merge further left comes first.
+            of_left = other | (~one & (left > right))
+            until = np.where(of_left, left, right + 1)
+            left, right = np.where(of_left, self.halves[1, left], left), np.where(of_left, right, self.halves[0, right])
+        return out
+
+    def _learn(self, tokens: np.ndarray) -> None:
+        fresh = tokens[self.halves[0, tokens] == -2]
+        for t in np.unique(fresh).tolist() if len(fresh) else ():
+            self.halves[:, t] = self.machine.halves(t) or (-3, -3)
+
+
 class PieceEncoder:
     """Encodes texts; each match of the pattern is a piece of its own.
 
@@ -260,7 +461,7 @@ class PieceEncoder:
         self._older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, encode = self._known, self.machine.encode
+        known = self._known
         split = [self._matches(text) for text in texts]
         met = set().union(*split)
         missing = met.difference(known)
@@ -273,8 +474,8 @@ class PieceEncoder:
             known = self._known
         known.update(again)
         # In order, so that pieces that begin alike take the same way one after another.
-        for piece in sorted(missing):
-            known[piece] = array("I", encode(piece.encode())).tobytes()
+        fresh = sorted(missing)
+        known.update(zip(fresh, self.machine.encode_all([p.encode() for p in fresh]), strict=True))
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
         for piece in missing:
             if len(piece) > LONGEST_KEPT:
@@ -327,8 +528,6 @@ def with_ids(docs: DataFrame, path: str, pattern: str, name: str = "ids") -> Dat
     arrow = pa.schema([("doc_id", pa.int64()), (name, pa.list_(pa.int32()))])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         known = encoder_of(path, pattern)
         for batch in batches:
             texts = ((None, x.as_py() or "") for x in batch.column(1))

@@ -101,6 +101,34 @@ def test_steps_are_made_when_they_are_wanted_often():
     assert len(machine.states) > 1
 
 
+def test_pieces_of_a_batch_are_walked_together(tiktoken_encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "AT_ONCE", 700)
+    ranks = bpe.load_ranks(queries.RANKS)
+    machine, pick, words = bpe.Transducer(ranks, kept=300), random.Random(8), list(ranks)
+    alone = []
+    monkeypatch.setattr(machine, "_simulated", lambda *a: alone.append(a))
+    for _ in range(3):
+        pieces = [b"".join(pick.choice(words) for _ in range(pick.randint(1, 6))) for _ in range(800)]
+        pieces += [bytes(pick.randrange(256) for _ in range(pick.randint(1, 20))) for _ in range(800)]
+        pieces += [bytes(pick.choice(b"abc eth") for _ in range(pick.randint(1, 90))) for _ in range(800)]
+        pieces += [("".join(pick.choice("éaoqß日") for _ in range(pick.randint(1, 20)))).encode() for _ in range(800)]
+        found = machine.encode_all([*pieces, b""])
+        assert found[-1] == b"" and all(len(p) > bpe.SIMULATED for _, p, _ in alone)
+        for piece, ids in zip(pieces, found, strict=False):
+            assert np.frombuffer(ids, "<u4").tolist() == tiktoken_encoding._core_bpe.encode_single_piece(piece)
+
+
+def test_pairs_in_one_slot_do_not_mix():
+    ranks = bpe.load_ranks(queries.RANKS)
+    machine, pick = bpe.Transducer(ranks), random.Random(4)
+    walk = bpe._Walk(machine)
+    walk._SLOTS, walk.judged = 3, np.full(8, -1, dtype=np.int64)
+    for _ in range(4):
+        left, right = (np.array([pick.randrange(low, 600) for _ in range(2000)]) for low in (-1, 0))
+        expected = [machine._suits(a, b) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+        assert walk._suit(left, right).tolist() == expected
+
+
 def test_transducer_lags_by_a_bounded_lookahead():
     ranks = bpe.load_ranks(queries.RANKS)
     machine = bpe.Transducer(ranks)
