@@ -85,7 +85,7 @@ def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_arrays.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return suffix_arrays.remove_repeats(table(spark, sf_dir, "documents"), suffix_arrays.BOTH, digest=True)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

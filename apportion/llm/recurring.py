@@ -18,7 +18,7 @@ so copies of one text meet as a single context.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import NamedTuple
 
 import numpy as np
@@ -83,19 +83,28 @@ class Recurrence:
     ``earlier``: a window is taken if it also is in a document of smaller order;
     else if it is anywhere else, in the same document too. ``compare`` maps a
     run of whole groups to the covered reach of each member.
+
+    ``passage``: shorter windows looked for in the same pass, 0 for none. Anchors then stand
+    so close that each of them holds one, and ``compare`` gives two reaches for each member.
     """
 
     units: ByteUnits | WordUnits
     window: int
     gram: int
     earlier: bool
-    compare: Callable[[list[Member], "Recurrence"], list[tuple[int, int] | None]]
+    compare: Callable[[list[Member], "Recurrence"], list]
+    passage: int = 0
 
     @property
     def reach(self) -> int:
         """How many units before the anchor a window may begin."""
         return self.window - self.gram
 
+    @property
+    def shorter(self) -> "Recurrence":
+        """The shortest windows by themselves."""
+        return replace(self, window=self.passage, passage=0) if self.passage else self
+
 
 def text_key(text: Column) -> Column:
     """Tells texts with the same id apart: 128 bits, as any number of texts may have one id or none."""
@@ -103,12 +112,14 @@ def text_key(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``ord``, ``h`` and ``text``: the order of the id, nulls last, and a digest of the text."""
+    """``ord``, ``h`` and ``text``: the order of the id, nulls last, and a digest of the text.
+
+    Neither key can be null, so that inner and outer joins ask for the same shuffle, which is then made once.
+    """
     text = F.coalesce("text", F.lit(""))
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
-    return docs.select("doc_id", text.alias("text")).select(
-        "doc_id", order.alias("ord"), text_key(F.col("text")).alias("h"), "text"
-    )
+    key = F.coalesce(text_key(F.col("text")), F.lit(b""))
+    return docs.select("doc_id", text.alias("text")).select("doc_id", order.alias("ord"), key.alias("h"), "text")
 
 
 def occurrences(rows: DataFrame, what: Recurrence) -> DataFrame:
@@ -154,14 +165,14 @@ def _anchored(raw: bytes, what: Recurrence) -> Iterator[tuple[np.ndarray, np.nda
     """Hashes of anchors and contexts and the anchors' places, in bounded runs of a text."""
     values = what.units.values(raw)
     n = len(values)
-    if n < what.window:
+    if n < what.shorter.window:
         return
     for base in range(0, n, _CHUNK):
         lo, hi = max(0, base - what.window), min(n, base + _CHUNK + what.window)
         sums = W.prefix_sums(what.units.wide(values[lo:hi]), what.units.powers)
         down = what.units.powers.down
         grams = W.mixed((sums[what.gram :] - sums[: -what.gram]) * down[: hi - lo - what.gram + 1])
-        at = W.anchors(grams, what.reach + 1)
+        at = W.anchors(grams, what.shorter.reach + 1)
         at = at[(at + lo >= base) & (at + lo < base + _CHUNK)]
         start, stop = np.maximum(at - what.reach, 0), np.minimum(at + what.window, hi - lo)
         context = W.mixed((sums[stop] - sums[start]) * down[start], 5)
@@ -172,7 +183,8 @@ def _anchored(raw: bytes, what: Recurrence) -> Iterator[tuple[np.ndarray, np.nda
 def spans(rows: DataFrame, what: Recurrence) -> DataFrame:
     """Covered spans of each text that has any: ord, h, spans (s, e), unsorted, may overlap.
 
-    Ends may lie outside the text; they are cut where the spans are applied.
+    Ends may lie outside the text; they are cut where the spans are applied. With ``passage`` a span
+    has ``fine``, true if only shorter windows cover it; of texts under ``window`` units that goes for all.
     """
     seen = written(occurrences(rows, what), "anchors")
     counted = seen.groupBy("a").agg(
@@ -196,16 +208,20 @@ def spans(rows: DataFrame, what: Recurrence) -> DataFrame:
     reached = _compared(rows, contexts, what)
     partly = met.where(~again).join(reached, ["a", "ctx"])
 
-    whole = (F.col("pos") - what.reach).alias("s"), (F.col("pos") + what.window).alias("e")
+    fine = ["fine"] if what.passage else []
+    whole = [(F.col("pos") - what.reach).alias("s"), (F.col("pos") + what.window).alias("e")]
+    whole += [F.lit(False).alias(name) for name in fine]
     found = (
         alike.select("ord", "h", *whole)
         .unionAll(met.where(again).select("ord", "h", *whole))
         .unionAll(
-            partly.select("ord", "h", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))
+            partly.select(
+                "ord", "h", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"), *fine
+            )
         )
     )
     # Rows without an id share one order: copies of a text have the same spans, which count once.
-    return found.groupBy("ord", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return found.groupBy("ord", "h").agg(F.collect_set(F.struct("s", "e", *fine)).alias("spans"))
 
 
 def _segments(rows: DataFrame, contexts: DataFrame, what: Recurrence) -> DataFrame:
@@ -232,11 +248,11 @@ def _segments(rows: DataFrame, contexts: DataFrame, what: Recurrence) -> DataFra
                     out = []
             yield _rows(out, arrow)
 
-    # Texts of the same id and digest are one; repeated rows then give equal segments.
+    # Texts of the same id and digest are one; repeated rows then give equal segments. All columns of the
+    # rows are taken, as the join that applies the spans does, so that texts are shuffled once for both.
     return (
-        rows.select("ord", "h", "text")
-        .join(wanted, ["ord", "h"])
-        .select("ord", "text", "wanted")
+        rows.join(wanted, ["ord", "h"])
+        .select("ord", "text", "wanted", "doc_id")
         .mapInArrow(cut, "a bigint, ctx bigint, ord bigint, left int, segment binary")
     )
 
@@ -249,13 +265,19 @@ def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _compared(rows: DataFrame, contexts: DataFrame, what: Recurrence) -> DataFrame:
-    """What of each context recurs in another of its anchor: a, ctx, s, e around the anchor."""
+    """What of each context recurs in another of its anchor: a, ctx, s, e around the anchor, ``fine`` with ``passage``."""
     large = contexts.groupBy("a").count().where(F.col("count") > GROUP).select("a")
     large = written(large, "large-groups")
     grouped = _in_groups(_segments(rows, contexts.join(large, "a", "left_anti"), what), what)
     if large.isEmpty():
         return grouped
-    return grouped.unionAll(_by_window(_segments(rows, contexts.join(large, "a", "left_semi"), what), what))
+    segments = _segments(rows, contexts.join(large, "a", "left_semi"), what)
+    if not what.passage:
+        return grouped.unionAll(_by_window(segments, what))
+    segments = written(segments, "segments")
+    for fine, one in ((False, replace(what, passage=0)), (True, what.shorter)):
+        grouped = grouped.unionAll(_by_window(segments, one).withColumn("fine", F.lit(fine)))
+    return grouped
 
 
 def _by_window(segments: DataFrame, what: Recurrence) -> DataFrame:
@@ -299,14 +321,19 @@ def _by_window(segments: DataFrame, what: Recurrence) -> DataFrame:
 
 
 def window_hashes(segment: bytes, left: int, what: Recurrence) -> tuple[np.ndarray, np.ndarray]:
-    """How far before the anchor each window of a context begins, and its hash."""
+    """How far before the anchor each window of a context that holds it begins, and its hash."""
     hashes = W.run_hashes(what.units.wide(what.units.values(segment)), what.window, what.units.powers)
-    return (left - np.arange(len(hashes))).astype(np.int32), hashes
+    before = left - np.arange(len(hashes))
+    holds = (before >= 0) & (before <= what.reach)  # not all do where a context is cut for longer windows
+    return before[holds].astype(np.int32), hashes[holds]
 
 
 def _in_groups(members: DataFrame, what: Recurrence) -> DataFrame:
     """Compares the windows within each group; whole groups arrive one after another, in runs."""
-    arrow = pa.schema([("a", pa.int64()), ("ctx", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+    arrow = pa.schema(
+        [("a", pa.int64()), ("ctx", pa.int64()), ("s", pa.int64()), ("e", pa.int64())]
+        + ([("fine", pa.bool_())] if what.passage else [])
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[tuple] = []
@@ -321,15 +348,22 @@ def _in_groups(members: DataFrame, what: Recurrence) -> DataFrame:
     return (
         members.repartition("a")
         .sortWithinPartitions("a")
-        .mapInArrow(compare, "a bigint, ctx bigint, s bigint, e bigint")
+        .mapInArrow(compare, "a bigint, ctx bigint, s bigint, e bigint" + (", fine boolean" if what.passage else ""))
     )
 
 
 def _covered(run: list[tuple], what: Recurrence, schema: pa.Schema) -> pa.RecordBatch:
     found = what.compare([Member(a, segment, left, order) for a, _, order, left, segment in run], what)
-    return _rows(
-        [(row[0], row[1], *reach) for row, reach in zip(run, found, strict=True) if reach is not None], schema
-    )
+    if not what.passage:
+        out = [(row[0], row[1], *reach) for row, reach in zip(run, found, strict=True) if reach is not None]
+        return _rows(out, schema)
+    out = []
+    for row, (coarse, fine) in zip(run, found, strict=True):
+        if coarse is not None:
+            out.append((row[0], row[1], *coarse, False))
+        if fine is not None and (coarse is None or fine[0] < coarse[0] or fine[1] > coarse[1]):
+            out.append((row[0], row[1], *fine, True))
+    return _rows(out, schema)
 
 
 def runs(found: pa.ListScalar, n: int) -> list[tuple[int, int]]:

@@ -1,6 +1,7 @@
 """Exact duplicate removal with a logarithmic family of suffix arrays.
 
 Bytes covered by a string of 400 bytes that also starts anywhere else are removed.
+Passages of some fifty words are mostly shorter; they can be looked for in the same pass.
 :mod:`recurring` brings the candidate places together, each context once. Equal
 strings hold their anchor at the same place, so two contexts have one in common if
 what they share to the left of the anchor and from it on is long enough together.
@@ -29,6 +30,7 @@ LENGTH = 400
 GRAM = 64
 BATCH = 8192
 _AT_ONCE = 4096
+_BYTES_AT_ONCE = 1 << 23
 _FAR = 1 << 30
 
 
@@ -44,26 +46,27 @@ class Family:
     """Suffix arrays of a run of contexts: level i holds 2^i batches, or nothing.
 
     A level has two sparse arrays, of what follows the anchors and of what stands before them
-    read backwards. ``low`` and ``high`` are how far before its anchor the last and the first
-    window begin that a member has in common with another.
+    read backwards. For windows of ``length`` and, if any, those of ``passage``, ``low`` and ``high`` are how
+    far before its anchor the last and the first window begin that a member has in common with another. Windows
+    of a passage's length hold the anchor, of ``gram`` bytes; longer ones do as members are cut for them.
     """
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, passage: int = 0, gram: int = 0):
+        self.lengths = [(length, _FAR)] + ([(passage, passage - gram)] if passage else [])
         self.sides: tuple[list[bytes], list[bytes]] = ([], [])
-        self.low = np.zeros(0, dtype=np.int32)
-        self.high = np.zeros(0, dtype=np.int32)
+        self.low = [np.zeros(0, dtype=np.int32) for _ in self.lengths]
+        self.high = [np.zeros(0, dtype=np.int32) for _ in self.lengths]
         self.levels: list[tuple[Sorted, Sorted] | None] = []
 
     def add(self, members: list[R.Member]) -> None:
         """A batch: gets its arrays, is scanned, and joins the levels."""
-        first = len(self.low)
+        first = len(self.sides[0])
         for _, segment, left, _ in members:
             self.sides[0].append(segment[left:])
             self.sides[1].append(segment[:left][::-1])
-        self.low = np.append(self.low, np.full(len(members), _FAR, dtype=np.int32))
-        self.high = np.append(self.high, np.full(len(members), -1, dtype=np.int32))
-        numbers = list(range(first, len(self.low)))
+        self.low = [np.append(low, np.full(len(members), _FAR, dtype=np.int32)) for low in self.low]
+        self.high = [np.append(high, np.full(len(members), -1, dtype=np.int32)) for high in self.high]
+        numbers = list(range(first, len(self.sides[0])))
         array = self._array(numbers, numbers)
         level = 0
         while level < len(self.levels) and self.levels[level]:
@@ -106,21 +109,27 @@ class Family:
         are equal and so are length - o from it on. In sorted order equal ones are
         neighbours: both arrays fall into classes, and members of the same two classes meet.
         """
-        n = len(after.order)
         # No member has more in common with any other than with a neighbour.
-        right, left = (_nearest(side, len(self.low)) for side in (after, before))
-        meets = after.order[left[after.order] + right[after.order] >= self.length]
+        right, left = (_nearest(side, len(self.sides[0])) for side in (after, before))
+        for (length, farthest), low, high in zip(self.lengths, self.low, self.high, strict=True):
+            self._scan_for(length, after, before, right, np.minimum(left, farthest), low, high)
+
+    def _scan_for(
+        self, length: int, after: Sorted, before: Sorted, right: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray
+    ) -> None:
+        n = len(after.order)
+        meets = after.order[left[after.order] + right[after.order] >= length]
         if not len(meets):
             return
-        first, last = self.length - right[meets], left[meets]
-        classes = np.empty(len(self.low), dtype=np.int64)
-        others = np.empty(len(self.low), dtype=np.int64)
+        first, last = length - right[meets], left[meets]
+        classes = np.empty(len(low), dtype=np.int64)
+        others = np.empty(len(low), dtype=np.int64)
         for o in range(max(0, int(first.min())), int(last.max()) + 1):
             some = meets[(first <= o) & (o <= last)]
             if len(some) < 2:
                 continue
             classes[before.order] = np.concatenate([[0], np.cumsum(before.common < o)])
-            others[after.order] = np.concatenate([[0], np.cumsum(after.common < self.length - o)])
+            others[after.order] = np.concatenate([[0], np.cumsum(after.common < length - o)])
             pairs = classes[some] * n + others[some]
             rank = np.argsort(pairs, kind="stable")
             same = np.diff(pairs[rank]) == 0
@@ -128,14 +137,15 @@ class Family:
             twice[rank[1:]] |= same
             twice[rank[:-1]] |= same
             found = some[twice]
-            self.low[found] = np.minimum(self.low[found], o)
-            self.high[found] = np.maximum(self.high[found], o)
+            low[found] = np.minimum(low[found], o)
+            high[found] = np.maximum(high[found], o)
 
-    def reach(self) -> list[tuple[int, int] | None]:
-        """What of each member is covered, around its anchor."""
+    def reach(self, which: int = 0) -> list[tuple[int, int] | None]:
+        """What of each member is covered by windows of the first length or the second, around its anchor."""
+        length = self.lengths[which][0]
         return [
-            (-high, self.length - low) if high >= 0 else None
-            for low, high in zip(self.low.tolist(), self.high.tolist(), strict=True)
+            (-high, length - low) if high >= 0 else None
+            for low, high in zip(self.low[which].tolist(), self.high[which].tolist(), strict=True)
         ]
 
 
@@ -159,21 +169,22 @@ def _nearest(side: Sorted, members: int) -> np.ndarray:
     return out
 
 
-def compare(run: list[R.Member], what: R.Recurrence) -> list[tuple[int, int] | None]:
-    """The covered reach of each member, around its anchor.
+def compare(run: list[R.Member], what: R.Recurrence) -> list:
+    """The covered reach of each member, around its anchor; with ``passage`` also that by shorter windows.
 
     Texts after an anchor begin with it, so contexts of different anchors share less than a window.
     """
-    family = Family(what.window)
+    family = Family(what.window, what.passage, what.gram)
     for i in range(0, len(run), BATCH):
         family.add(run[i : i + BATCH])
     family.close()
-    return family.reach()
+    return list(zip(family.reach(), family.reach(1), strict=True)) if what.passage else family.reach()
 
 
 BYTES = R.Recurrence(R.ByteUnits(), LENGTH, GRAM, False, compare)
 # Passages of some fifty words, which seldom have fewer than 4.8 bytes each with the space.
 PASSAGES = R.Recurrence(R.ByteUnits(), 240, 48, False, compare)
+BOTH = R.Recurrence(R.ByteUnits(), LENGTH, GRAM, False, compare, PASSAGES.window)
 
 
 def remove_repeats(docs: DataFrame, what: R.Recurrence = BYTES, digest: bool = False) -> DataFrame:
@@ -181,26 +192,38 @@ def remove_repeats(docs: DataFrame, what: R.Recurrence = BYTES, digest: bool = F
 
     ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept``, what
     is left as bytes; with ``digest`` its SHA-256 as ``kept_sha256``, and ``kept`` as a text without the
-    characters of which a removed run took a part. Null texts are empty.
+    characters of which a removed run took a part. With ``passage`` a last column ``text`` has what is left
+    without strings of that shorter length that recur; the others go by the full length. Null texts are empty.
     Repeated rows are each other's repeats. Very long texts are taken whole. Texts shorter than the length
     stay. Of an empty table comes an empty result; other columns are not read.
     """
     rows = R.keyed(docs)
     fields = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
     fields += "kept_sha256 string, kept string" if digest else "kept binary"
+    fields += ", text string" if what.passage else ""
     arrow = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
         + ([("kept_sha256", pa.string()), ("kept", pa.string())] if digest else [("kept", pa.binary())])
+        + ([("text", pa.string())] if what.passage else [])
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, size = [], 0
             for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                raw = text.as_py().encode()
-                covered, runs, kept = _without(raw, found.as_py())
+                raw, spans = text.as_py().encode(), found.as_py()
+                long = spans
+                if what.passage:
+                    long = [one for one in spans or () if not one["fine"]] if len(raw) >= what.window else None
+                covered, runs, kept = _without(raw, long)
                 last = (hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")) if digest else (kept,)
+                if what.passage:
+                    last += (_without(raw, spans)[2].decode(errors="ignore"),)
                 out.append((doc_id, len(raw), covered, runs, *last))
+                size += len(raw)
+                if size > _BYTES_AT_ONCE:
+                    yield R._rows(out, arrow)
+                    out, size = [], 0
             yield R._rows(out, arrow)
 
     joined = rows.join(R.spans(rows, what), ["ord", "h"], "left")

@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from apportion.llm import fingerprints, near_duplicates, phrases, quality, suffix_arrays
+from apportion.llm import fingerprints, near_duplicates, phrases, quality, queries, suffix_arrays
 from apportion.llm import recurring as R
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, spans string, h int"
@@ -135,6 +135,61 @@ def test_shorter_strings(docs, rows):
     same_rows(suffix_arrays.remove_repeats(docs, suffix_arrays.PASSAGES).collect(), removed_bytes(rows, 240))
 
 
+def removed_at_both_lengths(rows):
+    return [
+        (*r[:4], hashlib.sha256(r[4]).hexdigest(), r[4].decode(errors="ignore"), fine[4].decode(errors="ignore"))
+        for r, fine in zip(removed_bytes(rows), removed_bytes(rows, 240), strict=True)
+    ]
+
+
+@pytest.mark.parametrize("group", [R.GROUP, 2])
+def test_strings_and_shorter_passages_in_one_pass(docs, rows, monkeypatch, group):
+    monkeypatch.setattr(R, "GROUP", group)
+    monkeypatch.setattr(R, "RUN", 3)
+    monkeypatch.setattr(suffix_arrays, "BATCH", 7)
+    found = suffix_arrays.remove_repeats(docs, suffix_arrays.BOTH, digest=True).collect()
+    same_rows(found, removed_at_both_lengths(rows))
+
+
+@pytest.mark.parametrize("group", [R.GROUP, 2])
+def test_both_lengths_in_groups_of_edited_copies(spark, monkeypatch, group):
+    # Copies whose edits are 240 to 400 bytes apart, copies under 400 bytes, and copies of both without an id.
+    copies = edited_copies(25, 900) + [t[i : i + 240 + 7 * i] for i, t in enumerate(edited_copies(25, 900))]
+    rows = [(i if i % 6 else None, t.decode(), None, None) for i, t in enumerate(copies + copies[:30:4])]
+    expected = removed_at_both_lengths(rows)
+    assert sum(a[5] != a[6] for a in expected) > 5 and sum(0 < a[2] < a[1] for a in expected) > 5
+    monkeypatch.setattr(R, "GROUP", group)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    same_rows(suffix_arrays.remove_repeats(docs, suffix_arrays.BOTH, digest=True).collect(), expected)
+
+
+def test_op7_gives_texts_without_shared_passages_of_over_fifty_words(spark, tmp_path):
+    pick = random.Random(7)
+    words = ["".join(pick.choice("abcdefghij") for _ in range(pick.randint(2, 8))) for _ in range(500)]
+    own = [" ".join(pick.choice(words) for _ in range(90)) for _ in range(12)]
+    passage = " ".join(pick.choice(words) for _ in range(55))
+    assert 240 < len(passage) < 400
+    texts = [f"{t}\n{passage}\n{t[::-1]}" if i < 6 else t for i, t in enumerate(own)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for row in queries.op7_suffix_arrays(spark, str(tmp_path)).collect():
+        assert row.n_removed == 0 and row.kept == texts[row.doc_id]  # by the length of the contract
+        if row.doc_id < 6:
+            assert len(row.text) <= len(texts[row.doc_id]) - len(passage) and passage[5:-5] not in row.text
+        else:
+            assert row.text == texts[row.doc_id]
+
+
+def test_texts_are_shuffled_once_for_contexts_and_spans(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that aren't small
+    try:
+        found = queries.op7_suffix_arrays(spark, str(tmp_path))
+        found.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange [doc_id" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_levels_of_suffix_arrays_find_every_shared_window():
     what = suffix_arrays.BYTES
     anchor, run = b"%" * what.gram, []
