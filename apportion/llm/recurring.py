@@ -13,11 +13,15 @@ meet. The context of an occurrence is all that windows around it can cover.
 
 Counts, smallest ids and distinct contexts are aggregated before they are shuffled,
 so copies of one text meet as a single context.
+
+In a run that repeats itself at a short distance ("the the the ...") every period would be an anchor, and its contexts
+would differ by all that stands beside such runs anywhere. Runs of bytes are anchored only for windows that lie
+within them, and their contexts end where the run ends: those of one anchor differ by two lengths at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from typing import NamedTuple
 
@@ -27,12 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apportion.llm import words as W
-from apportion.session import written
+from apportion.session import discard, shuffles_dropped, written
 
 GROUP = 65_536  # contexts of one anchor that a task compares, some 50 MB of text
 RUN = 8192
 _DEALS = 16
 _CHUNK = 1 << 20
+_SCAN = 1 << 18
 _LAST = (1 << 63) - 1
 
 
@@ -50,6 +55,22 @@ class ByteUnits:
     def cutter(self, raw: bytes) -> Callable[[int, int], bytes]:
         return lambda i, j: raw[i:j]
 
+    def repeating(self, texts: pa.Array, gram: int) -> list[list[tuple[int, int]]]:
+        """For each text the stretches of places at which grams of a short period begin."""
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        ends = np.frombuffer(texts.buffers()[1] or bytes(4), dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        out: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
+        first, last = int(ends[0]), int(ends[-1])
+        for s, e in short_periods(data[first:last], gram):
+            s, e = s + first, e + first
+            i = int(np.searchsorted(ends, s, "right")) - 1
+            while i < len(out) and ends[i] < e:
+                begin, stop = max(s, int(ends[i])), min(e, int(ends[i + 1]) - gram + 1)  # within the text
+                if begin < stop:
+                    out[i].append((begin - int(ends[i]), stop - int(ends[i])))
+                i += 1
+        return out
+
 
 class WordUnits:
     """Words between white space as units."""
@@ -66,6 +87,44 @@ class WordUnits:
         words = raw.split()  # at the same white space as words.word_bounds
         return lambda i, j: b" ".join(words[i:j])
 
+    def repeating(self, texts: pa.Array, gram: int) -> list[list[tuple[int, int]]]:
+        return [[]] * len(texts)
+
+
+def short_periods(data: np.ndarray, gram: int) -> list[tuple[int, int]]:
+    """Maximal stretches of places at which ``gram`` bytes begin that repeat themselves at a distance of up to half of them.
+
+    Of grams that begin in one stretch neighbours have all but one byte in common, and so the same period.
+    """
+    found: list[tuple[int, int]] = []
+    for base in range(0, len(data), _SCAN):
+        part = data[base : base + _SCAN + gram]
+        for t in range(1, min(gram // 2, gram - 24) + 1):  # what is equal then fills two words of eight
+            n = len(part) - t
+            if len(part) < gram:
+                break
+            words = n // 8 * 8
+            equal = part[:words].copy().view(np.uint64) == part[t : t + words].copy().view(np.uint64)
+            at = np.flatnonzero(equal[1:] & equal[:-1])
+            if not len(at):
+                continue
+            heads = at[np.append(True, np.diff(at) > 1)]
+            tails = at[np.append(np.diff(at) > 1, True)]
+            for s, e in zip((8 * heads).tolist(), (8 * tails + 16).tolist(), strict=True):
+                while s and part[s - 1] == part[s - 1 + t]:
+                    s -= 1
+                while e < n and part[e] == part[e + t]:
+                    e += 1
+                if e - s >= gram - t:
+                    found.append((base + s, base + e - gram + t + 1))
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
 
 class Member(NamedTuple):
     """A context: its anchor, its text, how many units stand before the anchor, the smallest order that has it."""
@@ -123,9 +182,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(rows: DataFrame, what: Recurrence) -> DataFrame:
-    """Every anchor of every text: a, ctx (hashes of anchor and context), ord, h, pos."""
+    """Every anchor of every text: a, ctx (hashes of anchor and context), ord, h, pos, left, right (the context's reach)."""
     arrow = pa.schema(
         [("a", pa.int64()), ("ctx", pa.int64()), ("ord", pa.int64()), ("h", pa.binary()), ("pos", pa.int64())]
+        + [("left", pa.int32()), ("right", pa.int32())]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +193,11 @@ def occurrences(rows: DataFrame, what: Recurrence) -> DataFrame:
             held: list[tuple] = []
             size = 0
             keys = batch.column(1)
+            repeating = what.units.repeating(batch.column(2), what.gram)
             for row, (order, text) in enumerate(
                 zip(batch.column(0).to_pylist(), batch.column(2), strict=True)
             ):
-                for found in _anchored(text.as_py().encode(), what):
+                for found in _anchored(text.as_py().encode(), what, repeating[row]):
                     n = len(found[0])
                     held.append((*found, np.full(n, order), np.full(n, row)))
                     size += n
@@ -146,38 +207,62 @@ def occurrences(rows: DataFrame, what: Recurrence) -> DataFrame:
             yield _table(held, keys, arrow)
 
     return rows.select("ord", "h", "text").mapInArrow(
-        scan, "a bigint, ctx bigint, ord bigint, h binary, pos bigint"
+        scan, "a bigint, ctx bigint, ord bigint, h binary, pos bigint, left int, right int"
     )
 
 
 def _table(held: list[tuple], keys: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
-    a, ctx, pos, order, row = (
-        [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 5
+    a, ctx, pos, left, right, order, row = (
+        [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 7
     )
-    columns = [a.view(np.int64), ctx.view(np.int64), order, keys.take(pa.array(row, pa.int64())), pos]
+    columns = [a.view(np.int64), ctx.view(np.int64), order, keys.take(pa.array(row, pa.int64())), pos, left, right]
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)],
         schema=schema,
     )
 
 
-def _anchored(raw: bytes, what: Recurrence) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hashes of anchors and contexts and the anchors' places, in bounded runs of a text."""
+def _anchored(raw: bytes, what: Recurrence, repeating: Sequence[tuple[int, int]] = ()) -> Iterator[tuple[np.ndarray, ...]]:
+    """Hashes of anchors and contexts, the anchors' places and their contexts' reach, in bounded runs of a text.
+
+    Places at which a repeating gram begins are anchors only where a window has no other. The contexts
+    of such an anchor hold windows without other grams; those of the rest end with the text only.
+    """
     values = what.units.values(raw)
     n = len(values)
     if n < what.shorter.window:
         return
+    begins, ends = np.array(repeating, dtype=np.int64).reshape(-1, 2).T
     for base in range(0, n, _CHUNK):
         lo, hi = max(0, base - what.window), min(n, base + _CHUNK + what.window)
         sums = W.prefix_sums(what.units.wide(values[lo:hi]), what.units.powers)
         down = what.units.powers.down
         grams = W.mixed((sums[what.gram :] - sums[: -what.gram]) * down[: hi - lo - what.gram + 1])
-        at = W.anchors(grams, what.shorter.reach + 1)
+        at = W.anchors(_ranked(grams, begins - lo, ends - lo), what.shorter.reach + 1)
         at = at[(at + lo >= base) & (at + lo < base + _CHUNK)]
-        start, stop = np.maximum(at - what.reach, 0), np.minimum(at + what.window, hi - lo)
+        left, right = np.full(len(at), what.reach), np.full(len(at), what.window)
+        if len(begins):
+            run = np.searchsorted(begins - lo, at, "right") - 1
+            inside = np.flatnonzero((run >= 0) & (at < ends[run] - lo))
+            before, after = at[inside] + lo - begins[run[inside]], ends[run[inside]] - lo + what.gram - 1 - at[inside]
+            long = np.minimum(before, what.reach) + np.minimum(after, what.window) >= what.window
+            left[inside] = np.minimum(before, np.where(long, what.reach, what.shorter.reach))
+            right[inside] = np.minimum(after, np.where(long, what.window, what.shorter.window))
+        start, stop = np.maximum(at - left, 0), np.minimum(at + right, hi - lo)
         context = W.mixed((sums[stop] - sums[start]) * down[start], 5)
         shape = (at - start).astype(np.uint64) << np.uint64(32) | (stop - at).astype(np.uint64)
-        yield grams[at], W.mixed(context ^ W.mixed(shape)), at + lo
+        yield grams[at], W.mixed(context ^ W.mixed(shape)), at + lo, left, right
+
+
+def _ranked(grams: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """By which of the grams anchors are chosen: the repeating ones come last."""
+    if not len(begins):
+        return grams
+    ranked = grams >> np.uint64(1)
+    for s, e in zip(begins.tolist(), ends.tolist(), strict=True):
+        if e > 0:
+            ranked[max(0, s) : e] |= np.uint64(1 << 63)
+    return ranked
 
 
 def spans(rows: DataFrame, what: Recurrence) -> DataFrame:
@@ -186,6 +271,7 @@ def spans(rows: DataFrame, what: Recurrence) -> DataFrame:
     Ends may lie outside the text; they are cut where the spans are applied. With ``passage`` a span
     has ``fine``, true if only shorter windows cover it; of texts under ``window`` units that goes for all.
     """
+    spark = rows.sparkSession
     seen = written(occurrences(rows, what), "anchors")
     counted = seen.groupBy("a").agg(
         F.count("*").alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi"),
@@ -193,40 +279,40 @@ def spans(rows: DataFrame, what: Recurrence) -> DataFrame:
     )
     recurs = F.col("lo") < F.col("hi") if what.earlier else F.col("n") > 1
     anchors = counted.where(recurs).select("a", "lo", (F.col("c1") == F.col("c2")).alias("alike"))
-    hits = written(seen.join(anchors, "a"), "occurrences")
+    with shuffles_dropped(spark):
+        hits = written(seen.join(anchors, "a"), "occurrences")
+    discard(seen)
     alike = hits.where("alike and ord > lo" if what.earlier else "alike")
 
     differing = hits.where(~F.col("alike")).drop("lo", "alike")
-    contexts = written(
-        differing.groupBy("a", "ctx").agg(
-            F.count("*").alias("n"), F.min("ord").alias("lo"), F.min(F.struct("ord", "h", "pos")).alias("at")
-        ),
-        "contexts",
-    )
-    met = differing.join(contexts.select("a", "ctx", "n", "lo"), ["a", "ctx"])
+    least = F.min(F.struct("ord", "h", "pos", "left", "right"))
+    with shuffles_dropped(spark):
+        contexts = written(
+            differing.groupBy("a", "ctx").agg(F.count("*").alias("n"), F.min("ord").alias("lo"), least.alias("at")),
+            "contexts",
+        )
     again = F.col("ord") > F.col("lo") if what.earlier else F.col("n") > 1
-    reached = _compared(rows, contexts, what)
-    partly = met.where(~again).join(reached, ["a", "ctx"])
-
     fine = ["fine"] if what.passage else []
-    whole = [(F.col("pos") - what.reach).alias("s"), (F.col("pos") + what.window).alias("e")]
-    whole += [F.lit(False).alias(name) for name in fine]
-    found = (
-        alike.select("ord", "h", *whole)
-        .unionAll(met.where(again).select("ord", "h", *whole))
-        .unionAll(
-            partly.select(
-                "ord", "h", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"), *fine
-            )
-        )
-    )
+    whole = [(F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("right")).alias("e")]
+    whole += [(F.col("left") + F.col("right") < what.window).alias(name) for name in fine]
+    # One join, so that the occurrences are shuffled once: where a context recurs as a whole, what was compared is unread.
+    met = differing.join(contexts.select("a", "ctx", "n", "lo"), ["a", "ctx"]).withColumn("again", again)
+    reached = _compared(rows, contexts, what).select("a", "ctx", F.struct("s", "e", *fine).alias("part"))
+    met = met.join(reached, ["a", "ctx"], "left").where("again or part is not null")
+    partly = [F.col("pos") + F.col("part.s"), F.col("pos") + F.col("part.e")] + [F.col("part.fine") for _ in fine]
+    found = alike.select("ord", "h", *whole).unionAll(
+        met.select("ord", "h", *[
+            F.when(F.col("again"), one).otherwise(other).alias(name)
+            for one, other, name in zip(whole, partly, ["s", "e", *fine], strict=True)
+        ])
+    )
     # Rows without an id share one order: copies of a text have the same spans, which count once.
     return found.groupBy("ord", "h").agg(F.collect_set(F.struct("s", "e", *fine)).alias("spans"))
 
 
 def _segments(rows: DataFrame, contexts: DataFrame, what: Recurrence) -> DataFrame:
     """The text of each different context: a, ctx, ord, left (units before the anchor), segment."""
-    wanted = contexts.select("at.ord", "at.h", F.struct("a", "ctx", "at.pos").alias("one")).groupBy("ord", "h").agg(
+    wanted = contexts.select("at.ord", "at.h", F.struct("a", "ctx", "at.pos", "at.left", "at.right").alias("one")).groupBy("ord", "h").agg(
         F.collect_list("one").alias("wanted")
     )
     arrow = pa.schema(
@@ -240,9 +326,9 @@ def _segments(rows: DataFrame, contexts: DataFrame, what: Recurrence) -> DataFra
                 batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True
             ):
                 take = what.units.cutter(text.as_py().encode())
-                for a, ctx, pos in zip(*(c.to_pylist() for c in marks.values.flatten()), strict=True):
-                    left = min(what.reach, pos)
-                    out.append((a, ctx, order, left, take(pos - left, pos + what.window)))
+                for a, ctx, pos, left, right in zip(*(c.to_pylist() for c in marks.values.flatten()), strict=True):
+                    left = min(left, pos)
+                    out.append((a, ctx, order, left, take(pos - left, pos + right)))
                 if len(out) > 20_000:
                     yield _rows(out, arrow)
                     out = []

@@ -6,7 +6,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from apportion.llm import fingerprints, near_duplicates, phrases, quality, queries, suffix_arrays
 from apportion.llm import recurring as R
@@ -163,6 +165,46 @@ def test_both_lengths_in_groups_of_edited_copies(spark, monkeypatch, group):
     same_rows(suffix_arrays.remove_repeats(docs, suffix_arrays.BOTH, digest=True).collect(), expected)
 
 
+def runs_of_short_periods(n, sizes):
+    """Texts of their own around runs that repeat a few bytes, whose start and end no other text has."""
+    pick = random.Random(n)
+    own = lambda size: "".join(pick.choice("abcdefghijklmnop ") for _ in range(size)) + "#"
+    periods = ("the ", "=", "ab-cd ", "0123456789" * 3, "0123456789abc" * 3)
+    return [own(500) + (periods[i % 5] * 900)[: sizes[i % len(sizes)]] + "#" + own(450) for i in range(n)]
+
+
+@pytest.mark.parametrize("group", [R.GROUP, 2])
+def test_runs_of_short_periods(spark, monkeypatch, group):
+    texts = runs_of_short_periods(30, (230, 239, 241, 243, 262, 399, 401, 404, 450, 700, 1500))
+    rows = [(i, t, None, None) for i, t in enumerate([*texts, "the " * 70, "==" * 150, "the " * 300, "the " * 70])]
+    monkeypatch.setattr(R, "GROUP", group)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    found = suffix_arrays.remove_repeats(docs, suffix_arrays.BOTH, digest=True).collect()
+    same_rows(found, removed_at_both_lengths(rows))
+    same_rows(suffix_arrays.remove_repeats(docs).collect(), removed_bytes(rows))
+
+
+def test_contexts_of_an_anchor_in_a_run_do_not_grow_with_the_documents(spark):
+    most = []
+    for n in (10, 40):
+        docs = spark.createDataFrame(list(enumerate(runs_of_short_periods(5 * n, (1500,))[::5])), "doc_id bigint, text string")
+        seen = R.occurrences(R.keyed(docs), suffix_arrays.BOTH)
+        most.append(seen.groupBy("a").agg(F.countDistinct("ctx").alias("n")).agg(F.max("n")).head()[0])
+    assert most[0] == most[1] < 400
+
+
+def test_places_of_grams_of_a_short_period(monkeypatch):
+    pick = random.Random(3)
+    for k in range(60):
+        parts = [bytes(pick.choices(b"ab ", k=pick.randint(1, 40))) * pick.choice([1, 2, 30]) for _ in range(6)]
+        data, gram = b"".join(parts), (48, 64)[k % 2]
+        monkeypatch.setattr(R, "_SCAN", (50, 1 << 18)[k % 3 > 0])
+        grams = [data[i : i + gram] for i in range(len(data) - gram + 1)]
+        expected = [i for i, g in enumerate(grams) if any(g[t:] == g[:-t] for t in range(1, min(gram // 2, gram - 24) + 1))]
+        found = R.short_periods(np.frombuffer(data, dtype=np.uint8), gram)
+        assert [i for s, e in found for i in range(s, e)] == expected
+
+
 def test_op7_gives_texts_without_shared_passages_of_over_fifty_words(spark, tmp_path):
     pick = random.Random(7)
     words = ["".join(pick.choice("abcdefghij") for _ in range(pick.randint(2, 8))) for _ in range(500)]
