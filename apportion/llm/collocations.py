@@ -10,8 +10,9 @@ All words of a few MB of text are start positions; numpy moves the states of all
 still alive by one byte at a time, and accepting states are summed by ``bincount``. Tasks
 hold sums per state, and these are added up. Every trie has at most about
 ``TRIE_BYTES`` of phrases: in the order of the alphabet candidates are cut into as many tries as that takes, built
-by tasks into the shared folder, and a task loads one after the other for each part of the text. Most positions
-leave a trie whose range does not hold them at the first byte, so more tries are hardly more steps.
+by tasks into the shared folder, and a task loads one after the other for some ``TEXT_HELD`` bytes of text. A trie
+is only walked from the words that begin like phrases of its range, so more tries are hardly more steps, and
+what a task passes on is in proportion to the text that it has read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +39,9 @@ SUBSUMED_PERCENT = 50
 NO_LANGUAGE = "und"
 TRIE_BYTES = 12 << 20  # of phrases in one trie, of which about a third are states of 12 bytes
 COUNT_BLOCK = 1024  # phrases whose sums travel together
-COUNT_FAN = 64  # a block's rows are added in this many groups first
-TEXT_BYTES = 1 << 20  # of text walked at once
+TEXT_BYTES = 1 << 20  # of text cut into words at once
+TEXT_HELD = 32 << 20  # of words that one trie after the other is loaded for
+WALKED = 1 << 18  # words walked at once
 HELD_KEYS = 1 << 18  # keys or words a task holds before it passes them on
 
 # Fixed characters of the definition.
@@ -129,8 +130,54 @@ def parts_of(batches: Iterator[pa.RecordBatch], languages: dict[str, int]) -> It
         yield words_of(held)
 
 
+def held_words(batches: Iterator[pa.RecordBatch], languages: dict[str, int]) -> Iterator[Words]:
+    """The parts of :func:`parts_of`, about ``TEXT_HELD`` bytes together."""
+    held: list[Words] = []
+    size = 0
+    for words in parts_of(batches, languages):
+        held.append(Words(words.text, words.starts + size, words.language.astype(np.int32), words.counted))
+        size += len(words.text)
+        if size >= TEXT_HELD:
+            yield _together(held)
+            held, size = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[Words]) -> Words:
+    columns = zip(*((w.text, w.starts, w.language, w.counted) for w in held), strict=True)
+    return Words(*(np.concatenate(column) for column in columns))
+
+
 # Tries
 
+_HEAD = 7  # bytes by which a trie's words are told from others
+
+
+def _head(text: bytes, rest: bytes) -> int:
+    return int.from_bytes((text + rest * _HEAD)[:_HEAD], "big")
+
+
+class Starts:
+    """Words by their language and first bytes."""
+
+    def __init__(self, words: Words, languages: int):
+        data = np.append(words.text, np.zeros(8, dtype=np.uint8))
+        eight = np.ndarray(len(words.text) + 1, dtype=">u8", buffer=data, strides=(1,))
+        self._order = np.argsort(words.language.astype(np.uint16) if languages <= 1 << 16 else words.language, kind="stable")
+        self._heads = (eight[words.starts[self._order]].astype(np.uint64) >> np.uint64(8)).astype(np.int64)
+        self._bounds = np.searchsorted(words.language[self._order], np.arange(languages + 1))
+
+    def within(self, ranges: dict[str, tuple[int, int]], languages: dict[str, int]) -> np.ndarray:
+        """Numbers of the words from which a phrase within the ranges of its language can begin."""
+        out = [np.zeros(0, dtype=np.int64)]
+        for name, (low, high) in ranges.items():
+            if name in languages:
+                own = slice(*self._bounds[languages[name] : languages[name] + 2])
+                heads = self._heads[own]
+                out.append(self._order[own][(heads >= low) & (heads <= high)])
+        return np.concatenate(out)
+
 
 @dataclass
 class Trie:
@@ -139,12 +186,13 @@ class Trie:
     accept: np.ndarray  # number of the phrase that ends in a state, or -1
     roots: dict[str, int]
 
-    def walk(self, words: Words, names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Start words and numbers of phrases found, level by level of bytes."""
+    def walk(self, words: Words, names: list[str], some: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Start words and numbers of phrases found, level by level of bytes; from all words or ``some``."""
         roots = np.array([self.roots.get(x, -1) for x in names], dtype=np.int64)
-        state = roots[words.language] if len(words.language) else np.zeros(0, dtype=np.int64)
-        word = np.flatnonzero(state >= 0)
-        state, at = state[word], words.starts[word]
+        some = np.arange(len(words.starts)) if some is None else some
+        state = roots[words.language[some]] if len(some) else np.zeros(0, dtype=np.int64)
+        word = some[state >= 0]
+        state, at = state[state >= 0], words.starts[word]
         symbol = words.text[at] if len(at) else np.zeros(0, dtype=np.uint8)
         while len(word):
             ahead = self.base[state] + symbol
@@ -252,6 +300,18 @@ def build_trie(languages: list[str], phrases: list[bytes], numbers: list[int]) -
 
 
 _TRIE = "shard int, base binary, check binary, accept binary, names array<string>, roots array<int>"
+_TRIE += ", lows array<bigint>, highs array<bigint>"
+
+
+def ranges_of(languages: list[str], phrases: list[bytes]) -> dict[str, tuple[int, int]]:
+    """The first bytes with which a text may begin that begins with a phrase and its end, from and to, by language."""
+    out: dict[str, tuple[int, int]] = {}
+    for name, phrase in zip(languages, phrases, strict=True):
+        # A word or piece ends with a space or a line end, and whatever follows it.
+        low, high = _head(phrase, b"\0"), _head(phrase + b" ", b"\xff")
+        least, most = out.get(name, (low, high))
+        out[name] = min(low, least), max(high, most)
+    return out
 
 
 @dataclass
@@ -262,22 +322,33 @@ class Tries:
     shards: int
     phrases: DataFrame
 
-    def load(self, shard: int) -> Trie:
+    def load(self, shard: int) -> tuple[Trie, dict[str, tuple[int, int]]]:
+        """A trie and the ranges of its phrases."""
         key = (self.folder, shard)
         if key not in _loaded:
             _loaded.clear()  # one at a time
             system, path = opened(f"{self.folder}/shard={shard}")
             found = pa.dataset.dataset(path, filesystem=system, format="parquet").to_table()
             if not found.num_rows:
-                _loaded[key] = build_trie([], [], [])
+                _loaded[key] = build_trie([], [], []), {}
             else:
                 arrays = (np.frombuffer(found[x][0].as_buffer(), dtype=np.int32) for x in ("base", "check", "accept"))
-                roots = zip(found["names"][0].as_py(), found["roots"][0].as_py(), strict=True)
-                _loaded[key] = Trie(*arrays, dict(roots))
+                names, roots, lows, highs = (found[x][0].as_py() for x in ("names", "roots", "lows", "highs"))
+                ranges = dict(zip(names, zip(lows, highs, strict=True), strict=True))
+                _loaded[key] = Trie(*arrays, dict(zip(names, roots, strict=True))), ranges
         return _loaded[key]
 
+    def walk(self, words: Words, languages: dict[str, int]) -> Iterator[tuple[Trie, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+        """Each trie with the start words and numbers of phrases found with it."""
+        starts = Starts(words, len(languages)) if self.shards > 1 else None
+        for shard in range(self.shards):
+            trie, ranges = self.load(shard)
+            some = starts.within(ranges, languages) if starts else np.arange(len(words.starts))
+            names = list(languages)
+            yield trie, (x for i in range(0, len(some), WALKED) for x in trie.walk(words, names, some[i : i + WALKED]))
+
 
-_loaded: dict[tuple[str, int], Trie] = {}
+_loaded: dict[tuple[str, int], tuple[Trie, dict[str, tuple[int, int]]]] = {}
 
 
 def tries_of(phrases: DataFrame) -> Tries | None:
@@ -295,11 +366,14 @@ def tries_of(phrases: DataFrame) -> Tries | None:
     table = written(numbered.select(shard.alias("shard"), F.col("number").cast("int").alias("number"), "lang", "phrase"), "phrases")
 
     def build(rows: pa.Table) -> pa.Table:
-        trie = build_trie(rows["lang"].to_pylist(), rows["phrase"].to_pylist(), rows["number"].to_pylist())
+        languages, phrases = rows["lang"].to_pylist(), rows["phrase"].to_pylist()
+        trie = build_trie(languages, phrases, rows["number"].to_pylist())
+        ranges = ranges_of(languages, phrases)
         return pa.table({
             "shard": pa.array([rows["shard"][0].as_py()], pa.int32()),
             **{x: pa.array([getattr(trie, x).tobytes()], pa.binary()) for x in ("base", "check", "accept")},
             "names": [list(trie.roots)], "roots": pa.array([list(trie.roots.values())], pa.list_(pa.int32())),
+            **{x: pa.array([[ranges[name][i] for name in trie.roots]], pa.list_(pa.int64())) for i, x in enumerate(("lows", "highs"))},
         })
 
     folder = scratch_dir(spark, "tries")
@@ -390,10 +464,10 @@ def overlaps(texts: DataFrame, tries: Tries) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str, int] = {}
         sums = Sums()
-        for words in parts_of(batches, languages):
+        for words in held_words(batches, languages):
             found = np.full(len(words.starts), -1, dtype=np.int64)
-            for shard in range(walked.shards):
-                for word, phrase in walked.load(shard).walk(words, list(languages)):
+            for _, hits in walked.walk(words, languages):
+                for word, phrase in hits:
                     found[word] = phrase
             on = np.zeros(len(found), dtype=bool)
             on[:-1] = words.text[words.starts[1:] - 1] == 0x20
@@ -419,46 +493,58 @@ def phrase_counts(texts: DataFrame, tries: Tries) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str, int] = {}
-        sums: dict[int, tuple[int, np.ndarray]] = {}
-        for words in parts_of(batches, languages):
-            for shard in range(walked.shards):
-                trie = walked.load(shard)
-                if shard not in sums:
-                    numbers = trie.accept[trie.accept >= 0]
-                    first = int(numbers.min(initial=(1 << 31) - 1)) // COUNT_BLOCK * COUNT_BLOCK
-                    sums[shard] = first, np.zeros(max(0, int(numbers.max(initial=-1)) + 1 - first), dtype=np.int64)
-                first, total = sums[shard]
-                for word, phrase in trie.walk(words, list(languages)):
-                    total += np.bincount(phrase[words.counted[word]] - first, minlength=len(total))
+        for words in held_words(batches, languages):
+            for trie, hits in walked.walk(words, languages):
+                numbers = [phrase[words.counted[word]] for word, phrase in hits]
+                if sum(map(len, numbers)):
+                    first = int(trie.accept[trie.accept >= 0].min()) // COUNT_BLOCK * COUNT_BLOCK
+                    total = np.bincount(np.concatenate(numbers) - first)
+                    yield from blocks(first // COUNT_BLOCK, total)
         _loaded.clear()
-        part = TaskContext.get().partitionId() % COUNT_FAN
-        for first, total in sums.values():
-            total = np.append(total, np.zeros(-len(total) % COUNT_BLOCK, dtype=np.int64)).reshape(-1, COUNT_BLOCK)
-            for i in np.flatnonzero(total.any(axis=1)).tolist():
-                yield block(first // COUNT_BLOCK + i, part, total[i])
-
-    def block(number: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
-        raw = pa.array([counts.tobytes()], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part], pa.int32()), raw], names=["block", "part", "counts"])
-
-    def added(rows: pa.Table) -> pa.Table:
-        total = np.zeros(COUNT_BLOCK, dtype=np.int64)
-        for raw in rows["counts"]:
-            total += np.frombuffer(raw.as_buffer(), dtype=np.int64)
-        return pa.Table.from_batches([block(rows["block"][0].as_py(), 0, total)])
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def blocks(first: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        total = np.append(total, np.zeros(-len(total) % COUNT_BLOCK, dtype=np.int64)).reshape(-1, COUNT_BLOCK)
+        some = np.flatnonzero(total.any(axis=1))
+        for i in range(0, len(some), 1024):
+            numbers = pa.array(some[i : i + 1024] + first, pa.int32())
+            packed = pa.array([pack_counts(total[k]) for k in some[i : i + 1024]], pa.binary())
+            yield pa.RecordBatch.from_arrays([numbers, packed], names=["block", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = -1, np.zeros(COUNT_BLOCK, dtype=np.int64)
         for batch in batches:
-            for number, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                counts = np.frombuffer(raw.as_buffer(), dtype=np.int64)
-                hit = np.flatnonzero(counts >= LEAST_COUNT)
-                yield pa.RecordBatch.from_pydict({"number": (hit + number * COUNT_BLOCK).astype(np.int32), "f": counts[hit]})
-
-    schema = "block int, part int, counts binary"
-    total = texts.mapInArrow(count, schema)
-    for keys in (["block", "part"], ["block"]):
-        total = total.groupBy(*keys).applyInArrow(added, schema)
-    return tries.phrases.join(total.mapInArrow(unpacked, "number int, f bigint"), "number").select("lang", "phrase", "f")
+            held = []
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if number != last:
+                    held.append(frequent(last, total))
+                    last, total = number, np.zeros(COUNT_BLOCK, dtype=np.int64)
+                add_counts(raw.as_buffer(), total)
+            yield from held
+        yield frequent(last, total)
+
+    def frequent(number: int, total: np.ndarray) -> pa.RecordBatch:
+        hit = np.flatnonzero(total >= LEAST_COUNT)
+        return pa.RecordBatch.from_pydict({"number": (hit + number * COUNT_BLOCK).astype(np.int32), "f": total[hit]})
+
+    total = texts.mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block")
+    return tries.phrases.join(total.mapInArrow(added, "number int, f bigint"), "number").select("lang", "phrase", "f")
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts of a block: all, or, where that is shorter, places and counts of those that aren't 0."""
+    hit = np.flatnonzero(counts)
+    if 10 * len(hit) >= counts.nbytes:
+        return counts.tobytes()
+    return hit.astype(np.uint16).tobytes() + counts[hit].tobytes()
+
+
+def add_counts(packed: pa.Buffer | bytes, total: np.ndarray) -> None:
+    """Adds to ``total`` what :func:`pack_counts` has made."""
+    if len(packed) == total.nbytes:
+        total += np.frombuffer(packed, dtype=np.int64)
+        return
+    n = len(packed) // 10
+    total[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, np.int64, n, 2 * n)
 
 
 def joined(pairs: DataFrame, phrases: DataFrame) -> DataFrame:

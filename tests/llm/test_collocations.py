@@ -110,6 +110,57 @@ def test_tries_find_all_phrases_at_all_words():
     assert found == want
 
 
+def test_tries_are_loaded_once_for_the_text_of_a_task_and_walked_from_words_of_their_range(monkeypatch):
+    pick = random.Random(8)
+    letters = "ab\x01\x1fé~"
+    words = sorted({"".join(pick.choice(letters) for _ in range(pick.randint(1, 9))) for _ in range(80)})
+    walk = c.Trie.walk
+    monkeypatch.setattr(c.Trie, "walk", lambda self, w, names, some: walked.append(len(some)) or walk(self, w, names, some))
+    monkeypatch.setattr(c, "TEXT_BYTES", 500)
+    for n in (1, 2, 3):
+        phrases = sorted({" ".join(pick.choices(words, k=n)) for _ in range(600)}, key=str.encode)
+        known = [(lang, p) for lang in ("de", "en") for p in phrases]
+        shards = [range(i, min(i + 90, len(known))) for i in range(0, len(known), 90)]
+        made = []
+        for numbers in shards:
+            langs, own = [known[i][0] for i in numbers], [known[i][1].encode() for i in numbers]
+            made.append((c.build_trie(langs, own, list(numbers)), c.ranges_of(langs, own)))
+        loads, walked = [], []
+        tries = c.Tries("", len(shards), None)
+        tries.load = lambda shard: loads.append(shard) or made[shard]
+        langs = [pick.choice(["en", "de", "fr"]) for _ in range(60)]
+        texts = [pick.choice([" ", ". "]).join(pick.choices(words + phrases, k=50)) for _ in langs]
+        batch = c.pa.RecordBatch.from_pydict({"lang": langs, "text": c.pa.array([t.encode() for t in texts], c.pa.binary())})
+        languages, found, size = {}, Counter(), 0
+        for held in c.held_words(iter([batch]), languages):
+            size += len(held.starts)
+            for _, hits in tries.walk(held, languages):
+                for word, phrase in hits:
+                    found.update(phrase[held.counted[word]].tolist())
+        want, numbers = Counter(), {x: i for i, x in enumerate(known)}
+        for lang, text in zip(langs, texts, strict=True):
+            for piece in text.split("."):
+                w = piece.split(" ")
+                w = [x for x in w if x]
+                want.update(numbers[lang, p] for i in range(len(w) - n + 1) if (lang, p := " ".join(w[i : i + n])) in numbers)
+        assert found == want and len(want) > 5
+        assert loads == list(range(len(shards)))
+        assert len(shards) < 6 or 2 * sum(walked) < len(shards) * size
+
+
+def test_counts_of_a_block_travel_in_proportion_to_what_was_found():
+    pick = np.random.default_rng(5)
+    total, want = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+    for n in (0, 1, 30, 818, 819, 820, 1024):
+        counts = np.zeros(1024, np.int64)
+        counts[pick.permutation(1024)[:n]] = pick.integers(1, 1 << 40, n)
+        packed = c.pack_counts(counts)
+        assert len(packed) == min(10 * n, 8192)
+        c.add_counts(packed, total)
+        want += counts
+    assert (total == want).all()
+
+
 def test_sums_pass_on_what_they_hold(monkeypatch):
     monkeypatch.setattr(c, "HELD_KEYS", 50)
     sums, total, pick = c.Sums(), Counter(), np.random.default_rng(1)
