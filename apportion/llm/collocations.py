@@ -40,7 +40,7 @@ NO_LANGUAGE = "und"
 TRIE_BYTES = 12 << 20  # of phrases in one trie, of which about a third are states of 12 bytes
 COUNT_BLOCK = 1024  # phrases whose sums travel together
 TEXT_BYTES = 1 << 20  # of text cut into words at once
-TEXT_HELD = 32 << 20  # of words that one trie after the other is loaded for
+TEXT_HELD = 16 << 20  # of words that several tries are loaded for, one after the other
 WALKED = 1 << 18  # words walked at once
 HELD_KEYS = 1 << 18  # keys or words a task holds before it passes them on
 
@@ -130,8 +130,11 @@ def parts_of(batches: Iterator[pa.RecordBatch], languages: dict[str, int]) -> It
         yield words_of(held)
 
 
-def held_words(batches: Iterator[pa.RecordBatch], languages: dict[str, int]) -> Iterator[Words]:
-    """The parts of :func:`parts_of`, about ``TEXT_HELD`` bytes together."""
+def held_words(batches: Iterator[pa.RecordBatch], languages: dict[str, int], tries: int) -> Iterator[Words]:
+    """The parts of :func:`parts_of`, about ``TEXT_HELD`` bytes together if there are several tries to be loaded."""
+    if tries == 1:
+        yield from parts_of(batches, languages)
+        return
     held: list[Words] = []
     size = 0
     for words in parts_of(batches, languages):
@@ -378,7 +381,8 @@ def tries_of(phrases: DataFrame) -> Tries | None:
 
     folder = scratch_dir(spark, "tries")
     as_bytes = table.select("shard", "number", "lang", F.col("phrase").cast("binary").alias("phrase"))
-    as_bytes.groupBy("shard").applyInArrow(build, _TRIE).write.partitionBy("shard").parquet(folder)
+    tries = as_bytes.groupBy("shard").applyInArrow(build, _TRIE)
+    tries.write.partitionBy("shard").option("compression", "none").parquet(folder)  # loaded far more often than written
     return Tries(folder, shards, table.select("number", "lang", "phrase"))
 
 
@@ -464,7 +468,7 @@ def overlaps(texts: DataFrame, tries: Tries) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str, int] = {}
         sums = Sums()
-        for words in held_words(batches, languages):
+        for words in held_words(batches, languages, walked.shards):
             found = np.full(len(words.starts), -1, dtype=np.int64)
             for _, hits in walked.walk(words, languages):
                 for word, phrase in hits:
@@ -493,14 +497,21 @@ def phrase_counts(texts: DataFrame, tries: Tries) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str, int] = {}
-        for words in held_words(batches, languages):
+        first, total = 0, np.zeros(0, dtype=np.int64)
+        for words in held_words(batches, languages, walked.shards):
             for trie, hits in walked.walk(words, languages):
+                if not len(total):
+                    known = trie.accept[trie.accept >= 0]
+                    first = int(known.min(initial=(1 << 31) - 1)) // COUNT_BLOCK
+                    total = np.zeros(max(0, int(known.max(initial=-1)) + 1 - first * COUNT_BLOCK), dtype=np.int64)
                 numbers = [phrase[words.counted[word]] for word, phrase in hits]
-                if sum(map(len, numbers)):
-                    first = int(trie.accept[trie.accept >= 0].min()) // COUNT_BLOCK * COUNT_BLOCK
-                    total = np.bincount(np.concatenate(numbers) - first)
-                    yield from blocks(first // COUNT_BLOCK, total)
+                if numbers:
+                    total += np.bincount(np.concatenate(numbers) - first * COUNT_BLOCK, minlength=len(total))
+                if walked.shards > 1:  # a single trie's sums are kept until the end
+                    yield from blocks(first, total)
+                    total = total[:0]
         _loaded.clear()
+        yield from blocks(first, total)
 
     def blocks(first: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
         total = np.append(total, np.zeros(-len(total) % COUNT_BLOCK, dtype=np.int64)).reshape(-1, COUNT_BLOCK)

@@ -132,7 +132,7 @@ def test_tries_are_loaded_once_for_the_text_of_a_task_and_walked_from_words_of_t
         texts = [pick.choice([" ", ". "]).join(pick.choices(words + phrases, k=50)) for _ in langs]
         batch = c.pa.RecordBatch.from_pydict({"lang": langs, "text": c.pa.array([t.encode() for t in texts], c.pa.binary())})
         languages, found, size = {}, Counter(), 0
-        for held in c.held_words(iter([batch]), languages):
+        for held in c.held_words(iter([batch]), languages, len(shards)):
             size += len(held.starts)
             for _, hits in tries.walk(held, languages):
                 for word, phrase in hits:
